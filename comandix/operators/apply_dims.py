@@ -100,8 +100,8 @@ def delete_rows(
 ) -> DimensionApplied:
     """Delete rows by key: 1 deleted, 2 other tables still refer to it, 3 no such row.
 
-    ``children`` are tables that have the key. Their keys are reduced to the requested ones
-    before anything else, and ``rows_affected`` counts what the first request of a key deleted.
+    ``children`` are tables that have the key; each is reduced to its distinct keys before it is
+    joined. ``rows_affected`` counts what the first request of a key deleted.
     """
     asked = requests.select(key).distinct()
     stored = asked.join(table.select(key, F.lit(True).alias("_stored")), key, "left")

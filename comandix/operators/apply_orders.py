@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,13 @@ from comandix import model
 from comandix.functions.expressions import first_failure, message_for, money, payment_text, total
 from comandix.operators import hotkeys
 from comandix.operators.aggregates import table_bill
-from comandix.operators.joins import add_to_stock, bom_explosion, known_reference, order_checks
+from comandix.operators.joins import (
+    add_to_stock,
+    bom_explosion,
+    broadcast_if_small,
+    known_reference,
+    order_checks,
+)
 
 
 @dataclass(frozen=True)
@@ -115,10 +122,18 @@ def apply_order_cancels(
 
 
 def latest_states(events: DataFrame) -> DataFrame:
-    """Newest state of every order; combined before the shuffle, so a busy order is few rows."""
-    return events.groupBy("order_id").agg(
-        F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("updated_at")
+    """Newest state of every order; combined before the shuffle, so a busy order is few rows.
+
+    Instant and event id are compared as one number and the state travels as its place in the list
+    of states: with fixed-width values only, Spark can aggregate by hashing instead of sorting.
+    """
+    places = F.create_map(*[F.lit(x) for place, state in enumerate(model.ORDER_STATES, 1) for x in (state, place)])
+    moment = _micros("ts").cast("decimal(19,0)") * F.lit(Decimal(10**19)) + F.col("event_id")
+    newest = events.groupBy("order_id").agg(
+        F.max_by(places[F.col("state")], moment).alias("_place"), F.max("ts").alias("updated_at")
     )
+    states = F.array(*[F.lit(state) for state in model.ORDER_STATES])
+    return newest.select("order_id", F.element_at(states, F.col("_place")).alias("state"), "updated_at")
 
 
 def apply_state_changes(events: DataFrame, orders: DataFrame) -> DataFrame:
@@ -185,29 +200,27 @@ def apply_table_payments(
     bills = table_bill(orders.where("table_no IS NOT NULL"), dishes)
     session = register.agg(F.max("session_id").alias("id")).scalar()
     checked = known_reference(requests, staff.where("enabled"), "staff_id", "cashier_id", "_cashier")
-    checked = checked.join(bills, "table_no", "left").withColumn("_session", session)
-    plain = first_failure(
-        (F.col("orders").isNull(), 2), (F.col("_cashier").isNull(), 3), (F.col("_session").isNull(), 4)
+    checked = checked.withColumn("_session", session).withColumn(
+        "_code", first_failure((F.col("_cashier").isNull(), 3), (F.col("_session").isNull(), 4))
     )
-    checked = checked.withColumn("_code", plain)
-    first = checked.where("_code = 1").groupBy("table_no").agg(F.min("req_id").alias("_first"))
-    late = F.coalesce(F.col("req_id") > F.col("_first"), F.lit(False))
+    # What pays a table does not depend on its orders, so the orders are only read where they move.
+    first = checked.where("_code = 1 AND table_no IS NOT NULL").groupBy("table_no").agg(F.min("req_id").alias("_first"))
+    paying = bills.join(first, "table_no", "left")
+    nothing = F.col("orders").isNull() | F.coalesce(F.col("req_id") > F.col("_first"), F.lit(False))
     coded = (
-        checked.join(first, "table_no", "left")
-        .withColumn("result_code", F.when(late, 2).otherwise(F.col("_code")).cast("int"))
+        checked.join(paying, "table_no", "left")
+        .withColumn("result_code", F.when(nothing, 2).otherwise(F.col("_code")).cast("int"))
         .withColumn("message", message_for("table_payment", "result_code"))
     )
     results = coded.select("req_id", "table_no", "cashier_id", "result_code", "message")
-    paid = coded.where("result_code = 1")
-    ops = paid.select(
+    ops = coded.where("result_code = 1").select(
         F.col("_session").alias("session_id"),
         money("total", 18).alias("amount"),
         payment_text("table_no").alias("note"),
         "cashier_id",
         "orders",
     )
-    # One row per paid table; a hot table is split at run time by the adaptive skew join.
-    closed = first.select("table_no")
+    closed = broadcast_if_small(first.select("table_no"))
     sales = (
         orders.join(closed, "table_no", "left_semi")
         .join(dishes.select("dish_id", "price"), "dish_id")

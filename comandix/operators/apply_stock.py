@@ -51,8 +51,12 @@ def apply_issues(
     2 unknown supply, 3 unknown or disabled keeper, 4 no quantity, 5 more than is in stock at that
     moment. A refused movement leaves the stock as it is for the next one.
     """
+    # Supplies and their stock are put together first, so the requests meet them in one join, which
+    # the adaptive skew join can split; two joins on one key would tie its rows to one task.
     stock = snapshot.select("supply_id", F.col("qty").alias("_stock"))
-    checked = _stock_checks(requests, supplies, staff).join(stock, "supply_id", "left")
+    stocked = supplies.select("supply_id").join(stock, "supply_id", "left").withColumn("_supply", F.lit(True))
+    checked = known_reference(requests, staff.where("enabled"), "staff_id", "keeper_id", "_keeper")
+    checked = checked.join(stocked, "supply_id", "left")
     fixed = first_failure(
         (F.col("_supply").isNull(), 2),
         (F.col("_keeper").isNull(), 3),
@@ -61,7 +65,7 @@ def apply_issues(
     )
     checked = checked.withColumn("_code", fixed).select(*requests.columns, "_stock", "_code")
     counts = F.when((F.col("_code") == 1) & F.col("_stock").isNotNull(), F.col("qty")).otherwise(F.lit(0))
-    folded = fold_movements(checked, "supply_id", order, counts, F.coalesce("_stock", F.lit(0)), hot_rows)
+    folded = fold_movements(checked, "supply_id", order, counts, F.coalesce("_stock", F.lit(0)), hot_rows, requests)
     code = F.when(F.col("accepted"), F.col("_code")).otherwise(F.lit(5)).cast("int")
     results = _coded(folded, code, requests, "issue")
     return accepted(results, requests.columns, snapshot)

@@ -24,9 +24,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_hot(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of hot keys if there are any. NULL keys count as ordinary."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+def split_hot(
+    df: DataFrame, key: str, hot_rows: int, counted: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of hot keys if there are any. NULL keys count as ordinary.
+
+    ``counted`` is a cheaper DataFrame with the same keys, where ``df`` has joins behind it.
+    """
+    counted = df if counted is None else counted
+    counts = counted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     hot = counts.where(F.col("_rows") > hot_rows).select(key)
     if hot.isEmpty():
         return df, None

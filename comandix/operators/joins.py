@@ -148,6 +148,16 @@ def _checked(requests: DataFrame, dishes: DataFrame, tables: DataFrame, staff: D
     return known_reference(marked, staff.where("enabled"), "staff_id", "waiter_id", "_waiter")
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Ask for a broadcast only after counting that the rows are few; otherwise leave the choice to Spark.
+
+    For a short list of keys, each of which many rows have: shuffling those rows by so few keys
+    would use few tasks.
+    """
+    few = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if few else df
+
+
 def order_checks(requests: DataFrame, dishes: DataFrame, tables: DataFrame, staff: DataFrame) -> DataFrame:
     """Requests with what is wrong with them: ``bad_dish``, ``bad_table``, ``bad_waiter``."""
     return _checked(requests, dishes, tables, staff).select(

@@ -31,12 +31,19 @@ KEY, CENTS, OPENING = "_key", "_cents", "_opening"
 
 
 def fold_movements(
-    movements: DataFrame, key: str, order: list[str], qty: Column, opening: Column, hot_rows: int = hotkeys.HOT_ROWS
+    movements: DataFrame,
+    key: str,
+    order: list[str],
+    qty: Column,
+    opening: Column,
+    hot_rows: int = hotkeys.HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``accepted`` to every movement of ``movements``.
 
     ``qty`` is the signed quantity that counts, ``opening`` the key's balance before its first
-    movement. Quantities have two decimals and are walked as whole cents.
+    movement. Quantities have two decimals and are walked as whole cents. ``counted`` is a cheaper
+    DataFrame to look for hot keys in.
     """
     prepared = movements.withColumns(
         {
@@ -47,7 +54,9 @@ def fold_movements(
     )
     schema = T.StructType([*prepared.schema.fields, T.StructField("accepted", T.BooleanType())])
     walk = [KEY, *order]
-    rest, hot = hotkeys.split_hot(prepared, KEY, hot_rows)
+    if counted is not None:
+        counted = counted.select(F.coalesce(F.col(key), F.lit(-1)).alias(KEY))
+    rest, hot = hotkeys.split_hot(prepared, KEY, hot_rows, counted)
     done = rest.repartition(KEY).sortWithinPartitions(*walk).mapInArrow(_walker({}), schema)
     if hot is not None:
         slices = hotkeys.cut(hot, walk)
