@@ -39,7 +39,8 @@ def split_hot(
     checkpoint_root(df.sparkSession)
     # At most all rows / hot_rows keys, so the broadcast is bounded.
     hot = F.broadcast(hot.checkpoint())
-    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+    rest, found = df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+    return rest.select(*df.columns), found.select(*df.columns)
 
 
 def cut(df: DataFrame, order: list[str]) -> DataFrame:
