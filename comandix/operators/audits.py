@@ -44,15 +44,50 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     return used.join(parent.select(key), key, "left_anti")
 
 
-def audit_foreign_keys(references: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """Per reference: values no parent row has, and the rows that use them."""
-    return _stacked(
-        [
-            orphans(*reference)
-            .agg(F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("orphan_rows"))
-            .select(F.lit(name).alias("reference"), "orphan_keys", "orphan_rows")
-            for name, reference in references.items()
-        ]
+def audit_foreign_keys(references: dict[str, tuple[DataFrame, dict[str, tuple[str, DataFrame, str]]]]) -> DataFrame:
+    """Per reference: values no parent row has, and the rows that use them.
+
+    ``references`` maps a table's name to the table and its references: name -> (column, parent,
+    parent's key). All keys are whole numbers. Each table is read once, whatever number of
+    references it has or is the parent of, and all references share one shuffle and one anti join,
+    told apart by numbers.
+    """
+    names: list[str] = []
+    used: list[DataFrame] = []
+    parents: dict[tuple[int, str], tuple[int, DataFrame]] = {}
+    for table_name, (table, columns) in references.items():
+        triples = []
+        for name, (column, parent, key) in columns.items():
+            place, _ = parents.setdefault((id(parent), key), (len(parents), parent))
+            triples.append(
+                F.struct(
+                    F.lit(len(names)).alias("_ref"),
+                    F.lit(place).alias("_parent"),
+                    F.col(column).cast("bigint").alias("_key"),
+                )
+            )
+            names.append(f"{table_name}.{name}")
+        rows = table.select(F.explode(F.array(*triples)).alias("_used")).select("_used.*")
+        used.append(rows.where("_key IS NOT NULL"))
+    known = [
+        parent.select(F.lit(place).alias("_parent"), F.col(key).cast("bigint").alias("_key"))
+        for (_, key), (place, parent) in parents.items()
+    ]
+    counted = _stacked(used).groupBy("_ref", "_parent", "_key").agg(F.count(F.lit(1)).alias("_rows"))
+    found = (
+        counted.join(_stacked(known), ["_parent", "_key"], "left_anti")
+        .groupBy("_ref")
+        .agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("_rows").alias("orphan_rows"))
+    )
+    # References without orphans are reported too: one row per name.
+    every = counted.sparkSession.range(len(names)).select(
+        F.col("id").cast("int").alias("_ref"),
+        F.element_at(F.array(*[F.lit(name) for name in names]), F.col("id").cast("int") + 1).alias("reference"),
+    )
+    return every.join(found, "_ref", "left").select(
+        "reference",
+        F.coalesce("orphan_keys", F.lit(0)).alias("orphan_keys"),
+        F.coalesce("orphan_rows", F.lit(0)).alias("orphan_rows"),
     )
 
 

@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from comandix.operators.stock_walk import SLICE
 from comandix.session import checkpoint_root
 
 HOT_ROWS = 2_000_000
 ID_BLOCK = 1_000_000
-SLICE = "_slice"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -17,17 +17,12 @@ within a few movements, two or three rounds are usual. The result is exact in ev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from comandix.operators import hotkeys
-
-KEY, CENTS, OPENING = "_key", "_cents", "_opening"
+from comandix.operators.stock_walk import CENTS, KEY, OPENING, SLICE, end_walker, summarise, walker
 
 
 def fold_movements(
@@ -57,19 +52,19 @@ def fold_movements(
     if counted is not None:
         counted = counted.select(F.coalesce(F.col(key), F.lit(-1)).alias(KEY))
     rest, hot = hotkeys.split_hot(prepared, KEY, hot_rows, counted)
-    done = rest.repartition(KEY).sortWithinPartitions(*walk).mapInArrow(_walker({}), schema)
+    done = rest.repartition(KEY).sortWithinPartitions(*walk).mapInArrow(walker({}), schema)
     if hot is not None:
         slices = hotkeys.cut(hot, walk)
         starts = _settle(slices)
         wide = T.StructType([*slices.schema.fields, T.StructField("accepted", T.BooleanType())])
-        done = done.unionByName(slices.mapInArrow(_walker(starts), wide).drop(hotkeys.SLICE))
+        done = done.unionByName(slices.mapInArrow(walker(starts), wide).drop(SLICE))
     return done.drop(KEY, CENTS, OPENING)
 
 
 def _settle(slices: DataFrame) -> dict[tuple[int, int], int]:
     """Exact start balance of every slice: one small row per slice comes to the driver."""
-    narrow = slices.select(KEY, hotkeys.SLICE, CENTS, OPENING)
-    rows = narrow.mapInArrow(_summarise, "key bigint, slice int, opening bigint, total bigint, need bigint").collect()
+    narrow = slices.select(KEY, SLICE, CENTS, OPENING)
+    rows = narrow.mapInArrow(summarise, "key bigint, slice int, opening bigint, total bigint, need bigint").collect()
     chains: dict[int, list] = {}
     for row in sorted(rows, key=lambda r: (r["key"], r["slice"])):
         chains.setdefault(row["key"], []).append(row)
@@ -92,109 +87,7 @@ def _settle(slices: DataFrame) -> dict[tuple[int, int], int]:
                     balance = walked[at][1] if at in walked else max(balance + row["total"], 0)
         if not wrong:
             return starts
-        again = narrow.where(F.col(hotkeys.SLICE).isin(sorted({s for _, s in wrong})))
-        for row in again.mapInArrow(_end_walker(wrong), "key bigint, slice int, ending bigint").collect():
+        again = narrow.where(F.col(SLICE).isin(sorted({s for _, s in wrong})))
+        for row in again.mapInArrow(end_walker(wrong), "key bigint, slice int, ending bigint").collect():
             at = (row["key"], row["slice"])
             walked[at] = (wrong[at], row["ending"])
-
-
-def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-    """Quantities, and the (key, slice, from, to) of every run of one key and slice in the batch."""
-    names = batch.schema.names
-    keys = batch.column(names.index(KEY)).to_numpy(zero_copy_only=False)
-    cents = batch.column(names.index(CENTS)).to_numpy(zero_copy_only=False)
-    opening = batch.column(names.index(OPENING)).to_numpy(zero_copy_only=False)
-    if hotkeys.SLICE in names:
-        cut = batch.column(names.index(hotkeys.SLICE)).to_numpy(zero_copy_only=False)
-    else:
-        cut = np.zeros(len(keys), dtype=np.int32)
-    change = np.flatnonzero((keys[1:] != keys[:-1]) | (cut[1:] != cut[:-1])) + 1
-    firsts = np.concatenate([[0], change])
-    lasts = np.concatenate([change, [len(keys)]])
-    runs = list(zip(keys[firsts].tolist(), cut[firsts].tolist(), firsts.tolist(), lasts.tolist(), strict=True))
-    return cents, opening, firsts, runs
-
-
-def _walk(cents: np.ndarray, balance: int, accepted: np.ndarray | None) -> int:
-    """Walk one run from ``balance``; note refusals in ``accepted`` and return the end balance."""
-    course = balance + np.cumsum(cents)
-    if not np.any((cents < 0) & (course < 0)):
-        return int(course[-1])
-    for place, amount in enumerate(cents.tolist()):
-        if amount < 0 and balance + amount < 0:
-            if accepted is not None:
-                accepted[place] = False
-        else:
-            balance += amount
-    return balance
-
-
-def _walker(starts: dict[tuple[int, int], int]):
-    """Batches in, the same batches with ``accepted`` out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run, balance = None, 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cents, opening, _, runs = _runs(batch)
-            accepted = np.ones(len(cents), dtype=bool)
-            for key, cut, low, high in runs:
-                if (key, cut) != open_run:
-                    open_run, balance = (key, cut), starts.get((key, cut), int(opening[low]))
-                balance = _walk(cents[low:high], balance, accepted[low:high])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(accepted)], names=[*batch.schema.names, "accepted"]
-            )
-
-    return run
-
-
-def _end_walker(starts: dict[tuple[int, int], int]):
-    """Batches in, one row per run named in ``starts`` with its end balance out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cents, _, _, runs = _runs(batch)
-            for key, cut, low, high in runs:
-                if (key, cut) in starts:
-                    balance = ends.get((key, cut), starts[(key, cut)])
-                    ends[(key, cut)] = _walk(cents[low:high], balance, None)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "key": pa.array([k for k, _ in ends], pa.int64()),
-                "slice": pa.array([s for _, s in ends], pa.int32()),
-                "ending": pa.array(list(ends.values()), pa.int64()),
-            }
-        )
-
-    return run
-
-
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per run: its sum, and the least start balance with which it refuses nothing."""
-    seen: dict[tuple[int, int], list[int]] = {}
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        cents, opening, _, runs = _runs(batch)
-        for key, cut, low, high in runs:
-            entry = seen.setdefault((key, cut), [int(opening[low]), 0, np.iinfo(np.int64).min])
-            part = cents[low:high]
-            course = entry[1] + np.cumsum(part)
-            out = course[part < 0]
-            if len(out):
-                entry[2] = max(entry[2], int(-out.min()))
-            entry[1] = int(course[-1])
-    yield pa.RecordBatch.from_pydict(
-        {
-            "key": pa.array([k for k, _ in seen], pa.int64()),
-            "slice": pa.array([s for _, s in seen], pa.int32()),
-            "opening": pa.array([e[0] for e in seen.values()], pa.int64()),
-            "total": pa.array([e[1] for e in seen.values()], pa.int64()),
-            "need": pa.array([e[2] for e in seen.values()], pa.int64()),
-        }
-    )

@@ -45,7 +45,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         source = views.VIEWS.get(name) or getattr(requests, name)
-        return source(self.spark, self.sf_dir)
+        table = source(self.spark, self.sf_dir)
+        setattr(self, name, table)
+        return table
 
     def stored(self, name: str) -> DataFrame:
         return tables.read_table(self.spark, self.sf_dir, name)
@@ -781,22 +783,37 @@ def audit_primary_keys(t):
 def audit_foreign_keys(t):
     return audits.audit_foreign_keys(
         {
-            "stock_ledger.supply": (t.stock_ledger, "supply_id", t.supply, "supply_id"),
-            "stock_ledger.keeper": (t.stock_ledger, "keeper_id", t.staff, "staff_id"),
-            "stock_snapshot.supply": (t.stock_snapshot, "supply_id", t.supply, "supply_id"),
-            "sale.dish": (t.sale, "dish_id", t.dish, "dish_id"),
-            "sale.waiter": (t.sale, "waiter_id", t.staff, "staff_id"),
-            "order_line.dish": (t.order_line, "dish_id", t.dish, "dish_id"),
-            "order_line.table": (t.order_line, "table_no", t.dining_table, "table_no"),
-            "recipe.dish": (t.recipe, "dish_id", t.dish, "dish_id"),
-            "recipe.supply": (t.recipe, "supply_id", t.supply, "supply_id"),
-            "offer.vendor": (t.offer, "vendor_id", t.vendor, "vendor_id"),
-            "offer.supply": (t.offer, "supply_id", t.supply, "supply_id"),
-            "cash_op.session": (t.cash_op, "session_id", t.cash_session, "session_id"),
-            "staff.role": (t.staff, "role_id", t.role, "role_id"),
-            "order_request.dish": (t.order_requests, "dish_id", t.dish, "dish_id"),
-            "order_request.table": (t.order_requests, "table_no", t.dining_table, "table_no"),
-            "order_request.waiter": (t.order_requests, "waiter_id", t.staff, "staff_id"),
+            "stock_ledger": (
+                t.stock_ledger,
+                {"supply": ("supply_id", t.supply, "supply_id"), "keeper": ("keeper_id", t.staff, "staff_id")},
+            ),
+            "stock_snapshot": (t.stock_snapshot, {"supply": ("supply_id", t.supply, "supply_id")}),
+            "sale": (
+                t.sale,
+                {"dish": ("dish_id", t.dish, "dish_id"), "waiter": ("waiter_id", t.staff, "staff_id")},
+            ),
+            "order_line": (
+                t.order_line,
+                {"dish": ("dish_id", t.dish, "dish_id"), "table": ("table_no", t.dining_table, "table_no")},
+            ),
+            "recipe": (
+                t.recipe,
+                {"dish": ("dish_id", t.dish, "dish_id"), "supply": ("supply_id", t.supply, "supply_id")},
+            ),
+            "offer": (
+                t.offer,
+                {"vendor": ("vendor_id", t.vendor, "vendor_id"), "supply": ("supply_id", t.supply, "supply_id")},
+            ),
+            "cash_op": (t.cash_op, {"session": ("session_id", t.cash_session, "session_id")}),
+            "staff": (t.staff, {"role": ("role_id", t.role, "role_id")}),
+            "order_request": (
+                t.order_requests,
+                {
+                    "dish": ("dish_id", t.dish, "dish_id"),
+                    "table": ("table_no", t.dining_table, "table_no"),
+                    "waiter": ("waiter_id", t.staff, "staff_id"),
+                },
+            ),
         }
     )
 
@@ -868,7 +885,7 @@ def _ledger_stream(t) -> DataFrame:
 
 
 def _line_stream(t) -> DataFrame:
-    return tables.table_stream(t.spark, t.sf_dir, "lineitem", t.stored("lineitem").schema)
+    return tables.table_stream(t.spark, t.sf_dir, "lineitem")
 
 
 @query

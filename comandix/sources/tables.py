@@ -9,9 +9,50 @@ from pyspark.sql import types as T
 from comandix import model
 
 
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_LONG, _INT, _TEXT, _REAL, _CLOCK = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.TimestampNTZType()
+
+# Given schemas save a pass over file footers for every reference to a table.
+STORED_SCHEMAS = {
+    "region": _schema(r_regionkey=_INT, r_name=_TEXT),
+    "nation": _schema(n_nationkey=_INT, n_name=_TEXT, n_regionkey=_INT),
+    "customer": _schema(c_custkey=_LONG, c_name=_TEXT, c_nationkey=_INT, c_acctbal=_REAL, c_mktsegment=_TEXT),
+    "supplier": _schema(s_suppkey=_LONG, s_name=_TEXT, s_nationkey=_INT, s_acctbal=_REAL),
+    "part": _schema(
+        p_partkey=_LONG, p_name=_TEXT, p_brand=_TEXT, p_type=_TEXT, p_size=_INT, p_retailprice=_REAL
+    ),
+    "orders": _schema(
+        o_orderkey=_LONG,
+        o_custkey=_LONG,
+        o_orderstatus=_TEXT,
+        o_totalprice=_REAL,
+        o_orderdate=_CLOCK,
+        o_orderpriority=_TEXT,
+    ),
+    "lineitem": _schema(
+        l_orderkey=_LONG,
+        l_partkey=_LONG,
+        l_suppkey=_LONG,
+        l_linenumber=_INT,
+        l_quantity=_REAL,
+        l_extendedprice=_REAL,
+        l_discount=_REAL,
+        l_tax=_REAL,
+        l_returnflag=_TEXT,
+        l_linestatus=_TEXT,
+        l_shipdate=_CLOCK,
+    ),
+    "events": _schema(event_id=_LONG, ts=_CLOCK, user_id=_LONG, event_type=_TEXT, value=_REAL, props=_TEXT),
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One stored Parquet table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(STORED_SCHEMAS[name]) if name in STORED_SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def read_database_table(
@@ -54,23 +95,11 @@ def load_seed(spark: SparkSession, path: str, name: str) -> DataFrame:
     )
 
 
-EVENT_FILE_SCHEMA = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
-)
-
-
 def table_stream(
-    spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, max_files_per_trigger: int | None = None
+    spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """Stream of the Parquet files of a stored table. ``max_files_per_trigger`` bounds a trigger's work."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(STORED_SCHEMAS[name])
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     # A pattern is accepted for a table of one file as well as for a folder of files; a plain path is not.
@@ -79,4 +108,4 @@ def table_stream(
 
 def order_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream of raw event files."""
-    return table_stream(spark, sf_dir, "events", EVENT_FILE_SCHEMA, max_files_per_trigger)
+    return table_stream(spark, sf_dir, "events", max_files_per_trigger)

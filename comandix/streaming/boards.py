@@ -6,19 +6,20 @@ key with a large part of all rows reaches its state as a few rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from comandix import model
 from comandix.functions import expressions as E
 from comandix.functions.expressions import money, total
-
-# Most keys a task holds while it combines rows; beyond it, what is combined so far moves on.
-COMBINE_KEYS = 200_000
+from comandix.streaming.keyed_state import (
+    move_order,
+    newest_per_order,
+    release_in_order,
+    sum_per_supply,
+    watch_level,
+)
 
 
 def orders_by_hour(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -50,9 +51,9 @@ def kitchen_board_changes(events: DataFrame) -> DataFrame:
     older than the newest one seen of its order changes nothing.
     """
     narrow = events.select("order_id", F.unix_micros("ts").alias("micros"), "event_id", "state")
-    newest = narrow.mapInPandas(_newest_per_order, narrow.schema)
+    newest = narrow.mapInPandas(newest_per_order, narrow.schema)
     return newest.groupBy("order_id").applyInPandasWithState(
-        _move_order,
+        move_order,
         "state string, change int",
         "micros long, event_id long, state string",
         "update",
@@ -67,9 +68,9 @@ def low_stock_alerts(movements: DataFrame, supplies: DataFrame) -> DataFrame:
         (F.col("qty") * 100).cast("bigint").alias("cents"),
         (F.col("min_qty") * 100).cast("bigint").alias("min_cents"),
     )
-    combined = known.mapInPandas(_sum_per_supply, known.schema)
+    combined = known.mapInPandas(sum_per_supply, known.schema)
     alerts = combined.groupBy("supply_id").applyInPandasWithState(
-        _watch_level,
+        watch_level,
         "supply_id long, cents long, min_cents long",
         "cents long, red boolean",
         "update",
@@ -92,94 +93,10 @@ def order_durations(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """
     timed = events.withWatermark("ts", delay)
     return timed.groupBy("order_id").applyInPandasWithState(
-        _release_in_order,
+        release_in_order,
         "event_id long, order_id long, from_state string, to_state string, micros_in_state long",
         "waiting_micros array<long>, waiting_ids array<long>, waiting_states array<string>,"
         " last_micros long, last_state string",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-
-
-def _newest_per_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        held.append(frame.sort_values(["order_id", "micros", "event_id"]).drop_duplicates("order_id", keep="last"))
-        if sum(map(len, held)) > COMBINE_KEYS:
-            held = [pd.concat(held).sort_values(["order_id", "micros", "event_id"]).drop_duplicates("order_id", keep="last")]
-            if len(held[0]) > COMBINE_KEYS:
-                yield held.pop()
-    if held:
-        yield pd.concat(held).sort_values(["order_id", "micros", "event_id"]).drop_duplicates("order_id", keep="last")
-
-
-def _sum_per_supply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-
-    def combine() -> pd.DataFrame:
-        return pd.concat(held).groupby("supply_id", as_index=False).agg({"cents": "sum", "min_cents": "first"})
-
-    for frame in frames:
-        held.append(frame.groupby("supply_id", as_index=False).agg({"cents": "sum", "min_cents": "first"}))
-        if sum(map(len, held)) > COMBINE_KEYS:
-            held = [combine()]
-            if len(held[0]) > COMBINE_KEYS:
-                yield held.pop()
-    if held:
-        yield combine()
-
-
-def _move_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else None
-    newest = before
-    for frame in frames:
-        row = frame.sort_values(["micros", "event_id"]).iloc[-1]
-        candidate = (int(row["micros"]), int(row["event_id"]), row["state"])
-        if newest is None or candidate[:2] > newest[:2]:
-            newest = candidate
-    if newest is None or newest == before:
-        return
-    state.update(newest)
-    moved = ([] if before is None else [(before[2], -1)]) + [(newest[2], 1)]
-    if before is None or before[2] != newest[2]:
-        yield pd.DataFrame(moved, columns=["state", "change"])
-
-
-def _watch_level(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    cents, was_red = state.get if state.exists else (0, False)
-    minimum = 0
-    for frame in frames:
-        cents += int(frame["cents"].sum())
-        minimum = int(frame["min_cents"].iloc[0])
-    red = cents <= minimum
-    state.update((cents, red))
-    if red and not was_red:
-        yield pd.DataFrame({"supply_id": [key[0]], "cents": [cents], "min_cents": [minimum]})
-
-
-def _release_in_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    micros, ids, states, last_micros, last_state = state.get if state.exists else ([], [], [], None, None)
-    waiting = list(zip(micros, ids, states, strict=True))
-    if not state.hasTimedOut:
-        for frame in frames:
-            stamps = frame["ts"].astype("datetime64[us]").astype("int64")
-            waiting += zip(stamps.tolist(), frame["event_id"].tolist(), frame["state"].tolist(), strict=True)
-    passed = state.getCurrentWatermarkMs() * 1000
-    waiting.sort()
-    ready = [event for event in waiting if event[0] < passed]
-    waiting = waiting[len(ready) :]
-    released = []
-    for stamp, event_id, to_state in ready:
-        spent = None if last_micros is None else stamp - last_micros
-        released.append((event_id, key[0], last_state, to_state, spent))
-        last_micros, last_state = stamp, to_state
-    state.update(
-        ([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], last_micros, last_state)
-    )
-    if waiting:
-        state.setTimeoutTimestamp(max(waiting[0][0], passed) // 1000 + 1)
-    if released:
-        frame = pd.DataFrame(
-            released, columns=["event_id", "order_id", "from_state", "to_state", "micros_in_state"]
-        )
-        yield frame.astype({"micros_in_state": "Int64"})

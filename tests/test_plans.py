@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -75,6 +77,22 @@ def test_a_hot_key_is_split_over_tasks(spark):
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
+def test_tasks_do_not_need_the_package(tmp_path):
+    """Executors have neither the package on their path nor the repository as working folder."""
+    script = (
+        f"import sys; sys.path.insert(0, {str(PACKAGE.parent)!r})\n"
+        "from comandix.session import build_session\n"
+        "from __spark_entry__ import queries\n"
+        "spark = build_session('x', 'local[2]', spark__ui__enabled='false', spark__sql__shuffle__partitions='2')\n"
+        "for name in ('apply_issues', 'stream_kitchen_board', 'stream_low_stock_alerts'):\n"
+        "    print(queries()[name](spark, '/root/testdata/sf0.001').count() > 0)\n"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300, check=False
+    )
+    assert done.stdout.split()[-3:] == ["True"] * 3, done.stderr[-2000:]
+
+
 def test_package_has_no_local_shortcuts():
     text = "\n".join(path.read_text() for path in PACKAGE.rglob("*.py"))
     for word in ("localCheckpoint", "crossJoin", ".toPandas(", "toLocalIterator", "F.udf", ".rdd"):

@@ -102,10 +102,9 @@ def test_stock_levels_and_alerts(spark, sf_dir, tmp_path):
     from comandix.sources.views import stock_ledger, supply
 
     folder = split_table(spark, sf_dir, "lineitem", tmp_path, 3, "l_shipdate")
-    schema = read_table(spark, sf_dir, "lineitem").schema
 
     def moves():
-        return as_stock_ledger(table_stream(spark, folder, "lineitem", schema, max_files_per_trigger=1))
+        return as_stock_ledger(table_stream(spark, folder, "lineitem", max_files_per_trigger=1))
 
     supplies = supply(spark, sf_dir)
     path = work_dir(spark, "test")
