@@ -200,19 +200,36 @@ def unlink_supplies(requests: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class SuppliesLinked:
+class SuppliesAdded:
+    """New rows: supplies, their empty stock rows and, where vendors bring them, their offers."""
+
     supplies: DataFrame
-    offers: DataFrame
     stock_rows: DataFrame
+    offers: DataFrame | None = None
+
+
+def add_supplies(requests: DataFrame, supplies: DataFrame) -> SuppliesAdded:
+    """New supplies with new ids and an empty stock row each."""
+    return _supplies_added(_numbered(requests, supplies))
+
+
+def link_new_supplies(requests: DataFrame, supplies: DataFrame) -> SuppliesAdded:
+    """New supplies as above, each offered by the vendor that brings it."""
+    numbered = _numbered(requests, supplies)
+    added = _supplies_added(numbered)
+    return SuppliesAdded(added.supplies, added.stock_rows, numbered.select("vendor_id", "supply_id", _zero("unit_price")))
 
 
-def link_new_supplies(requests: DataFrame, supplies: DataFrame) -> SuppliesLinked:
-    """New supplies with new ids, each offered by the vendor that brings it, with an empty stock row."""
+def _numbered(requests: DataFrame, supplies: DataFrame) -> DataFrame:
     last = supplies.agg(F.coalesce(F.max("supply_id"), F.lit(0)).alias("id")).scalar()
-    numbered = hotkeys.assign_ids(requests, "req_id", "supply_id", last)
-    zero = F.lit(0).cast("decimal(8,2)")
-    return SuppliesLinked(
-        numbered.select("supply_id", "supply_name", "min_qty"),
-        numbered.select("vendor_id", "supply_id", zero.alias("unit_price")),
-        numbered.select("supply_id", zero.alias("qty")),
+    return hotkeys.assign_ids(requests, "req_id", "supply_id", last)
+
+
+def _supplies_added(numbered: DataFrame) -> SuppliesAdded:
+    return SuppliesAdded(
+        numbered.select("supply_id", "supply_name", "min_qty"), numbered.select("supply_id", _zero("qty"))
     )
+
+
+def _zero(alias: str) -> Column:
+    return F.lit(0).cast("decimal(8,2)").alias(alias)

@@ -44,6 +44,13 @@ def apply_orders(
     Accepted orders start pending and take their ingredients from stock, which may go below zero.
     """
     results = _order_results(requests, dishes, tables, staff)
+    return accepted_orders(results, recipe, snapshot, last_id)
+
+
+def accepted_orders(
+    results: DataFrame, recipe: DataFrame, snapshot: DataFrame, last_id: Column | int = 0
+) -> OrdersApplied:
+    """New orders and stock that follow from a batch's results."""
     accepted = results.where("result_code = 1")
     ids = hotkeys.assign_ids(accepted, "req_id", "order_id", last_id)
     new = ids.select("order_id", "dish_id", "table_no", "waiter_id", F.lit(model.PENDING).alias("state"), "ts")

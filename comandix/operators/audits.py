@@ -14,8 +14,11 @@ from comandix import model
 from comandix.operators.joins import ledger_vs_snapshot
 
 
-def duplicate_keys(table: DataFrame, key: list[str]) -> DataFrame:
-    """Keys that occur more than once."""
+def duplicate_keys(table: DataFrame, key: list[str], ignore_case: bool = False) -> DataFrame:
+    """Keys that occur more than once; with ``ignore_case``, text that differs only in case is one key."""
+    if ignore_case:
+        text = [f.name for f in table.schema.fields if f.name in key and f.dataType.typeName() == "string"]
+        table = table.withColumns({name: F.collate(name, "UTF8_LCASE") for name in text})
     return table.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 

@@ -40,6 +40,11 @@ def find_by_key(table: DataFrame, key: str, value: Any) -> DataFrame:
     return table.where(F.col(key) == F.lit(value)).limit(1)
 
 
+def first_row(df: DataFrame, *order: str) -> DataFrame:
+    """The first row of a result in an order given explicitly."""
+    return df.orderBy(*order).limit(1)
+
+
 def lookup_by_key(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Many point lookups at once: every requested key, with NULLs where nothing is stored."""
     return keys.select(key).distinct().join(table, key, "left")

@@ -750,6 +750,14 @@ def unlink_supplies(t):
     return apply_dims.unlink_supplies(t.unlink_requests, t.vendor_supply)
 
 
+@query
+def add_supplies(t):
+    added = apply_dims.add_supplies(t.new_linked_supplies, t.supply)
+    return t.supply.unionByName(added.supplies).join(
+        _minimum_stock(t).unionByName(added.stock_rows), "supply_id"
+    )
+
+
 @query
 def link_new_supplies(t):
     linked = apply_dims.link_new_supplies(t.new_linked_supplies, t.supply)
@@ -953,6 +961,23 @@ def stream_apply_requests(t):
     return store.read("stock")
 
 
+@query
+def stream_apply_orders(t):
+    path = work_dir(t.spark, "stream")
+    store = sinks.VersionedTables(t.spark, f"{path}/stock")
+    asked = requests.as_order_requests(
+        tables.order_event_stream(t.spark, t.sf_dir),
+        views.count_of(t.stored("part")),
+        views.count_of(t.stored("supplier")),
+    )
+    each = jobs.apply_order_requests(
+        store, f"{path}/orders", f"{path}/results", t.dish, t.dining_table, t.staff, t.recipe, t.stock_snapshot
+    )
+    jobs.run_batches(asked, each, f"{path}/checkpoint", mode="append")
+    orders = sinks.read_ledger(t.spark, f"{path}/orders")
+    return orders.select("order_id", "dish_id", "table_no", "waiter_id", "state", "ts")
+
+
 @query
 def stream_order_durations(t):
     return apply_orders.state_durations(t.order_event)

@@ -710,6 +710,8 @@ check("unlink_supplies", "vendor_supply unlink", """
     SELECT v.* FROM vendor_supply v
     WHERE NOT EXISTS (SELECT 1 FROM unlink u WHERE u.supply_id = v.supply_id
                         AND (u.vendor_id IS NULL OR u.vendor_id = v.vendor_id))""")
+check("add_supplies", "grown_supply", """
+    SELECT supply_id, supply_name, min_qty, CAST(qty AS DECIMAL(8,2)) AS qty FROM grown_supply""")
 check("link_new_supplies", "linked_supply", """
     SELECT supply_id, supply_name, min_qty, vendor_id, CAST(0 AS DECIMAL(8,2)) AS unit_price, CAST(0 AS DECIMAL(8,2)) AS qty
     FROM linked_supply""")
@@ -828,6 +830,9 @@ check("stream_stock_levels", "stock_ledger supply", STATUS)
 check("stream_low_stock_alerts", "stock_ledger supply", f"""
     SELECT supply_id, on_hand, min_qty, status FROM ({STATUS}) WHERE status = 'ROJO'""")
 check("stream_apply_requests", "folded", FOLDED_STOCK)
+check("stream_apply_orders", "coded_order_request", """
+    SELECT row_number() OVER (ORDER BY req_id) AS order_id, dish_id, table_no, waiter_id, 'PENDIENTE' AS state, ts
+    FROM coded_order_request WHERE result_code = 1""")
 check("stream_order_durations", "order_event", """
     SELECT event_id, order_id, lag(state) OVER w AS from_state, state AS to_state,
            epoch_us(ts) - epoch_us(lag(ts) OVER w) AS micros_in_state

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comandix.functions.expressions import money
@@ -11,10 +11,14 @@ from comandix.sources.views import count_of
 
 
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New orders, with unknown dishes, tables and waiters and with no table or waiter among them."""
     dishes = count_of(read_table(spark, sf_dir, "part"))
     people = count_of(read_table(spark, sf_dir, "supplier"))
-    return read_table(spark, sf_dir, "events").select(
+    return as_order_requests(read_table(spark, sf_dir, "events"), dishes, people)
+
+
+def as_order_requests(events: DataFrame, dishes: Column | int, people: Column | int) -> DataFrame:
+    """New orders, with unknown dishes, tables and waiters and with no table or waiter among them."""
+    return events.select(
         F.col("event_id").alias("req_id"),
         (F.col("event_id") % (dishes + 50)).alias("dish_id"),
         F.nullif(F.col("user_id") % 24, F.lit(0)).alias("table_no"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comandix.operators import apply_stock
+from comandix.operators import apply_orders, apply_stock
 from comandix.sources.sinks import VersionedTables, append_ledger, read_ledger
 
 
@@ -100,3 +100,39 @@ def apply_movements(
         store.publish({"stock": stored.snapshot}, version=batch_id + 1)
 
     return each
+
+
+def apply_order_requests(
+    store: VersionedTables,
+    orders_path: str,
+    results_path: str,
+    dishes: DataFrame,
+    tables: DataFrame,
+    staff: DataFrame,
+    recipe: DataFrame,
+    opening: DataFrame,
+    last_id: int = 0,
+) -> Callable[[DataFrame, int], None]:
+    """Apply each micro-batch of order requests: new orders with ids, and the ingredients they take.
+
+    The same rules for repeats hold as for movements. The last id given out is published with the
+    stock, so a batch that is run again gives out the same ids.
+    """
+
+    def each(requests: DataFrame, batch_id: int) -> None:
+        if store.version() > batch_id:
+            return
+        spark = requests.sparkSession
+        snapshot = opening if batch_id == 0 else store.read("stock")
+        last = last_id if batch_id == 0 else store.read("last_order").first()["order_id"]
+        once = requests.dropDuplicates(["req_id"])
+        checked = apply_orders.apply_orders(once, dishes, tables, staff, recipe, snapshot)
+        append_ledger(checked.results, results_path, str(batch_id))
+        results = spark.read.parquet(f"{results_path}/batch={batch_id}")
+        stored = apply_orders.accepted_orders(results, recipe, snapshot, last)
+        append_ledger(stored.orders, orders_path, str(batch_id))
+        given = spark.read.parquet(f"{orders_path}/batch={batch_id}")
+        newest = given.agg(F.coalesce(F.max("order_id"), F.lit(last)).cast("bigint").alias("order_id"))
+        store.publish({"stock": stored.snapshot, "last_order": newest}, version=batch_id + 1)
+
+    return each

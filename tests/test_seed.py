@@ -175,3 +175,10 @@ def test_users(seed):
     assert lists.selectable_dishes(seed.dish).count() == 9
     assert lists.selectable_tables(seed.dining_table).count() == 6
     assert lists.editable_orders(seed.order_line).count() == 11
+
+
+def test_first_row_and_names_in_any_case(spark, seed):
+    assert rows(lists.first_row(seed.cash_session, "opening", "session_id"), "session_id") == [(7,)]
+    names = spark.createDataFrame([("Ana",), ("ana",), ("Luz",)], "username string")
+    assert audits.duplicate_keys(names, ["username"]).count() == 0
+    assert audits.duplicate_keys(names, ["username"], ignore_case=True).count() == 1

@@ -196,3 +196,18 @@ def test_a_failure_before_publishing_is_repeated_cleanly(spark, movement_job, mo
     each(batch_of(spark, (1, 1, "-8")), 0)
     assert rows(store.read("stock"), "supply_id", "qty")[0] == (1, Decimal("2.00"))
     assert read_ledger(spark, f"{path}/ledger").count() == 1
+
+
+def test_orders_keep_their_ids_over_batches(spark, seed):
+    path = work_dir(spark, "test")
+    store = VersionedTables(spark, f"{path}/stock")
+    each = jobs.apply_order_requests(
+        store, f"{path}/orders", f"{path}/results", seed.dish, seed.dining_table, seed.staff, seed.recipe, seed.stock_snapshot, 43
+    )
+    kind = "req_id bigint, dish_id bigint, table_no bigint, waiter_id bigint, ts bigint"
+    each(spark.createDataFrame([(1, 2, 1, 18, 0), (2, 99, 1, 18, 0), (2, 99, 1, 18, 0)], kind), 0)
+    each(spark.createDataFrame([(3, 99, 1, 18, 0)], kind), 1)  # nothing accepted
+    for _ in range(2):
+        each(spark.createDataFrame([(4, 3, None, None, 0), (5, 4, 2, 19, 0)], kind), 2)
+    assert rows(read_ledger(spark, f"{path}/orders"), "order_id", "dish_id") == [(44, 2), (45, 3), (46, 4)]
+    assert rows(read_ledger(spark, f"{path}/results"), "req_id", "result_code") == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 1)]
