@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from comandix.functions.expressions import first_failure, message_for, money, total
 from comandix.operators import hotkeys
-from comandix.operators.joins import add_to_stock, known_reference
+from comandix.operators.joins import add_to_stock, broadcast_if_small, known_reference
 from comandix.operators.stock_fold import fold_movements
 
 
@@ -94,13 +94,13 @@ def apply_ledger_corrections(
     ``edits`` has the key and ``new_qty``. ``deletes`` has the key and ``reverse_stock``: true takes
     the deleted quantity back out of the stock, false leaves the stock alone. Edits never move it.
     """
-    gone = deletes.groupBy(*key).agg(F.max("reverse_stock").alias("_reverse"))
-    changed = edits.groupBy(*key).agg(F.max("new_qty").alias("_new_qty"))
+    gone = broadcast_if_small(deletes.groupBy(*key).agg(F.max("reverse_stock").alias("_reverse")), deletes)
+    changed = broadcast_if_small(edits.groupBy(*key).agg(F.max("new_qty").alias("_new_qty")), edits)
     marked = ledger.join(gone, key, "left").join(changed, key, "left")
     kept = marked.where(F.col("_reverse").isNull())
     new_ledger = kept.withColumn("qty", F.coalesce("_new_qty", "qty").cast(ledger.schema["qty"].dataType))
     reversed_qty = (
-        ledger.join(gone.where("_reverse"), key, "left_semi").groupBy("supply_id").agg((-total("qty")).alias("qty"))
+        ledger.join(gone, key).where("_reverse").groupBy("supply_id").agg((-total("qty")).alias("qty"))
     )
     return Corrected(new_ledger.select(*ledger.columns), add_to_stock(snapshot, reversed_qty))
 

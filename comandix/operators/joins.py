@@ -148,13 +148,14 @@ def _checked(requests: DataFrame, dishes: DataFrame, tables: DataFrame, staff: D
     return known_reference(marked, staff.where("enabled"), "staff_id", "waiter_id", "_waiter")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, counted: DataFrame | None = None, max_rows: int = 100_000) -> DataFrame:
     """Ask for a broadcast only after counting that the rows are few; otherwise leave the choice to Spark.
 
-    For a short list of keys, each of which many rows have: shuffling those rows by so few keys
-    would use few tasks.
+    For a few keys or corrections that meet a very large table, which then need not be shuffled.
+    ``counted`` is a cheaper DataFrame with at least as many rows; counting stops at the limit.
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
+    counted = df if counted is None else counted
+    few = counted.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
 
 
