@@ -51,23 +51,38 @@ def apply_issues(
     2 unknown supply, 3 unknown or disabled keeper, 4 no quantity, 5 more than is in stock at that
     moment. A refused movement leaves the stock as it is for the next one.
     """
-    # Supplies and their stock are put together first, so the requests meet them in one join, which
-    # the adaptive skew join can split; two joins on one key would tie its rows to one task.
     stock = snapshot.select("supply_id", F.col("qty").alias("_stock"))
     stocked = supplies.select("supply_id").join(stock, "supply_id", "left").withColumn("_supply", F.lit(True))
-    checked = known_reference(requests, staff.where("enabled"), "staff_id", "keeper_id", "_keeper")
-    checked = checked.join(stocked, "supply_id", "left")
-    fixed = first_failure(
-        (F.col("_supply").isNull(), 2),
-        (F.col("_keeper").isNull(), 3),
-        (F.coalesce(F.col("qty") == 0, F.lit(True)), 4),
-        (F.col("_stock").isNull() & (F.col("qty") < 0), 5),
-    )
-    checked = checked.withColumn("_code", fixed).select(*requests.columns, "_stock", "_code")
+
+    def checked(part: DataFrame) -> DataFrame:
+        marked = known_reference(part, staff.where("enabled"), "staff_id", "keeper_id", "_keeper")
+        marked = marked.join(stocked, "supply_id", "left")
+        fixed = first_failure(
+            (F.col("_supply").isNull(), 2),
+            (F.col("_keeper").isNull(), 3),
+            (F.coalesce(F.col("qty") == 0, F.lit(True)), 4),
+            (F.col("_stock").isNull() & (F.col("qty") < 0), 5),
+        )
+        return marked.select(*requests.columns, "_stock", fixed.alias("_code"))
+
+    # Hot supplies are told apart before anything else: the others then go through the stock join and
+    # the fold in one shuffle, and the join of the hot ones can be split freely.
+    # Requests without a supply are refused as they are; the scan skips files that have none.
+    named = requests.where("supply_id IS NOT NULL")
+    rest, hot = hotkeys.split_hot(named, "supply_id", hot_rows)
     counts = F.when((F.col("_code") == 1) & F.col("_stock").isNotNull(), F.col("qty")).otherwise(F.lit(0))
-    folded = fold_movements(checked, "supply_id", order, counts, F.coalesce("_stock", F.lit(0)), hot_rows, requests)
+    folded = fold_movements(
+        checked(rest),
+        None if hot is None else checked(hot),
+        "supply_id",
+        order,
+        counts,
+        F.coalesce("_stock", F.lit(0)),
+    )
     code = F.when(F.col("accepted"), F.col("_code")).otherwise(F.lit(5)).cast("int")
-    results = _coded(folded, code, requests, "issue")
+    results = _coded(folded, code, requests, "issue").unionByName(
+        _coded(requests.where("supply_id IS NULL"), F.lit(2), requests, "issue")
+    )
     return accepted(results, requests.columns, snapshot)
 
 

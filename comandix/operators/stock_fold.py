@@ -17,47 +17,47 @@ within a few movements, two or three rounds are usual. The result is exact in ev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from comandix.operators import hotkeys
 from comandix.operators.stock_walk import CENTS, KEY, OPENING, SLICE, end_walker, summarise, walker
 
+PLACE = "_place"
+
 
 def fold_movements(
-    movements: DataFrame,
-    key: str,
-    order: list[str],
-    qty: Column,
-    opening: Column,
-    hot_rows: int = hotkeys.HOT_ROWS,
-    counted: DataFrame | None = None,
+    rest: DataFrame, hot: DataFrame | None, key: str, order: list[str], qty: Column, opening: Column
 ) -> DataFrame:
-    """Add ``accepted`` to every movement of ``movements``.
+    """Add ``accepted`` to every movement of ``rest`` and ``hot``, as ``hotkeys.split_hot`` gives them.
 
     ``qty`` is the signed quantity that counts, ``opening`` the key's balance before its first
-    movement. Quantities have two decimals and are walked as whole cents. ``counted`` is a cheaper
-    DataFrame to look for hot keys in.
+    movement. Quantities have two decimals and are walked as whole cents. Keys are not NULL.
+
+    The window that numbers a key's movements is what brings them together and in order: unlike a
+    repartition it is a requirement the adaptive planner keeps, and a shuffle by ``key`` that a join
+    before has made serves it too.
     """
-    prepared = movements.withColumns(
-        {
-            KEY: F.coalesce(F.col(key), F.lit(-1)),
-            CENTS: (qty * 100).cast("bigint"),
-            OPENING: (opening * 100).cast("bigint"),
-        }
-    )
-    schema = T.StructType([*prepared.schema.fields, T.StructField("accepted", T.BooleanType())])
-    walk = [KEY, *order]
-    if counted is not None:
-        counted = counted.select(F.coalesce(F.col(key), F.lit(-1)).alias(KEY))
-    rest, hot = hotkeys.split_hot(prepared, KEY, hot_rows, counted)
-    done = rest.repartition(KEY).sortWithinPartitions(*walk).mapInArrow(walker({}), schema)
+
+    def prepared(movements: DataFrame) -> DataFrame:
+        return movements.withColumns(
+            {
+                KEY: F.col(key).cast("bigint"),
+                CENTS: (qty * 100).cast("bigint"),
+                OPENING: (opening * 100).cast("bigint"),
+            }
+        )
+
+    def accepting(movements: DataFrame) -> T.StructType:
+        return T.StructType([*movements.schema.fields, T.StructField("accepted", T.BooleanType())])
+
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    whole = prepared(rest).withColumn(PLACE, place)
+    done = whole.mapInArrow(walker({}), accepting(whole)).drop(PLACE)
     if hot is not None:
-        slices = hotkeys.cut(hot, walk)
-        starts = _settle(slices)
-        wide = T.StructType([*slices.schema.fields, T.StructField("accepted", T.BooleanType())])
-        done = done.unionByName(slices.mapInArrow(walker(starts), wide).drop(SLICE))
+        slices = hotkeys.cut(prepared(hot), [key, *order])
+        done = done.unionByName(slices.mapInArrow(walker(_settle(slices)), accepting(slices)).drop(SLICE))
     return done.drop(KEY, CENTS, OPENING)
 
 

@@ -35,6 +35,12 @@ def walked(moves, opening):
     return accepted, balance
 
 
+def folded(df, opening, hot_rows):
+    rest, hot = hotkeys.split_hot(df, "supply_id", hot_rows)
+    assert (hot is not None) == (hot_rows < 10**9)
+    return fold_movements(rest, hot, "supply_id", ["ts", "req_id"], F.col("qty"), opening)
+
+
 @pytest.mark.parametrize(
     "low, high",
     [(-900, 900), (-2000, 300), (-300, 2000), (-5000, -4000), (-5, 5), (-100000, 30000)],
@@ -44,7 +50,7 @@ def walked(moves, opening):
 def test_fold_with_hot_keys(spark, low, high, opening):
     moves = skewed_moves(low * 31 + high, 3000, low, high)
     df = spark.createDataFrame(moves, MOVES).repartition(5)
-    done = fold_movements(df, "supply_id", ["ts", "req_id"], F.col("qty"), F.lit(Decimal(opening)), hot_rows=200)
+    done = folded(df, F.lit(Decimal(opening)), 200)
     expected, _ = walked(moves, lambda key: Decimal(opening))
     assert {r["req_id"]: r["accepted"] for r in done.collect()} == expected
 
@@ -52,18 +58,44 @@ def test_fold_with_hot_keys(spark, low, high, opening):
 def test_fold_without_hot_keys_agrees(spark):
     moves = skewed_moves(5, 2000, -900, 700)
     df = spark.createDataFrame(moves, MOVES)
-    plain = fold_movements(df, "supply_id", ["ts", "req_id"], F.col("qty"), F.lit(10))
-    cut = fold_movements(df, "supply_id", ["ts", "req_id"], F.col("qty"), F.lit(10), hot_rows=100)
+    plain = folded(df, F.lit(10), 10**9)
+    cut = folded(df, F.lit(10), 100)
     assert rows(plain, "req_id", "accepted") == rows(cut, "req_id", "accepted")
 
 
-def test_issues_with_hot_keys(spark):
+@pytest.fixture(params=["broadcast", "broadcast at run time", "never broadcast"])
+def join_kind(spark, request):
+    """The ways the planner may join, which must not change what a task sees."""
+    changed = {
+        "broadcast": {},
+        "broadcast at run time": {"spark.sql.autoBroadcastJoinThreshold": "-1"},
+        "never broadcast": {
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        },
+    }[request.param]
+    before = {key: spark.conf.get(key, None) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    if changed:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", changed.get("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m"))
+    yield
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key, value in before.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 150])
+def test_issues_with_hot_keys(spark, join_kind, hot_rows):
     moves = skewed_moves(11, 2000, -900, 800)
-    requests = spark.createDataFrame(moves, MOVES)
+    requests = spark.createDataFrame(moves, MOVES).repartition(11)
     supplies = spark.range(40).withColumnRenamed("id", "supply_id")
     staff = spark.createDataFrame([(1, True)], "staff_id bigint, enabled boolean")
     snapshot = supplies.select("supply_id", F.lit(Decimal("12.50")).alias("qty"))
-    applied = apply_stock.apply_issues(requests, supplies, staff, snapshot, ["ts", "req_id"], hot_rows=150)
+    applied = apply_stock.apply_issues(requests, supplies, staff, snapshot, ["ts", "req_id"], hot_rows=hot_rows)
     counted = [m for m in moves if m[3] != 0]
     expected, balance = walked(counted, lambda key: Decimal("12.50"))
     codes = {r["req_id"]: r["result_code"] for r in applied.results.collect()}
