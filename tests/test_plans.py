@@ -77,6 +77,13 @@ def test_a_hot_key_is_split_over_tasks(spark):
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
+def test_the_fold_gets_whole_keys_by_requirement(spark, sf_dir):
+    """A plain repartition below the fold may be dropped, and its rows left where a join reads them."""
+    for name in ("apply_issues", "apply_issues_stock"):
+        below = plan(queries()[name](spark, sf_dir)).split("MapInArrow", 1)[1]
+        assert below.index("Window [row_number()") < below.index("Join")
+
+
 def test_tasks_do_not_need_the_package(tmp_path):
     """Executors have neither the package on their path nor the repository as working folder."""
     script = (
