@@ -70,6 +70,21 @@ def read_table(t):
     return t.stock_ledger
 
 
+@query
+def load_seed(t):
+    path = work_dir(t.spark, "seed")
+    people = t.staff.select("staff_id", "role_id", "username", F.col("enabled").cast("int").alias("enabled"))
+    people.write.csv(path, header=True)
+    return tables.load_seed(t.spark, path, "staff")
+
+
+@query
+def order_event_stream(t):
+    path = work_dir(t.spark, "stream")
+    jobs.run_to_files(tables.order_event_stream(t.spark, t.sf_dir), f"{path}/out", f"{path}/checkpoint")
+    return views.as_order_events(t.spark.read.schema(tables.STORED_SCHEMAS["events"]).parquet(f"{path}/out"))
+
+
 @query
 def json_envelope(t):
     priced = t.dish.select("dish_id", "dish_name", F.col("price").cast("string").alias("price"), "active")

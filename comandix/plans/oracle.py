@@ -312,6 +312,8 @@ def check(name: str, names: str, body: str) -> None:
 # Sources and sinks
 
 check("read_table", "stock_ledger", "SELECT * FROM stock_ledger")
+check("load_seed", "staff", "SELECT staff_id, CAST(role_id AS BIGINT) AS role_id, username, enabled FROM staff")
+check("order_event_stream", "order_event", "SELECT * FROM order_event")
 check("json_envelope", "dish", """
     SELECT '{"ok":true,"result":{"dish_id":' || dish_id || ',"dish_name":"' || dish_name || '","price":"' || price
            || '","active":' || CASE WHEN active THEN 'true' ELSE 'false' END || '}}' AS document
