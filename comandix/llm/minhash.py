@@ -7,8 +7,8 @@ of Jaccard similarity s meet with probability (1 - (1 - s**DEPTH)**SIDE)**2: 0.9
 
 Texts with equal sets are one node throughout. Left rows that no other node shares are dropped
 before the pairs are formed. Within a table nodes are compared with representatives, and links are
-confirmed on the whole sets, read from the texts. Every pair that meets is confirmed, refused or
-already within one component through confirmed links; pairs are never listed within a group.
+confirmed on the whole sets, read from the texts. Tables whose nodes are still in different components
+then get another representative, until a round confirms nothing; pairs are never listed within a group.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from comandix.llm import common, textbytes
 
 SIDE, DEPTH = 12, 3
 HASHES = 2 * SIDE * DEPTH
-#: Matching bytes of HASHES below which a pair at 0.8 or more falls with a probability under 1e-7.
-LEAST_MATCHES = 38
-REPRESENTATIVES = 4
+#: Matching bytes of HASHES below which a pair at 0.8 or more falls with a probability under 1e-4.
+LEAST_MATCHES = 43
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -173,19 +172,21 @@ def _links(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, p
     lowest = tables.groupBy("_key").agg(F.min("_s").alias("a"))
     pairs = tables.join(lowest, "_key").where("a <> _s").select("a", F.col("_s").alias("b")).distinct()
     found = common.stored(check(pairs))
-    for again in range(2):
-        # Nodes of one table that are still in different components, against more representatives.
+    again = 0
+    while True:
+        # Nodes of one table that are still in different components, against another representative.
         names = common.components(found).select(F.col("node").alias("_s"), "component")
         now = tables.join(names, "_s", "left").withColumn("_c", F.coalesce("component", "_s"))
-        picks = [F.min_by(F.struct("_s", "_c"), F.xxhash64("_s", "_key", F.lit(again * REPRESENTATIVES + k))) for k in range(REPRESENTATIVES)]
-        mixed = now.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y"), F.array_distinct(F.array(*picks)).alias("_p"))
-        mixed = mixed.where("_x <> _y").select("_key", "_p")
-        more = now.join(mixed, "_key").select(F.col("_s").alias("b"), "_c", F.explode("_p").alias("_p")).where("_c <> _p._c")
+        pick = F.min_by(F.struct("_s", "_c"), F.xxhash64("_s", "_key", F.lit(again)))
+        torn = now.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y"), pick.alias("_p"))
+        torn = torn.where("_x <> _y").select("_key", "_p")
+        more = now.join(torn, "_key").select(F.col("_s").alias("b"), "_c", "_p").where("_c <> _p._c")
         more = more.select(F.least("b", "_p._s").alias("a"), F.greatest("b", "_p._s").alias("b")).distinct()
         more = common.stored(check(more))
         if more.isEmpty():
             break
         found = found.union(more)
+        again += 1
     return found
 
 

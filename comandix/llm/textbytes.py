@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = _U(pow(int(STEP), -1, 1 << 64))
-    up, down = np.full(n, STEP), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +58,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = PIECE + 1
     while size < n:
         size *= 2
-    return _powers(size)
+    if size not in _POWERS:
+        _POWERS.clear()
+        up, down = np.full(size, STEP), np.full(size, _U(pow(int(STEP), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[size]
 
 
 def prefix_sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
