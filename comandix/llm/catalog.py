@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comandix.llm import minhash
+from comandix.llm import minhash, mixing, quality_rules, suffix
 from comandix.llm.common import read
 
 
@@ -12,8 +12,77 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=4)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"), 400).drop("kept_text")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents")).drop("_k", "_often")
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents")).drop("_k", "source")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_source_mix": op7_source_mix,
 }
 
-ORACLE: dict[str, str] = {}
+#: What the rules for words and lines look like in SQL.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op6_quality_rules": rf"""
+WITH base AS (
+    SELECT doc_id, source, text, {_WORDS} AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM base)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows),
+repeated AS (
+    SELECT doc_id, sum(least(5, coalesce(next - i, 5))) AS n_repeat_words
+    FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM twice WHERE n > 1) GROUP BY doc_id),
+line AS (
+    SELECT doc_id, source, text, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+    FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM base)),
+host AS (SELECT source, count(DISTINCT coalesce('=' || text, '-')) AS texts FROM documents GROUP BY source),
+often AS (
+    SELECT c.source, c.h FROM (SELECT source, h, count(DISTINCT text) AS n FROM line WHERE n <= {quality_rules.LINE_WORDS} GROUP BY source, h) c
+    JOIN host ON c.source IS NOT DISTINCT FROM host.source WHERE c.n > {quality_rules.LEAST_TEXTS} AND c.n > {quality_rules.MOST_SHARE} * host.texts),
+gone AS (
+    SELECT doc_id, sum(n) AS n_frequent_words FROM line JOIN often ON line.source IS NOT DISTINCT FROM often.source AND line.h = often.h
+    WHERE n <= {quality_rules.LINE_WORDS} GROUP BY doc_id),
+figures AS (
+    SELECT base.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_frequent_words, 0) AS BIGINT) AS n_frequent_words
+    FROM base LEFT JOIN repeated USING (doc_id) LEFT JOIN gone USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - n_frequent_words AS rest FROM figures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words, base_failed,
+    NOT base_failed AND NOT (n_frequent_words > 0 AND (rest < {quality_rules.LEAST_WORDS} OR rest < {quality_rules.LEAST_PART} * n_words)) AS kept
+FROM judged""",
+    "op7_source_mix": rf"""
+WITH rows AS (
+    SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
+        md5(concat_ws(chr(31), coalesce('=' || doc_id, '-'), coalesce('=' || source, '-'), coalesce('=' || text, '-'))) AS k FROM documents),
+keyed AS (SELECT *, md5(k || ':1') AS r FROM rows),
+sources AS (
+    SELECT source, sum(size)::DOUBLE AS s, (ARRAY[5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM rows GROUP BY source),
+ordered AS (
+    SELECT *, sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(w) OVER (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM sources),
+level AS (SELECT min_by(rest / others, 3 * s / w) AS share FROM ordered WHERE rest / others <= 3 * s / w),
+target AS (SELECT source, CAST(s AS BIGINT) AS source_size, least(3 * s, coalesce(share, 0) * w) AS target FROM ordered, level),
+budget AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS times FROM target),
+placed AS (
+    SELECT doc_id, size, source_size, target, times, CAST(round(target) AS BIGINT) - times * source_size AS rest,
+        coalesce(sum(size) OVER (PARTITION BY keyed.source ORDER BY r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM keyed JOIN budget ON keyed.source IS NOT DISTINCT FROM budget.source)
+SELECT doc_id, size, source_size, target, CAST(size * times + least(size, greatest(0, rest - start)) AS BIGINT) AS taken FROM placed""",
+}

@@ -24,7 +24,11 @@ def stored(df: DataFrame) -> DataFrame:
 def row_key(*columns: str) -> Column:
     """16 bytes that equal rows share and different rows don't. NULL differs from any text."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
-    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
+    return row_key_of(F.concat_ws("\x1f", *parts))
+
+
+def row_key_of(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def word_count(text: Column) -> Column:
