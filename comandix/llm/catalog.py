@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from comandix.llm import minhash, mixing, quality_rules, suffix
+from comandix.llm import caps, language, minhash, mixing, ordinal, pieces, quality_rules, suffix, url_rules, warc
 from comandix.llm.common import read
 
+#: A SentencePiece model that the driver can read.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=4)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of pages are those of the documents with their number."""
+    labels = read(spark, sf_dir, "labels")
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic")) == 1
+    known = labels.groupBy("doc_id").agg(F.max(bad).alias("_bad")).select("doc_id", F.when(F.col("_bad"), "block").otherwise("allow").alias("label"))
+    return url_rules.judged(read(spark, sf_dir, "pages"), known)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_pieces", "ids_sha256", "decoded_sha256", "round_trip")
+    return pieces.encode_decode(read(spark, sf_dir, "documents"), PIECE_MODEL, outputs)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 poor, 2 good."""
+    labels = read(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    rated = labels.groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    return ordinal.graded(read(spark, sf_dir, "documents"), rated)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir, "documents"), 400).drop("kept_text")
 
@@ -24,11 +51,30 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents")).drop("_k", "source")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(read(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = warc.write_archives(read(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, files).drop("payload")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
+    "op8_language_id": op8_language_id,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_warc": op10_warc,
 }
 
 #: What the rules for words and lines look like in SQL.

@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("_y"), F.col(text_col).alias("_t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_r"))
     sample = rows.orderBy("_r", "_y").limit(FITTED).select("_y", "_t").mapInArrow(packed, "_y string, _bits binary")
-    model = sample.groupBy(F.lit(1)).applyInArrow(solved, "kinds array<string>, offset array<double>, matrix binary").collect()  # one row
+    model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(solved, "kinds array<string>, offset array<double>, matrix binary").collect()  # one row
     if not model:
         return [], np.zeros(0), np.zeros((BUCKETS, 0), np.float32)
     kinds = list(model[0]["kinds"])

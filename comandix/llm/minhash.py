@@ -91,32 +91,56 @@ def near_duplicates(
 
     ``percent`` from 80 on; the tables are laid out for that. A-Z is lower-cased, a NULL or empty text
     or one of spaces only has no shingles and is linked with nothing; its component is its own id.
-    Rows with equal texts are linked. Repeated ids are separate rows of one component each; the
-    smallest id that is not NULL names a component. Rows with a NULL id take part and are kept only if
-    all of the component's ids are NULL. Other columns of ``docs`` are ignored.
+    Rows with equal texts are linked. Repeated ids are separate rows; the smallest id that is not
+    NULL names a component. Rows with a NULL id take part and are kept only if all of the
+    component's ids are NULL. Other columns of ``docs`` are ignored.
     """
+    out = _grouped(_source(docs, id_col, text_col), words, percent)
+    kept = F.col("_to").eqNullSafe(F.col("_id"))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_to").alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with its columns and one row of each group, that with the smallest id; see ``near_duplicates``.
+
+    Rows without shingles all stay, but for rows that repeat id and text.
+    """
+    out = _grouped(_source(docs, id_col, text_col), words, percent)
+    group = F.coalesce(F.col("_c"), F.col("_k"))
+    # The smallest id that is not NULL, and of its rows one.
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_k"))
+    keep = out.groupBy(group.alias("_g")).agg(first.alias("_r")).select("_r._k").distinct()
+    inner = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    name = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    kept = inner.withColumn("_k", common.row_key(name[id_col], name[text_col])).join(keep, "_k").dropDuplicates(["_k"])
+    return kept.select(*[F.col(name[c]).alias(c) for c in docs.columns])
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", common.row_key("_id", "_t"))
+
+
+def _grouped(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """One row per row of ``source`` (_id, _t, _k): key, id, set size, group, the group's smallest id."""
     if percent < 80:
         raise ValueError("the tables are laid out for a similarity of 80 percent or more")
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", common.row_key("_id", "_t"))
+    kind = dict(source.dtypes)["_id"]
     signed = source.select("_k", "_t", "_id").mapInArrow(
-        _with_id(signatures(words)), f"_k binary, _n long, _s binary, _h array<int>, _id {dict(docs.dtypes)[id_col]}"
+        _with_id(signatures(words)), f"_k binary, _n long, _s binary, _h array<int>, _id {kind}"
     )
     rows = common.stored(signed)
     nodes = common.stored(
         rows.where("_n > 0").groupBy("_s").agg(F.min(F.struct("_k", "_n", "_h")).alias("_r")).select("_s", "_r.*")
     )
-    tables = _tables(nodes)
-    linked = _links(source, nodes, tables, words, percent)
-    names = common.components(linked)
+    names = common.components(_links(source, nodes, _tables(nodes), words, percent))
     ids = rows.groupBy("_s").agg(F.min("_id").alias("_id"))
     labelled = ids.join(names.withColumnRenamed("node", "_s"), "_s", "left").withColumn("_c", F.coalesce("component", "_s"))
     smallest = labelled.groupBy("_c").agg(F.min("_id").alias("_to"))
-    target = labelled.join(smallest, "_c").select("_s", "_to")
-    out = rows.select("_id", "_n", "_s").join(target, "_s", "left")
-    component = F.when(F.col("_s").isNull(), F.col("_id")).otherwise(F.col("_to"))
-    return out.select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept")
-    )
+    target = labelled.join(smallest, "_c").select("_s", "_c", "_to")
+    out = rows.select("_k", "_id", "_n", "_s").join(target, "_s", "left")
+    return out.select("_k", "_id", "_n", "_c", F.when(F.col("_s").isNull(), F.col("_id")).otherwise(F.col("_to")).alias("_to"))
 
 
 def _with_id(inner):
