@@ -61,7 +61,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = warc.write_archives(read(spark, sf_dir, "pages"))
-    return warc.read_archives(folder, files).drop("payload")
+    return warc.read_archives(folder, files).drop("payload", "file")
 
 
 QUERIES = {
@@ -131,4 +131,23 @@ placed AS (
         coalesce(sum(size) OVER (PARTITION BY keyed.source ORDER BY r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
     FROM keyed JOIN budget ON keyed.source IS NOT DISTINCT FROM budget.source)
 SELECT doc_id, size, source_size, target, CAST(size * times + least(size, greatest(0, rest - start)) AS BIGINT) AS taken FROM placed""",
+    "op9_embedding_near_dedup": r"""
+WITH RECURSIVE fine AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.vec_id AND reach.c < links.b),
+component AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, c = e.vec_id AS kept
+FROM embeddings e JOIN component ON component.vec_id = e.vec_id LEFT JOIN counts ON counts.a = e.vec_id""",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+    CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url
+FROM f""",
 }

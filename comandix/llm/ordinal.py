@@ -24,6 +24,8 @@ from comandix.llm import textbytes
 
 BUCKETS, FITTED = 1 << 17, 20_000
 ROUNDS, RATE, DECAY = 60, 0.5, 2e-4
+#: Texts a feature must be in, and standard deviations by which it must lean to high or low grades, to have a weight.
+LEAST_TEXTS, LEAST_LEAN = 8, 4.0
 #: A text is kept if the top grade is at least this probable.
 TAIL = 0.5
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -90,12 +92,18 @@ def solved(key: tuple, table: pa.Table) -> pa.Table:
     top = int(grade.max()) if len(grade) else 0
     if top == 0:
         return pa.table({"thresholds": pa.array([[]], pa.list_(pa.float64())), "weights": pa.array([b""], pa.binary())})
-    # Frequent and rare features move at a like rate if steps are scaled by the root of their counts.
-    scale = 1 / np.sqrt(1 + np.bincount(flat, minlength=BUCKETS))
-    weights, steps = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     share = np.array([(grade >= j).mean() for j in range(1, top + 1)])
-    thresholds = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
     above = grade[:, None] >= np.arange(1, top + 1)[None, :]
+    # Only features that occur often enough and lean to a side more than chance does take part; they
+    # move at a like rate if steps are scaled by the root of their counts.
+    count = np.bincount(flat, minlength=BUCKETS)
+    lean = np.zeros(BUCKETS)
+    for j, p in enumerate(share):
+        seen = np.bincount(flat, above[row, j], BUCKETS)
+        lean = np.maximum(lean, np.abs(seen - count * p) / np.sqrt(np.maximum(count * p * (1 - p), 1e-9)))
+    scale = ((count >= LEAST_TEXTS) & (lean >= LEAST_LEAN)) / np.sqrt(1 + count)
+    weights, steps = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
+    thresholds = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
     balance = np.where(above, 0.5 / np.clip(share, 1e-3, 1), 0.5 / np.clip(1 - share, 1e-3, 1))
     for _ in range(ROUNDS):
         score = np.add.reduceat(weights[flat], begin)

@@ -119,7 +119,7 @@ class RunIndex:
         n, step = len(text), self.STEP
         packed = np.zeros(n, np.int64)
         place = np.arange(n)
-        for k in range(step):
+        for k in range(min(step, n)):
             inside = place[: n - k] + k <= ends[: n - k]
             packed[: n - k] |= np.where(inside, text[k:], 0) << (9 * (step - 1 - k))
         order = np.argsort(packed, kind="stable")
