@@ -28,6 +28,8 @@ SIDE, DEPTH = 12, 3
 HASHES = 2 * SIDE * DEPTH
 #: Matching bytes of HASHES below which a pair at 0.8 or more falls with a probability under 1e-4.
 LEAST_MATCHES = 43
+#: Nodes up to which a component's are compared with every representative of every round.
+SMALL = 8
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,7 +182,8 @@ def _links(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, p
     members = tables.select("_s").distinct().join(nodes.select("_s", "_k"), "_s")
     one = source.select("_k", "_t").join(members, "_k").groupBy("_s").agg(F.first("_t").alias("_t"))
     texts = common.stored(one)
-    light = nodes.select("_s", "_n", "_h")
+    # One byte of each minhash is enough to rule pairs out, and what pairs carry through two joins.
+    light = nodes.select("_s", "_n", F.transform("_h", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint")).alias("_h"))
 
     def check(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and minhashes don't rule out, confirmed on the whole sets."""
@@ -199,13 +202,17 @@ def _links(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, p
     again = 0
     while True:
         # Nodes of one table that are still in different components, against another representative.
-        names = common.components(found).select(F.col("node").alias("_s"), "component")
-        now = tables.join(names, "_s", "left").withColumn("_c", F.coalesce("component", "_s"))
-        pick = F.min_by(F.struct("_s", "_c"), F.xxhash64("_s", "_key", F.lit(again)))
+        names = common.components(found).select(F.col("node").alias("_s"), F.col("component").alias("_c"))
+        sizes = names.groupBy("_c").agg(F.count(F.lit(1)).alias("_z"))
+        now = tables.join(names.join(sizes, "_c"), "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"), F.coalesce("_z", F.lit(1)).alias("_z"))
+        pick = F.min_by(F.struct("_s", "_c", "_z"), F.xxhash64("_s", "_key", F.lit(again)))
         torn = now.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y"), pick.alias("_p"))
         torn = torn.where("_x <> _y").select("_key", "_p")
-        more = now.join(torn, "_key").select(F.col("_s").alias("b"), "_c", "_p").where("_c <> _p._c")
-        more = more.select(F.least("b", "_p._s").alias("a"), F.greatest("b", "_p._s").alias("b")).distinct()
+        more = now.join(torn, "_key").select(F.col("_s").alias("b"), "_c", "_z", "_p.*").toDF("b", "_c", "_z", "a", "_pc", "_pz").where("_c <> _pc")
+        # After the first round, two large components meet through one pair per node and round.
+        each = F.when((F.least("_z", "_pz") <= SMALL) | F.lit(again == 0), F.col("a"))
+        more = more.groupBy("b", "_pc", each.alias("_each")).agg(F.min_by("a", F.xxhash64("a", "b", F.lit(again))).alias("a"))
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = common.stored(check(more))
         if more.isEmpty():
             break
