@@ -100,7 +100,7 @@ def compared(least: float):
     """Code of one pair of blocks of one filter.
 
     Rows are (block pair, side, node, weight, filters, components, filter). Gives the links found per
-    node, and one link to a smaller node for each node that has one, which connects what is linked.
+    node, and one node of those that its links connect it with here, the same for all of them.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -116,10 +116,7 @@ def compared(least: float):
         lists = table.column("_f").to_pylist()
         vectors = table.column("_v").to_pylist()
         links = np.zeros(len(names), np.int64)
-        by_name = sorted(range(len(names)), key=names.__getitem__)
-        place = np.empty(len(names), np.int64)
-        place[by_name] = np.arange(len(names))
-        lowest = np.full(len(names), len(names))
+        group = np.arange(len(names))
         for size in {len(v) for v in vectors}:
             rows = [np.array([i for i in group if len(vectors[i]) == size], np.int64) for group in (mine, yours)]
             if not len(rows[0]) or not len(rows[1]):
@@ -135,15 +132,27 @@ def compared(least: float):
             i, j = i[first], j[first]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
-            swap = place[i] < place[j]
-            high, low = np.where(swap, j, i), np.where(swap, i, j)
-            np.minimum.at(lowest, high, place[low])
+            _merge(group, i, j)
         rows = np.flatnonzero(links).tolist()
-        return _found([names[i] for i in rows], links[rows].tolist(), [names[by_name[lowest[i]]] if lowest[i] < len(names) else None for i in rows])
+        return _found([names[i] for i in rows], links[rows].tolist(), [names[group[i]] for i in rows])
 
     return run
 
 
+def _merge(group: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Lowers the group of everything that the links (i, j) connect to its smallest place."""
+    while True:
+        before = group.copy()
+        low = np.minimum(group[i], group[j])
+        for end in (i, j):
+            np.minimum.at(group, group[end], low)
+            np.minimum.at(group, end, low)
+        while (group[group] != group).any():
+            group[:] = group[group]
+        if (group == before).all():
+            return
+
+
 def _met_before(lists: list[list[int]], i: np.ndarray, j: np.ndarray, at: int) -> np.ndarray:
     """Which of the pairs (i, j) share a filter before ``at``, by a product of membership matrices."""
     rows = np.unique(np.concatenate([i, j]))

@@ -100,7 +100,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Languages, offsets and the matrix, from rows with a text and a language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("_y"), F.col(text_col).alias("_t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_r"))
-    sample = rows.orderBy("_r", "_y").limit(FITTED).select("_y", "_t").mapInArrow(packed, "_y string, _bits binary")
+    # Drawn by hash without the texts: at most FITTED numbers, so the broadcast is bounded. Equal rows count once.
+    drawn = rows.select(F.col("_r").alias("_d")).orderBy("_d").limit(FITTED).distinct()
+    bits = rows.join(F.broadcast(drawn), F.col("_r") == F.col("_d")).select("_y", "_t").mapInArrow(packed, "_y string, _bits binary")
+    sample = bits.distinct()
     model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(solved, "kinds array<string>, offset array<double>, matrix binary").collect()  # one row
     if not model:
         return [], np.zeros(0), np.zeros((BUCKETS, 0), np.float32)

@@ -6,7 +6,7 @@ probability of the top grade, by which texts are selected.
 
 Features are whether a text holds a word, a word's last two characters or its shape, hashed to ``BUCKETS``,
 and in which range a few shares lie (upper case, symbols, repeated words, length).
-Fitted on a bounded sample, the ``FITTED`` rated texts with the smallest hash, in one task.
+Fitted on a bounded sample, the ``FITTED`` rated ids with the smallest hash, in one task.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task code: (grade, text) to (grade, buckets)."""
+    """Task code: (what is known of a text, text) to the same and its buckets."""
     for batch in batches:
         for lo, hi, data, offsets in textbytes.pieces(batch.column(1)):
             lists = features(data, offsets)
@@ -115,11 +115,17 @@ def solved(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"thresholds": pa.array([thresholds.tolist()], pa.list_(pa.float64())), "weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(rated: DataFrame, grade_col: str, text_col: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds from rows with a text and a grade from 0 on."""
-    rows = rated.where(F.col(grade_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(grade_col).cast("int").alias("_y"), F.col(text_col).alias("_t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_r"))
-    sample = rows.orderBy("_r", "_y").limit(FITTED).select("_y", "_t").mapInArrow(gathered, "_y int, _f array<int>")
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds from texts whose id has a grade from 0 on; of several grades the lowest."""
+    known = ratings.select(F.col(ratings.columns[0]).alias("_rid"), F.col(ratings.columns[1]).cast("int").alias("_y"))
+    known = known.where("_rid IS NOT NULL AND _y IS NOT NULL").groupBy("_rid").agg(F.min("_y").alias("_y"))
+    # Drawn by id before any text is read: at most FITTED rows of an id and a grade, so the broadcast is bounded.
+    known = known.orderBy(F.xxhash64("_rid"), "_rid").limit(FITTED)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t IS NOT NULL").join(F.broadcast(known), F.col("_id") == F.col("_rid"))
+    lists = rows.select(F.struct("_y", "_id", F.xxhash64("_t").alias("_x")).alias("_y"), "_t").mapInArrow(gathered, f"_y struct<_y: int, _id: {dict(docs.dtypes)[id_col]}, _x: bigint>, _f array<int>")
+    # An id of several rows counts once.
+    once = lists.groupBy("_y._id").agg(F.min(F.struct(F.col("_y._x").alias("_x"), F.col("_y._y").alias("_y"), "_f")).alias("_r"))
+    sample = once.select("_r._y", "_r._f")
     model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(solved, "thresholds array<double>, weights binary").collect()  # one row
     if not model or not model[0]["thresholds"]:
         return np.zeros(BUCKETS, np.float32), np.zeros(0)
@@ -152,9 +158,8 @@ def graded(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col
     ``ratings`` has (id, grade), grades from 0 on. A text without words, a NULL one, and every text if
     fewer than two grades are rated, is graded 0 and not kept. Other columns are ignored.
     """
-    known = ratings.select(F.col(ratings.columns[0]).alias("_rid"), F.col(ratings.columns[1]).alias("_grade"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    learned = fit(rows.join(known, F.col("_id") == F.col("_rid")), "_grade", "_t", "_id")
+    learned = fit(rows, ratings, "_id", "_t")
     kind = dict(docs.dtypes)[id_col]
     return rows.mapInArrow(scored(*learned), f"_id {kind}, expected_grade double, p_top double, kept boolean").withColumnRenamed("_id", id_col)
 
