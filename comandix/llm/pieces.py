@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import types
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Parts whose ids a task remembers, characters that one suffix array takes, and characters of texts worked on at once.
-REMEMBERED, ARRAY, BATCH = 200_000, 1 << 18, 1 << 22
+REMEMBERED, ARRAY, BATCH = 500_000, 1 << 20, 1 << 22
+#: Characters up to which parts are relaxed side by side, and what tells the places of a pair's pieces apart.
+SHORT, BITS = 64, 21
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -39,13 +43,30 @@ class Model:
         self.id_of = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: reader.get_score(i) for i in plain}
         self.byte_id = {int(self.pieces[i][1:-1], 16): i for i in ids if reader.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
-        self.silent = {i for i in ids if reader.is_control(i)}
         self.unknown = reader.unk_id()
+        self.raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for i in ids:
+            if reader.is_byte(i):
+                self.raw[i] = bytes([int(self.pieces[i][1:-1], 16)])
+            elif reader.is_control(i):
+                self.raw[i] = b""
+        self.raw[self.unknown] = " ⁇ ".encode()
         if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
             raise ValueError("this model has pieces that go on after a space mark")
         self.sorted = sorted(p for p in self.id_of)
         self.longest = max(map(len, self.sorted), default=1)
+        self.sizes = np.array([len(p) for p in self.sorted], np.int64)
+        self.letters = np.zeros((self.longest, len(self.sorted)), np.int64)
+        for i, p in enumerate(self.sorted):
+            self.letters[: len(p), i] = [ord(c) for c in p]
+        # Places of pieces in their order; a character that is no piece has the place of its code after them.
+        self.place = {p: i for i, p in enumerate(self.sorted)}
+        self.letter_place = np.arange(0x110000, dtype=np.int64) + len(self.sorted)
+        for p, i in self.place.items():
+            if len(p) == 1:
+                self.letter_place[ord(p)] = i
+        self.id_at = np.array([self.id_of[p] for p in self.sorted], np.int64)
+        self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
 
@@ -80,28 +101,43 @@ class Model:
             return [self.unknown]
         return [self.byte_id[b] for b in piece.encode()]
 
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(end, start) of every occurrence of a piece of two characters or more, by end, the longest first."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, start, place of the piece) of every occurrence of a piece of two characters or more, by end, the longest first."""
         order, n = suffix_order(codes, self.longest), len(codes)
         low, high = np.zeros(len(self.sorted), np.int64), np.full(len(self.sorted), n, np.int64)
-        sizes = np.array([len(p) for p in self.sorted])
-        letters = np.zeros((self.longest, len(self.sorted)), np.int64)
-        for i, p in enumerate(self.sorted):
-            letters[: len(p), i] = [ord(c) for c in p]
         padded = np.concatenate([codes, np.full(self.longest, -1)])
         for k in range(self.longest):
-            live = np.flatnonzero((sizes > k) & (low < high))
-            wanted = letters[k, live]
+            live = np.flatnonzero((self.sizes > k) & (low < high))
+            wanted = self.letters[k, live]
             low[live], high[live] = (self._bound(order, padded, k, wanted, low[live], high[live], after) for after in (False, True))
-        count = np.where(sizes > 1, high - low, 0)
+        count = np.where(self.sizes > 1, high - low, 0)
         found = np.flatnonzero(count)
-        total = int(count.sum())
-        at = np.arange(total) - np.repeat(np.cumsum(count[found]) - count[found], count[found]) + np.repeat(low[found], count[found])
-        start = order[at]
-        end = start + np.repeat(sizes[found], count[found])
-        by = np.lexsort((start, end))
-        return end[by], start[by]
+        at = np.arange(int(count.sum())) + np.repeat(low[found] - np.cumsum(count[found]) + count[found], count[found])
+        start, piece = order[at], np.repeat(found, count[found])
+        end = start + self.sizes[piece]
+        by = np.argsort((end << 32) | start)
+        return end[by], start[by], piece[by]
+
+    def text_at(self, place: int) -> str:
+        return self.sorted[place] if place < len(self.sorted) else chr(place - len(self.sorted))
+
+    def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` for many pairs of places at once; -1 on the left is the start of a part."""
+        keys = ((left + 1) << BITS) | right
+        at = np.searchsorted(self.pair_keys, keys)
+        known = at < len(self.pair_keys)
+        known[known] = self.pair_keys[at[known]] == keys[known]
+        if not known.all():
+            new = np.unique(keys[~known])
+            fits = np.array([self.compatible(self.text_at((k >> BITS) - 1) if k >> BITS else "", self.text_at(k & ((1 << BITS) - 1))) for k in new.tolist()], bool)
+            if len(self.pair_keys) + len(new) > 4 * REMEMBERED:
+                self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+                return self.fitting(left, right)
+            merged = np.concatenate([self.pair_keys, new])
+            by = np.argsort(merged)
+            self.pair_keys, self.pair_fits = merged[by], np.concatenate([self.pair_fits, fits])[by]
+            at = np.searchsorted(self.pair_keys, keys)
+        return self.pair_fits[at]
 
     @staticmethod
     def _bound(order, padded, k, wanted, low, high, after):
@@ -120,29 +156,69 @@ class Model:
     def learn(self, parts: list[str]) -> dict[str, list[int]]:
         """Ids of distinct parts, from the edges of their concatenation."""
         text = "\n".join(parts) + "\n"
-        bounds = np.cumsum([len(p) + 1 for p in parts])
-        ends, starts = self.edges(text)
-        cut = np.searchsorted(ends, bounds, "left").tolist()
-        ends, starts = ends.tolist(), starts.tolist()
-        out, at, base = {}, 0, 0
-        for part, stop, bound in zip(parts, cut, bounds.tolist()):
-            last = [""] * (len(part) + 1)
-            came = [0] * (len(part) + 1)
-            for end in range(1, len(part) + 1):
-                done = False
-                while at < stop and ends[at] == base + end:
-                    start = starts[at] - base
-                    at += 1
-                    if not done and start >= 0 and self.compatible(last[start], part[start:end]):
-                        last[end], came[end], done = part[start:end], start, True
-                if not done:
-                    last[end], came[end] = part[end - 1], end - 1
-            at, found, end = stop, [], len(part)
-            while end:
-                found.append(last[end])
-                end = came[end]
-            out[part] = [i for piece in reversed(found) for i in self.ids(piece)]
-            base = bound
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        base = np.cumsum(sizes + 1) - sizes - 1
+        ends, starts, places = self.edges(codes)
+        part = np.searchsorted(base, ends, "left") - 1  # an edge ends after its part's base
+        inside = starts >= base[part]
+        ends, starts, places, part = ends[inside], starts[inside], places[inside], part[inside]
+        # What the ids of each prefix end in: the place of the last piece and where it starts.
+        last, came = np.full(len(codes) + 1, -1), np.arange(-1, len(codes))
+        last[1:] = self.letter_place[codes]
+        last[base] = -1
+        self._relax_short(ends, starts, places, part, base, sizes, last, came)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            lo, hi = np.searchsorted(ends, [base[i] + 1, base[i] + sizes[i] + 1])
+            self._relax_long(ends[lo:hi].tolist(), starts[lo:hi].tolist(), places[lo:hi].tolist(), last, came)
+        return self._walked(parts, base, sizes, last, came)
+
+    def _relax_short(self, ends, starts, places, part, base, sizes, last, came) -> None:
+        """All parts up to ``SHORT`` side by side, one end after the other."""
+        short = np.flatnonzero(sizes[part] <= SHORT)
+        reach = ends[short] - base[part[short]]
+        short = short[np.argsort((reach << 40) | (starts[short] - base[part[short]]) << 32 | np.arange(len(short)))][::-1]
+        reach = (ends - base[part])[short]
+        for end in range(2, SHORT + 1):
+            own = short[len(reach) - np.searchsorted(reach[::-1], end, "right") : len(reach) - np.searchsorted(reach[::-1], end, "left")]
+            if len(own):
+                fits = own[self.fitting(last[starts[own]], places[own])]
+                # Sorted with the shortest first, so the longest of an end is written last.
+                last[ends[fits]], came[ends[fits]] = places[fits], starts[fits]
+
+    def _relax_long(self, ends, starts, places, last, came) -> None:
+        """One part, edge by edge."""
+        done = -1
+        for end, start, place in zip(ends, starts, places):
+            if end != done:
+                left = int(last[start])
+                if self.compatible(self.text_at(left) if left >= 0 else "", self.sorted[place]):
+                    last[end], came[end], done = place, start, end
+
+    def _walked(self, parts, base, sizes, last, came) -> dict[str, list[int]]:
+        """The ids of each part, back from its end."""
+        owner, at = np.flatnonzero(sizes), (base + sizes)[sizes > 0]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        owners = []
+        while len(at):
+            found.append((at, last[at]))
+            owners.append(owner)
+            at = came[at]
+            live = at > base[owner]
+            owner, at = owner[live], at[live]
+        if not found:
+            return {p: [] for p in parts}
+        at, place = (np.concatenate(x) for x in zip(*found))
+        owner = np.concatenate(owners)
+        by = np.argsort(at)
+        place, count = place[by], np.bincount(owner, minlength=len(parts))
+        stop = np.cumsum(count)
+        strange = np.zeros(len(parts), bool)
+        strange[owner[by][place >= len(self.sorted)]] = True
+        ids = self.id_at[np.minimum(place, len(self.sorted) - 1)].tolist()
+        out = {p: ids[hi - n : hi] for p, n, hi in zip(parts, count.tolist(), stop.tolist())}
+        for i in np.flatnonzero(strange).tolist():
+            out[parts[i]] = [x for k in place[stop[i] - count[i] : stop[i]].tolist() for x in self.ids(self.text_at(k))]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -162,45 +238,39 @@ class Model:
                 group, held = [], 0
         if group:
             self.known.update(self.learn(group))
-        known = self.known
-        return [[i for x in p for i in known[x]] for p in parts]
+        return [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held = bytearray()
-            out.append("" if i in self.silent else " ⁇ " if i == self.unknown else self.pieces[i])
-        if held:
-            out.append(held.decode(errors="replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by the ``depth`` characters that follow, or more."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    order = np.argsort(rank, kind="stable")
+    key = codes << 42
+    key[: max(0, n - 1)] |= codes[1:] << 21
+    key[: max(0, n - 2)] |= codes[2:]
+    step = 3
+    order = np.argsort(key)
     while step < depth:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:] + 1
-        key = (rank << 32) | second
-        order = np.argsort(key, kind="stable")
         sorted_ = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
+        rank[order] = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        key = rank << 32
+        key[: max(0, n - step)] |= rank[step:]
+        order = np.argsort(key)
         step *= 2
     return order
 
 
 def _own(name: str) -> Model:
+    """The model of this Python process, with what earlier tasks of the process have looked up."""
     with open(SparkFiles.get(name), "rb") as file:
-        return Model(file.read())
+        raw = file.read()
+    held = sys.modules.setdefault("_comandix_pieces", types.ModuleType("_comandix_pieces")).__dict__
+    if held.get("raw") != raw:
+        held.update(raw=raw, model=Model(raw))
+    return held["model"]
 
 
 OUTPUTS = {
