@@ -40,30 +40,32 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b): the component is its smallest node.
 
     Each round every node moves to the one with the smallest hash among itself and those it is linked
-    with, and from there once more; links within one place go. Hashes differ from round to round, so about
-    a third of the places of a chain is left after each. A hot node costs one row per task, as the minimum
+    with, and from there once more; links within one place go. About a third of the places of a chain is
+    left after each round, and a star takes two. A hot node costs one row per task, as the minimum
     combines before the shuffle.
     """
     links = stored(links.where("a <> b").distinct())
-    labels = None
-    again = 0
+    moves: list[DataFrame] = []
+
+    def ranked(c: str) -> Column:
+        return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ranked = lambda c: F.struct(F.xxhash64(F.lit(again), c).alias("h"), F.col(c).alias("n"))
         parent = both.groupBy("a").agg(F.min(ranked("b")).alias("_m")).select(F.col("a").alias("_n"), F.least(ranked("a"), "_m")["n"].alias("_p"))
         up = parent.select(F.col("_n").alias("_p"), F.col("_p").alias("_q"))
         parent = stored(parent.join(up, "_p").select("_n", F.col("_q").alias("_p")))
-        if labels is None:
-            labels = parent.select(F.col("_n").alias("node"), F.col("_p").alias("_place"))
-        else:
-            moved = labels.join(parent, F.col("_place") == F.col("_n"), "left")
-            labels = stored(moved.select("node", F.coalesce("_p", "_place").alias("_place")))
+        moves.append(parent)
         for end in ("a", "b"):
             links = links.join(parent.select(F.col("_n").alias(end), F.col("_p").alias("_to")), end)
             links = links.drop(end).withColumnRenamed("_to", end)
         links = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        again += 1
-    if labels is None:
+    if not moves:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = moves[0].select(F.col("_n").alias("node"), F.col("_p").alias("_place"))
+    for parent in moves[1:]:
+        moved = labels.join(parent, F.col("_place") == F.col("_n"), "left")
+        labels = moved.select("node", F.coalesce("_p", "_place").alias("_place"))
+    labels = stored(labels)
     smallest = labels.groupBy("_place").agg(F.min("node").alias("component"))
-    return stored(labels.join(smallest, "_place").select("node", "component"))
+    return labels.join(smallest, "_place").select("node", "component")

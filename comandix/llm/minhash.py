@@ -136,9 +136,9 @@ def _grouped(source: DataFrame, words: int, percent: int) -> DataFrame:
     nodes = common.stored(
         rows.where("_n > 0").groupBy("_s").agg(F.min(F.struct("_k", "_n", "_h")).alias("_r")).select("_s", "_r.*")
     )
-    names = common.components(_links(source, nodes, _tables(nodes), words, percent))
+    names = _components(source, nodes, _tables(nodes), words, percent)
     ids = rows.groupBy("_s").agg(F.min("_id").alias("_id"))
-    labelled = ids.join(names.withColumnRenamed("node", "_s"), "_s", "left").withColumn("_c", F.coalesce("component", "_s"))
+    labelled = ids.join(names, "_s", "left").withColumn("_c", F.coalesce("_c", "_s"))
     smallest = labelled.groupBy("_c").agg(F.min("_id").alias("_to"))
     target = labelled.join(smallest, "_c").select("_s", "_c", "_to")
     out = rows.select("_k", "_id", "_n", "_s").join(target, "_s", "left")
@@ -177,8 +177,8 @@ def _tables(nodes: DataFrame) -> DataFrame:
     return common.stored(keyed.join(shared, "_key").select("_s", "_key"))
 
 
-def _links(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b), enough to connect every component."""
+def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes that have a confirmed link; a component is named by one of its nodes."""
     members = tables.select("_s").distinct().join(nodes.select("_s", "_k"), "_s")
     one = source.select("_k", "_t").join(members, "_k").groupBy("_s").agg(F.first("_t").alias("_t"))
     texts = common.stored(one)
@@ -191,18 +191,16 @@ def _links(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, p
         b = light.select(F.col("_s").alias("b"), F.col("_n").alias("_nb"), F.col("_h").alias("_hb"))
         near = pairs.join(b, "b").join(a, "a")
         near = near.where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_matches("_ha", "_hb") >= LEAST_MATCHES))
-        near = common.stored(near.select("a", "b"))
-        full = near.join(texts.select(F.col("_s").alias("b"), F.col("_t").alias("_tb")), "b")
+        full = near.select("a", "b").join(texts.select(F.col("_s").alias("b"), F.col("_t").alias("_tb")), "b")
         full = full.join(texts.select(F.col("_s").alias("a"), F.col("_t").alias("_ta")), "a")
         return full.select("a", "_ta", "b", "_tb").mapInArrow(confirmed(words, percent), "a binary, b binary")
 
     lowest = tables.groupBy("_key").agg(F.min("_s").alias("a"))
     pairs = tables.join(lowest, "_key").where("a <> _s").select("a", F.col("_s").alias("b")).distinct()
-    found = common.stored(check(pairs))
+    names = common.stored(common.components(check(pairs)).toDF("_s", "_c"))
     again = 0
     while True:
         # Nodes of one table that are still in different components, against another representative.
-        names = common.components(found).select(F.col("node").alias("_s"), F.col("component").alias("_c"))
         sizes = names.groupBy("_c").agg(F.count(F.lit(1)).alias("_z"))
         now = tables.join(names.join(sizes, "_c"), "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"), F.coalesce("_z", F.lit(1)).alias("_z"))
         pick = F.min_by(F.struct("_s", "_c", "_z"), F.xxhash64("_s", "_key", F.lit(again)))
@@ -215,10 +213,16 @@ def _links(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, p
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = common.stored(check(more))
         if more.isEmpty():
-            break
-        found = found.union(more)
+            return names
+        place = names.select(F.col("_s").alias("_n"), F.col("_c").alias("_p"))
+        ends = more
+        for end in ("a", "b"):
+            ends = ends.join(place, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_p", end)).drop("_n", "_p")
+        joined = common.components(ends).toDF("_c", "_to")
+        alone = more.select("a").union(more.select("b")).distinct().toDF("_s").join(names, "_s", "left_anti")
+        names = names.union(alone.select("_s", F.col("_s").alias("_c"))).join(joined, "_c", "left")
+        names = common.stored(names.select("_s", F.coalesce("_to", "_c").alias("_c")))
         again += 1
-    return found
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
