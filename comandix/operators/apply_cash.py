@@ -22,14 +22,14 @@ class CashApplied:
 
 
 def apply_cash_ops(requests: DataFrame, staff: DataFrame, register: DataFrame) -> CashApplied:
-    """Operations: 2 amount zero, 3 cashier missing, unknown or disabled, 4 register closed.
+    """Operations: 2 amount zero or missing, 3 cashier missing, unknown or disabled, 4 register closed.
 
     The new balance is one sum over the accepted operations, whatever their order.
     """
     session = register.agg(F.max("session_id").alias("id")).scalar()
     checked = known_reference(requests, staff.where("enabled"), "staff_id", "cashier_id", "_cashier")
     code = first_failure(
-        (F.col("amount") == 0, 2), (F.col("_cashier").isNull(), 3), (F.col("_session").isNull(), 4)
+        (F.coalesce(F.col("amount") == 0, F.lit(True)), 2), (F.col("_cashier").isNull(), 3), (F.col("_session").isNull(), 4)
     )
     coded = (
         checked.withColumn("_session", session)

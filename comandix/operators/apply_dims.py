@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 
 from comandix import model
 from comandix.operators import hotkeys
-from comandix.operators.joins import known_reference
+from comandix.operators.joins import known_reference, last_by_key
 
 
 def upsert_dimension(
     table: DataFrame, changes: DataFrame, key: str, as_of: Column | None = None, defaults: dict | None = None
 ) -> DataFrame:
-    """Insert unknown keys and update known ones; one change per key.
+    """Insert unknown keys and update known ones. Changes of one key follow each other by ``req_id``.
 
-    A NULL or missing column in a change leaves the stored value. Inserts take ``defaults`` for
+    Changes without a key go.     A NULL or missing column in a change leaves the stored value. Inserts take ``defaults`` for
     columns they do not carry. ``as_of`` refreshes ``updated_at`` where a row was inserted or updated.
     """
     defaults = defaults or {}
-    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key])
+    values = [c for c in changes.columns if c not in (key, "req_id")]
+    new = last_by_key(changes, [key], values).select(key, *[F.col(c).alias(f"_new_{c}") for c in values])
     old = table.withColumn("_stored", F.lit(True))
     both = old.join(new.withColumn("_change", F.lit(True)), key, "full_outer")
     columns = []
@@ -33,7 +34,7 @@ def upsert_dimension(
         if name == key:
             columns.append(F.col(key))
             continue
-        value = F.coalesce(f"_new_{name}", name) if name in changes.columns else F.col(name)
+        value = F.coalesce(f"_new_{name}", name) if name in values else F.col(name)
         if name in defaults:
             value = F.when(F.col("_stored").isNull(), F.coalesce(value, F.lit(defaults[name]))).otherwise(value)
         if name == "updated_at" and as_of is not None:
@@ -51,11 +52,18 @@ class DimensionApplied:
 
 
 def apply_staff_changes(changes: DataFrame, staff: DataFrame, roles: DataFrame) -> DimensionApplied:
-    """New staff start disabled and need an existing role; known staff are updated as asked."""
+    """New staff start disabled and need an existing role; known staff are updated as asked.
+
+    Requests for one person follow each other by ``req_id``: after the first that inserts, they update.
+    """
     marked = known_reference(changes, roles, "role_id", "role_id", "_role")
     stored = staff.select("staff_id", F.lit(True).alias("_stored"))
     marked = marked.join(stored, "staff_id", "left")
-    ok = F.col("_stored").isNotNull() | F.col("_role").isNotNull()
+    inserts = marked.where("_stored IS NULL AND _role IS NOT NULL").groupBy("staff_id").agg(F.min("req_id").alias("_first"))
+    marked = marked.join(inserts, "staff_id", "left")
+    there = F.col("_stored").isNotNull() | F.coalesce(F.col("req_id") > F.col("_first"), F.lit(False))
+    marked = marked.withColumn("_stored", F.when(there, F.lit(True)))
+    ok = F.col("staff_id").isNotNull() & (F.col("_stored").isNotNull() | F.col("_role").isNotNull())
     reported = marked.withColumn("ok", ok)
     results = reported.select(
         "req_id",
@@ -66,13 +74,13 @@ def apply_staff_changes(changes: DataFrame, staff: DataFrame, roles: DataFrame)
         .when(~F.col("ok"), model.USER_ROLE_UNKNOWN)
         .alias("message"),
     )
-    accepted = reported.where("ok").select("staff_id", "username", "role_id")
+    accepted = reported.where("ok").select("req_id", "staff_id", "username", "role_id")
     return DimensionApplied(results, upsert_dimension(staff, accepted, "staff_id", defaults={"enabled": False}))
 
 
 def toggle_flag(table: DataFrame, requests: DataFrame, key: str, flag: str) -> DataFrame:
-    """Set a flag to each request's ``target``; one request per key."""
-    wanted = requests.select(key, F.col("target").alias("_target"))
+    """Set a flag to the ``target`` of each key's last request by ``req_id``."""
+    wanted = last_by_key(requests, [key], ["target"]).withColumnRenamed("target", "_target")
     joined = table.join(wanted, key, "left")
     return joined.withColumn(flag, F.coalesce("_target", flag)).select(*table.columns)
 
@@ -101,7 +109,8 @@ def delete_rows(
     """Delete rows by key: 1 deleted, 2 other tables still refer to it, 3 no such row.
 
     ``children`` are tables that have the key; each is reduced to its distinct keys before it is
-    joined. ``rows_affected`` counts what the first request of a key deleted.
+    joined. ``rows_affected`` counts what the first request of a key deleted. A request without a key
+    finds no row.
     """
     asked = requests.select(key).distinct()
     stored = asked.join(table.select(key, F.lit(True).alias("_stored")), key, "left")
@@ -114,8 +123,9 @@ def delete_rows(
     verdict = stored.select(key, F.when(F.col("_stored").isNull(), 3).when(blocked, 2).otherwise(1).alias("result_code"))
     first = requests.groupBy(key).agg(F.min("req_id").alias("_first"))
     results = (
-        requests.join(verdict.join(first, key), key)
-        .withColumn("rows_affected", ((F.col("result_code") == 1) & (F.col("req_id") == F.col("_first"))).cast("int"))
+        requests.join(verdict.join(first, key), key, "left")
+        .withColumn("result_code", F.coalesce("result_code", F.lit(3)))
+        .withColumn("rows_affected", F.coalesce(((F.col("result_code") == 1) & (F.col("req_id") == F.col("_first"))).cast("int"), F.lit(0)))
         .select("req_id", key, "result_code", "rows_affected")
     )
     return DimensionApplied(results, table.join(verdict.where("result_code = 1"), key, "left_anti"))

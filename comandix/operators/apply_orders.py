@@ -15,7 +15,6 @@ from comandix.operators.aggregates import table_bill
 from comandix.operators.joins import (
     add_to_stock,
     bom_explosion,
-    broadcast_if_small,
     known_reference,
     order_checks,
 )
@@ -66,18 +65,21 @@ def apply_order_edits(
     recipe: DataFrame,
     snapshot: DataFrame,
 ) -> OrdersApplied:
-    """Edits, at most one per order and batch. Only pending orders change, and only then stock moves.
+    """Edits. Only pending orders change, and only then stock moves.
 
-    The old dish's ingredients go back and the new dish's are taken, as one net change per supply.
+    Edits of one order follow each other by ``req_id``, so the last accepted one stays. The stored dish's
+    ingredients go back and the last dish's are taken, as one net change per supply.
     ``rows_affected`` is 0 where the request was in order but the order was not pending.
     """
     results = _order_results(edits, dishes, tables, staff)
-    accepted = results.where("result_code = 1").select(
+    last = F.max_by(F.struct("dish_id", "table_no", "waiter_id", "ts"), "req_id").alias("_last")
+    accepted = results.where("result_code = 1 AND order_id IS NOT NULL").groupBy("order_id").agg(last)
+    accepted = accepted.select(
         "order_id",
-        F.col("dish_id").alias("_dish"),
-        F.col("table_no").alias("_table"),
-        F.col("waiter_id").alias("_waiter"),
-        F.col("ts").alias("_ts"),
+        F.col("_last.dish_id").alias("_dish"),
+        F.col("_last.table_no").alias("_table"),
+        F.col("_last.waiter_id").alias("_waiter"),
+        F.col("_last.ts").alias("_ts"),
         F.lit(True).alias("_edit"),
     )
     matched = orders.join(accepted, "order_id", "left")
@@ -103,7 +105,7 @@ def apply_order_edits(
     change = portions.join(recipe, "dish_id").groupBy("supply_id").agg(
         total(F.col("qty") * F.col("portions")).alias("qty")
     )
-    touched = moved.select("order_id", F.lit(1).alias("_rows"))
+    touched = moved.groupBy("order_id").agg(F.lit(1).alias("_rows"))
     reported = results.join(touched, "order_id", "left").select(
         "req_id", "order_id", "result_code", "message",
         F.when(F.col("result_code") == 1, F.coalesce("_rows", F.lit(0))).otherwise(F.lit(0)).alias("rows_affected"),
@@ -188,12 +190,13 @@ def state_durations(events: DataFrame, hot_rows: int = hotkeys.HOT_ROWS) -> Data
 
 @dataclass(frozen=True)
 class PaymentsApplied:
-    """A code per request, cash operations, sales history rows and the orders still open."""
+    """A code per request, cash operations, sales history rows, the orders still open, the register."""
 
     results: DataFrame
     cash_ops: DataFrame
     sales: DataFrame
     open_orders: DataFrame
+    register: DataFrame
 
 
 def apply_table_payments(
@@ -203,8 +206,9 @@ def apply_table_payments(
 
     The first payment of a table in request order that passes takes all its orders at today's
     price; later payments of that table find nothing to pay. Take-away orders have no table to pay.
+    Orders of a dish without a price are on no bill and stay open. The register takes what was paid.
     """
-    bills = table_bill(orders.where("table_no IS NOT NULL"), dishes)
+    bills = table_bill(orders.where("table_no IS NOT NULL"), dishes.where("price IS NOT NULL"))
     session = register.agg(F.max("session_id").alias("id")).scalar()
     checked = known_reference(requests, staff.where("enabled"), "staff_id", "cashier_id", "_cashier")
     checked = checked.withColumn("_session", session).withColumn(
@@ -227,13 +231,23 @@ def apply_table_payments(
         "cashier_id",
         "orders",
     )
-    closed = broadcast_if_small(first.select("table_no"))
+    # A table without priced orders may be among these; it has nothing that moves.
+    closed = first.select("table_no")
     sales = (
         orders.join(closed, "table_no", "left_semi")
-        .join(dishes.select("dish_id", "price"), "dish_id")
+        .join(dishes.where("price IS NOT NULL").select("dish_id", "price"), "dish_id")
         .select("dish_id", "waiter_id", F.col("price").alias("amount"))
     )
-    return PaymentsApplied(results, ops, sales, orders.join(closed, "table_no", "left_anti").select(*orders.columns))
+    priced = dishes.where("price IS NOT NULL").select("dish_id", F.lit(True).alias("_priced"))
+    marked = orders.join(closed.withColumn("_closed", F.lit(True)), "table_no", "left").join(priced, "dish_id", "left")
+    still = marked.where("_closed IS NULL OR _priced IS NULL").select(*orders.columns)
+    paid = ops.agg(total("amount").alias("paid")).scalar()
+    after = register.select(
+        "register_id",
+        money(F.col("current_amount") + F.coalesce(paid, F.lit(0)), 18).alias("current_amount"),
+        "session_id",
+    )
+    return PaymentsApplied(results, ops, sales, still, after)
 
 
 def _micros(ts: str) -> Column:

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from comandix.functions.expressions import first_failure, message_for, money, total
 from comandix.operators import hotkeys
-from comandix.operators.joins import add_to_stock, broadcast_if_small, known_reference
+from comandix.operators.joins import add_to_stock, known_reference, last_by_key
 from comandix.operators.stock_fold import fold_movements
 
 
@@ -49,8 +49,12 @@ def apply_issues(
     """Movements in the sequence of ``order``: issues are negative, receipts between them positive.
 
     2 unknown supply, 3 unknown or disabled keeper, 4 no quantity, 5 more than is in stock at that
-    moment. A refused movement leaves the stock as it is for the next one.
+    moment. A refused movement leaves the stock as it is for the next one. Where requests have a
+    ``kind``, an ``issue`` must be negative and a ``receipt`` positive, else 4; without it the sign tells.
     """
+    wrong = F.coalesce(F.col("qty") == 0, F.lit(True))
+    if "kind" in requests.columns:
+        wrong = wrong | ((F.col("kind") == "issue") & (F.col("qty") > 0)) | ((F.col("kind") == "receipt") & (F.col("qty") < 0))
     stock = snapshot.select("supply_id", F.col("qty").alias("_stock"))
     stocked = supplies.select("supply_id").join(stock, "supply_id", "left").withColumn("_supply", F.lit(True))
 
@@ -60,7 +64,7 @@ def apply_issues(
         fixed = first_failure(
             (F.col("_supply").isNull(), 2),
             (F.col("_keeper").isNull(), 3),
-            (F.coalesce(F.col("qty") == 0, F.lit(True)), 4),
+            (wrong, 4),
             (F.col("_stock").isNull() & (F.col("qty") < 0), 5),
         )
         return marked.select(*requests.columns, "_stock", fixed.alias("_code"))
@@ -87,9 +91,16 @@ def apply_issues(
 
 
 def apply_adjustments(counted: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger rows that bring the ledger total of each counted supply to what was counted."""
+    """Ledger rows that bring the ledger total of each counted supply to what was counted.
+
+    Counts of one supply follow each other by ``req_id``: each is against the count before it.
+    """
     sums = ledger.groupBy("supply_id").agg(total("qty").alias("_total"))
-    gap = F.col("counted") - F.coalesce("_total", F.lit(0))
+    before = F.lit(None).cast("decimal(18,2)")
+    if "req_id" in counted.columns:
+        before = F.lag("counted").over(Window.partitionBy("supply_id").orderBy("req_id"))
+    counted = counted.withColumn("_before", before)
+    gap = F.col("counted") - F.coalesce("_before", "_total", F.lit(0))
     return counted.join(sums, "supply_id", "left").select(
         "supply_id", money(gap, 18).alias("qty"), F.lit(True).alias("is_adjustment")
     )
@@ -108,9 +119,10 @@ def apply_ledger_corrections(
 
     ``edits`` has the key and ``new_qty``. ``deletes`` has the key and ``reverse_stock``: true takes
     the deleted quantity back out of the stock, false leaves the stock alone. Edits never move it.
+    Of several edits of a row the last by ``req_id`` counts.
     """
-    gone = broadcast_if_small(deletes.groupBy(*key).agg(F.max("reverse_stock").alias("_reverse")), deletes)
-    changed = broadcast_if_small(edits.groupBy(*key).agg(F.max("new_qty").alias("_new_qty")), edits)
+    gone = deletes.groupBy(*key).agg(F.max("reverse_stock").alias("_reverse"))
+    changed = last_by_key(edits, key, ["new_qty"]).withColumnRenamed("new_qty", "_new_qty")
     marked = ledger.join(gone, key, "left").join(changed, key, "left")
     kept = marked.where(F.col("_reverse").isNull())
     new_ledger = kept.withColumn("qty", F.coalesce("_new_qty", "qty").cast(ledger.schema["qty"].dataType))

@@ -17,7 +17,7 @@ from comandix.operators.stock_walk import SLICE
 from comandix.session import checkpoint_root
 
 HOT_ROWS = 2_000_000
-ID_BLOCK = 1_000_000
+ID_BITS = 16
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -25,16 +25,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def split_hot(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of hot keys if there are any. NULL keys count as ordinary."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.where(F.col("_rows") > hot_rows).select(key)
+    """Rows of ordinary keys, and rows of hot keys if there are any. NULL is a key like any other."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.where(F.col("_rows") > hot_rows).select(F.col(key).alias("_hot"))
     if hot.isEmpty():
         return df, None
     checkpoint_root(df.sparkSession)
     # At most all rows / hot_rows keys, so the broadcast is bounded.
     hot = F.broadcast(hot.checkpoint())
-    rest, found = df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
-    return rest.select(*df.columns), found.select(*df.columns)
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
+def _with_slice_values(slices: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Every row with the value its key and slice have; one row per key and slice, so the broadcast is bounded."""
+    named = values.withColumnsRenamed({key: "_of_key", SLICE: "_of_slice"})
+    same = F.col(key).eqNullSafe(F.col("_of_key")) & (F.col(SLICE) == F.col("_of_slice"))
+    return slices.join(F.broadcast(named), same).drop("_of_key", "_of_slice")
 
 
 def cut(df: DataFrame, order: list[str]) -> DataFrame:
@@ -69,7 +76,7 @@ def running_total(
     within = upto(key, SLICE)
     whole = F.coalesce(within + F.coalesce("_carried", F.lit(0)), F.col("_carried"))
     kind = done.schema[alias].dataType
-    cut_done = slices.join(F.broadcast(carried), [key, SLICE]).withColumn(alias, whole.cast(kind))
+    cut_done = _with_slice_values(slices, carried, key).withColumn(alias, whole.cast(kind))
     return done.unionByName(cut_done.select(*done.columns))
 
 
@@ -91,7 +98,7 @@ def previous(
     handed = last.select(key, SLICE, F.lag("_last").over(Window.partitionBy(key).orderBy(SLICE)).alias("_handed"))
     by_slice = Window.partitionBy(key, SLICE).orderBy(*order)
     first = F.row_number().over(by_slice) == 1
-    cut_done = slices.join(F.broadcast(handed), [key, SLICE]).withColumns(
+    cut_done = _with_slice_values(slices, handed, key).withColumns(
         {
             alias: F.when(first, F.col("_handed").getField(alias)).otherwise(F.lag(name).over(by_slice))
             for alias, name in columns.items()
@@ -115,26 +122,34 @@ def row_index(df: DataFrame, order: list[str], alias: str = "position") -> DataF
     return slices.join(F.broadcast(before), SLICE).withColumn(alias, place).select(*df.columns, alias)
 
 
-def assign_ids(
-    requests: DataFrame, req_id: str, alias: str, after: Column | int = 0, block: int = ID_BLOCK
-) -> DataFrame:
+def assign_ids(requests: DataFrame, req_id: str, alias: str, after: Column | int = 0) -> DataFrame:
     """New ids after the largest one in use, in the order of a unique whole-number request id.
 
-    Request ids are unique, so a block of ``block`` consecutive ids never holds more rows than
-    that, however the data is spread, and only one count per block is ordered as a whole.
+    Ids are counted by all but their last 16 bits, those counts by all but 32 and by all but 48. At
+    each level a window adds up the children of one parent, of which there are at most 65,536, so dense and
+    sparse ids are spread alike and no task orders more than that.
     """
-    blocked = requests.withColumn("_block", F.floor(F.col(req_id) / block))
-    sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select(
-        "_block",
-        F.coalesce(
-            F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-    )
+    rows = requests.withColumn("_l1", F.shiftright(F.col(req_id).cast("bigint"), ID_BITS))
+    level = rows.groupBy("_l1").agg(F.count(F.lit(1)).alias("_n1"))
+    levels = [level]
+    for k in (2, 3):
+        level = level.withColumn(f"_l{k}", F.shiftright(f"_l{k - 1}", ID_BITS))
+        levels[-1] = level
+        level = level.groupBy(f"_l{k}").agg(F.sum(f"_n{k - 1}").alias(f"_n{k}"))
+        levels.append(level)
+    before = None
+    for k in (3, 2, 1):
+        by = Window.partitionBy(F.lit(0) if k == 3 else F.col(f"_l{k + 1}")).orderBy(f"_l{k}")
+        own = F.coalesce(F.sum(f"_n{k}").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offset = levels[k - 1].withColumn("_own", own)
+        if before is None:
+            before = offset.select("_l3", F.col("_own").alias("_before"))
+        else:
+            before = offset.join(before, f"_l{k + 1}").select(f"_l{k}", (F.col("_own") + F.col("_before")).alias("_before"))
     after = F.lit(after) if isinstance(after, int) else after
-    place = F.row_number().over(Window.partitionBy("_block").orderBy(req_id))
+    place = F.row_number().over(Window.partitionBy("_l1").orderBy(req_id))
     return (
-        blocked.join(before, "_block")
+        rows.join(before, "_l1")
         .withColumn(alias, (after + F.col("_before") + place).cast("bigint"))
         .select(*requests.columns, alias)
     )

@@ -148,15 +148,18 @@ def _checked(requests: DataFrame, dishes: DataFrame, tables: DataFrame, staff: D
     return known_reference(marked, staff.where("enabled"), "staff_id", "waiter_id", "_waiter")
 
 
-def broadcast_if_small(df: DataFrame, counted: DataFrame | None = None, max_rows: int = 100_000) -> DataFrame:
-    """Ask for a broadcast only after counting that the rows are few; otherwise leave the choice to Spark.
+def last_by_key(df: DataFrame, key: list[str], columns: list[str], order: str | None = "req_id") -> DataFrame:
+    """One row per key: what applying its rows one after the other leaves in ``columns``.
 
-    For a few keys or corrections that meet a very large table, which then need not be shuffled.
-    ``counted`` is a cheaper DataFrame with at least as many rows; counting stops at the limit.
+    A NULL leaves what an earlier row said. Without ``order`` in the columns, rows of one key have no
+    sequence and the largest value counts. Rows without a key go.
     """
-    counted = df if counted is None else counted
-    few = counted.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    named = df.where(" AND ".join(f"{k} IS NOT NULL" for k in key))
+    if order in df.columns:
+        kept = [F.expr(f"max_by(`{c}`, `{order}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in columns]
+    else:
+        kept = [F.max(c).alias(c) for c in columns]
+    return named.groupBy(*key).agg(F.lit(True).alias("_named"), *kept).drop("_named")
 
 
 def order_checks(requests: DataFrame, dishes: DataFrame, tables: DataFrame, staff: DataFrame) -> DataFrame:

@@ -595,6 +595,11 @@ def apply_table_payments_open(t):
     return _payments_applied(t).open_orders
 
 
+@query
+def apply_table_payments_register(t):
+    return _payments_applied(t).register
+
+
 @query
 def apply_state_changes(t):
     return apply_orders.apply_state_changes(t.order_event, t.open_order)
@@ -958,7 +963,7 @@ def stream_stock_levels(t):
 def stream_low_stock_alerts(t):
     path = work_dir(t.spark, "stream")
     jobs.run_batches(
-        boards.low_stock_alerts(_ledger_stream(t), t.supply), jobs.keep_changes(f"{path}/alerts"), f"{path}/checkpoint"
+        boards.low_stock_alerts(_ledger_stream(t), t.supply, views.LEDGER_ORDER), jobs.keep_changes(f"{path}/alerts"), f"{path}/checkpoint"
     )
     return t.spark.read.parquet(f"{path}/alerts").select("supply_id", "on_hand", "min_qty", "status")
 
@@ -994,10 +999,35 @@ def stream_apply_orders(t):
 
 
 @query
-def stream_order_durations(t):
+def order_durations(t):
     return apply_orders.state_durations(t.order_event)
 
 
+@query
+def stream_order_durations(t):
+    path = work_dir(t.spark, "stream")
+    jobs.run_to_files(boards.order_durations(_event_stream(t)), f"{path}/out", f"{path}/checkpoint")
+    return t.spark.read.parquet(f"{path}/out")
+
+
+@query
+def find_by_key(t):
+    return lists.find_by_key(t.supply, "supply_id", 7)
+
+
+@query
+def first_row(t):
+    return lists.first_row(t.stock_ledger, *views.LEDGER_ORDER)
+
+
+@query
+def upsert_dimension_as_of(t):
+    dated = t.cash_session.select("session_id", "opening", "updated_at")
+    touched = dated.where("session_id % 3 = 0").select("session_id", (F.col("opening") + 1).alias("opening"))
+    moment = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    return apply_dims.upsert_dimension(dated, touched, "session_id", as_of=moment)
+
+
 @query
 def stream_dedup(t):
     path = work_dir(t.spark, "stream")
@@ -1012,7 +1042,7 @@ def stream_dedup(t):
 # Reports as SQL table functions
 
 
-def _sql_report(name: str, *values: date) -> None:
+def _sql_report(name: str, *values: date | int) -> None:
     CATALOG[f"sql_{name}"] = lambda spark, sf_dir: sql_functions.call_report(spark, sf_dir, name, *values)
 
 
@@ -1021,3 +1051,10 @@ _sql_report("sales_by_dish", date(1900, 1, 1), date(2100, 1, 1))
 _sql_report("register_closings", date(1900, 1, 1), date(2100, 1, 1))
 _sql_report("orders_by_hour", date(2024, 1, 10))
 _sql_report("stock_on_hand")
+_sql_report("stock_totals")
+_sql_report("stock_of_supply", 1)
+_sql_report("table_bill")
+_sql_report("admin_guard")
+_sql_report("sales_by_waiter")
+_sql_report("stock_flow_by_class")
+_sql_report("dish_cost_margin")

@@ -587,6 +587,10 @@ check("apply_table_payments_ops", "coded_payment register", """
 check("apply_table_payments_sales", "paid_table order_line dish", """
     SELECT o.dish_id, o.waiter_id, d.price AS amount
     FROM order_line o JOIN paid_table p ON o.table_no = p.table_no JOIN dish d ON o.dish_id = d.dish_id""")
+check("apply_table_payments_register", "coded_payment register", """
+    SELECT register_id, CAST(current_amount + coalesce((SELECT sum(total) FROM coded_payment WHERE result_code = 1), 0)
+                             AS DECIMAL(18,2)) AS current_amount, session_id
+    FROM register""")
 check("apply_table_payments_open", "paid_table order_line", """
     SELECT * FROM order_line WHERE table_no IS NULL OR table_no NOT IN (SELECT table_no FROM paid_table)""")
 NEWEST = """SELECT order_id, state, ts FROM (
@@ -830,12 +834,34 @@ check("stream_kitchen_board", "order_event", f"SELECT state, count(*) AS orders
 check("latest_order_states", "order_event", f"SELECT order_id, state, ts AS updated_at FROM ({NEWEST})")
 check("stream_stock_levels", "stock_ledger supply", STATUS)
 check("stream_low_stock_alerts", "stock_ledger supply", f"""
-    SELECT supply_id, on_hand, min_qty, status FROM ({STATUS}) WHERE status = 'ROJO'""")
+    WITH level AS (
+        SELECT supply_id, min_qty, created_at, ledger_ref, ledger_line, keeper_id, ledger_value,
+               sum(qty) OVER (PARTITION BY supply_id ORDER BY created_at, ledger_ref, ledger_line, keeper_id, ledger_value
+                              ROWS UNBOUNDED PRECEDING) AS on_hand
+        FROM stock_ledger JOIN supply USING (supply_id)),
+    light AS (
+        SELECT *, lag(on_hand <= min_qty, 1, false) OVER (
+            PARTITION BY supply_id ORDER BY created_at, ledger_ref, ledger_line, keeper_id, ledger_value) AS was_red FROM level)
+    SELECT supply_id, CAST(on_hand AS DECIMAL(18,2)) AS on_hand, min_qty, 'ROJO' AS status
+    FROM light WHERE on_hand <= min_qty AND NOT was_red""")
 check("stream_apply_requests", "folded", FOLDED_STOCK)
 check("stream_apply_orders", "coded_order_request", """
     SELECT row_number() OVER (ORDER BY req_id) AS order_id, dish_id, table_no, waiter_id, 'PENDIENTE' AS state, ts
     FROM coded_order_request WHERE result_code = 1""")
+# The stream holds events back until the watermark, an hour behind the newest, has passed them.
 check("stream_order_durations", "order_event", """
+    SELECT * EXCLUDE (ts) FROM (
+        SELECT event_id, order_id, lag(state) OVER w AS from_state, state AS to_state,
+               epoch_us(ts) - epoch_us(lag(ts) OVER w) AS micros_in_state, ts
+        FROM order_event WINDOW w AS (PARTITION BY order_id ORDER BY ts, event_id))
+    WHERE ts < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM order_event)""")
+check("find_by_key", "supply", "SELECT * FROM supply WHERE supply_id = 7")
+check("first_row", "stock_ledger", "SELECT * FROM stock_ledger ORDER BY created_at, ledger_ref, ledger_line, keeper_id, ledger_value LIMIT 1")
+check("upsert_dimension_as_of", "cash_session", """
+    SELECT session_id, CASE WHEN session_id % 3 = 0 THEN opening + 1 ELSE opening END AS opening,
+           CASE WHEN session_id % 3 = 0 THEN TIMESTAMP '2020-01-01 00:00:00' ELSE updated_at END AS updated_at
+    FROM cash_session""")
+check("order_durations", "order_event", """
     SELECT event_id, order_id, lag(state) OVER w AS from_state, state AS to_state,
            epoch_us(ts) - epoch_us(lag(ts) OVER w) AS micros_in_state
     FROM order_event WINDOW w AS (PARTITION BY order_id ORDER BY ts, event_id)""")
@@ -849,5 +875,14 @@ for _name, _source in {
     "register_closings": "register_closings",
     "orders_by_hour": "orders_by_hour",
     "stock_on_hand": "stock_on_hand",
+    "stock_totals": "stock_totals",
+    "table_bill": "table_bill",
+    "admin_guard": "admin_guard",
+    "sales_by_waiter": "sales_by_waiter",
+    "stock_flow_by_class": "stock_flow_by_class",
+    "dish_cost_margin": "dish_cost_margin",
 }.items():
     ORACLE[f"sql_{_name}"] = ORACLE[_source]
+check("sql_stock_of_supply", "stock_ledger supply", """
+    SELECT any_value(supply_id) AS supply_id, any_value(supply_name) AS supply_name, CAST(sum(qty) AS DECIMAL(18,2)) AS on_hand
+    FROM stock_ledger JOIN supply USING (supply_id) WHERE supply_id = 1""")

@@ -84,7 +84,8 @@ def read_stored(spark: SparkSession, path: str, name: str) -> DataFrame:
 def load_seed(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Seed rows from CSV files with a header; an empty field is NULL and flags are 0 or 1."""
     schema = model.SCHEMAS[name]
-    raw = spark.read.csv(path, header=True, schema=T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
+    # Without a schema all fields are text and go by the header, whatever the order of the columns.
+    raw = spark.read.csv(path, header=True, inferSchema=False)
     return raw.select(
         *[
             (F.col(f.name) == "1" if isinstance(f.dataType, T.BooleanType) else F.col(f.name).cast(f.dataType)).alias(

@@ -17,7 +17,6 @@ from comandix.streaming.keyed_state import (
     move_order,
     newest_per_order,
     release_in_order,
-    sum_per_supply,
     watch_level,
 )
 
@@ -61,15 +60,24 @@ def kitchen_board_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def low_stock_alerts(movements: DataFrame, supplies: DataFrame) -> DataFrame:
-    """One row whenever a supply's level turns red, as seen at each trigger; update mode."""
-    known = movements.join(supplies.select("supply_id", "min_qty"), "supply_id").select(
+def low_stock_alerts(movements: DataFrame, supplies: DataFrame, order: list[str]) -> DataFrame:
+    """One row for every movement that turns a supply's level red; update mode.
+
+    Movements of a supply follow each other by ``order`` within a trigger, and triggers as they come,
+    so input that arrives in order gives the same alerts however it is cut into triggers. A call
+    holds one trigger's movements of one supply; bound it with the source's files per trigger.
+    """
+    places = [
+        F.col(c).cast("double" if movements.schema[c].dataType.typeName() == "decimal" else movements.schema[c].dataType).alias(f"_o{i}")
+        for i, c in enumerate(order)
+    ]
+    known = movements.select("supply_id", "qty", *places).join(supplies.select("supply_id", "min_qty"), "supply_id").select(
         "supply_id",
         (F.col("qty") * 100).cast("bigint").alias("cents"),
         (F.col("min_qty") * 100).cast("bigint").alias("min_cents"),
+        *[f"_o{i}" for i in range(len(order))],
     )
-    combined = known.mapInPandas(sum_per_supply, known.schema)
-    alerts = combined.groupBy("supply_id").applyInPandasWithState(
+    alerts = known.groupBy("supply_id").applyInPandasWithState(
         watch_level,
         "supply_id long, cents long, min_cents long",
         "cents long, red boolean",

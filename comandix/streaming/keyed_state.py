@@ -28,22 +28,6 @@ def newest_per_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held).sort_values(["order_id", "micros", "event_id"]).drop_duplicates("order_id", keep="last")
 
 
-def sum_per_supply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-
-    def combine() -> pd.DataFrame:
-        return pd.concat(held).groupby("supply_id", as_index=False).agg({"cents": "sum", "min_cents": "first"})
-
-    for frame in frames:
-        held.append(frame.groupby("supply_id", as_index=False).agg({"cents": "sum", "min_cents": "first"}))
-        if sum(map(len, held)) > COMBINE_KEYS:
-            held = [combine()]
-            if len(held[0]) > COMBINE_KEYS:
-                yield held.pop()
-    if held:
-        yield combine()
-
-
 def move_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     before = state.get if state.exists else None
     newest = before
@@ -61,15 +45,16 @@ def move_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def watch_level(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Levels after each movement in order, and those that turn red."""
     cents, was_red = state.get if state.exists else (0, False)
-    minimum = 0
-    for frame in frames:
-        cents += int(frame["cents"].sum())
-        minimum = int(frame["min_cents"].iloc[0])
-    red = cents <= minimum
-    state.update((cents, red))
-    if red and not was_red:
-        yield pd.DataFrame({"supply_id": [key[0]], "cents": [cents], "min_cents": [minimum]})
+    rows = pd.concat(list(frames))
+    rows = rows.sort_values([c for c in rows.columns if c.startswith("_o")], kind="stable")
+    level = cents + rows["cents"].fillna(0).astype("int64").cumsum()
+    red = level <= rows["min_cents"]
+    turned = red & ~red.shift(fill_value=was_red)
+    state.update((int(level.iloc[-1]), bool(red.iloc[-1])))
+    if turned.any():
+        yield pd.DataFrame({"supply_id": key[0], "cents": level[turned], "min_cents": rows["min_cents"][turned]})
 
 
 def release_in_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -190,7 +190,7 @@ def test_row_index(spark):
 
 def test_assign_ids(spark):
     df = spark.range(0, 3000, 3).withColumnRenamed("id", "req_id").repartition(7)
-    found = hotkeys.assign_ids(df, "req_id", "new_id", 500, block=100)
+    found = hotkeys.assign_ids(df, "req_id", "new_id", 500)
     assert rows(found.where("new_id <> 501 + req_id / 3")) == []
     assert found.select("new_id").distinct().count() == 1000
 
@@ -206,3 +206,25 @@ def test_issues_over_many_files(spark, tmp_path):
         pq.write_table(lines.slice(part * 7500, 7500), tmp_path / "lineitem.parquet" / f"part-{part}.parquet")
     query = queries()["apply_issues_stock"]
     assert rows(query(spark, str(tmp_path))) == rows(query(spark, source))
+
+
+@pytest.mark.parametrize("spread", [1, 1_000_003, 2**42 + 7])
+def test_assign_ids_for_dense_and_sparse_ids(spark, spread):
+    df = spark.range(5000).selectExpr(f"(id - 2500) * {spread}L AS req_id")
+    found = hotkeys.assign_ids(df, "req_id", "new_id", 10).orderBy("req_id").collect()
+    assert [r.new_id for r in found] == list(range(11, 5011))
+
+
+def test_a_hot_null_key_is_split(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 7 END AS k", "CAST(id % 11 AS decimal(12,2)) AS v")
+    rest, hot = hotkeys.split_hot(df, "k", 500)
+    assert hot.select("k").distinct().collect() == [(None,)] and rest.where("k IS NULL").count() == 0
+    for cut in (500, 10**9):
+        total = {r.id: r.total for r in hotkeys.running_total(df, "k", ["id"], "v", "total", cut).collect()}
+        before = {r.id: r.was for r in hotkeys.previous(df, "k", ["id"], {"was": "v"}, cut).collect()}
+        seen: dict = {}
+        for r in sorted(df.collect()):
+            own = seen.setdefault(r.k, [])
+            assert before[r.id] == (own[-1] if own else None)
+            own.append(r.v)
+            assert total[r.id] == sum(own)

@@ -296,3 +296,87 @@ def test_traffic_light(spark, total, minimum, expected):
 
     one = spark.createDataFrame([(d(total), d(minimum))], "t decimal(8,2), m decimal(8,2)")
     assert one.select(stock_status("t", "m")).first()[0] == expected
+
+
+def test_repeated_keys_leave_one_row_each(spark, seed):
+    """Requests for one key follow each other; every request keeps its own result."""
+    changes = spark.createDataFrame(
+        [(1, 1, "first", None), (2, 1, None, d("9.90")), (3, 900, "new", d("1.00")), (4, 900, "newer", None), (5, None, "lost", d("2.00"))],
+        "req_id bigint, dish_id bigint, dish_name string, price decimal(8,2)",
+    )
+    after = apply_dims.upsert_dimension(seed.dish, changes, "dish_id", defaults={"active": True})
+    assert after.count() == seed.dish.count() + 1 == after.select("dish_id").distinct().count()
+    found = {r["dish_id"]: (r["dish_name"], r["price"]) for r in after.collect()}
+    assert found[1] == ("first", d("9.90")) and found[900] == ("newer", d("1.00"))
+    flags = spark.createDataFrame([(1, 1, True), (2, 1, False), (3, None, True)], "req_id bigint, dish_id bigint, target boolean")
+    toggled = apply_dims.toggle_flag(seed.dish, flags, "dish_id", "active")
+    assert toggled.count() == seed.dish.count() and not toggled.where("dish_id = 1").first()["active"]
+    people = spark.createDataFrame(
+        [(1, 900, "a", 99), (2, 900, "b", 1), (3, 900, "c", 99), (4, None, "d", 1)], "req_id bigint, staff_id bigint, username string, role_id bigint"
+    )
+    done = apply_dims.apply_staff_changes(people, seed.staff, seed.role)
+    assert [(r["ok"], r["change"]) for r in done.results.orderBy("req_id").collect()] == [(False, "insert"), (True, "insert"), (True, "update"), (False, "insert")]
+    assert done.table.where("staff_id = 900").count() == 1 and done.table.count() == seed.staff.count() + 1
+
+
+def test_two_edits_of_one_order(spark, seed):
+    pending = seed.order_line.where("state = 'PENDIENTE'").first()
+    edits = spark.createDataFrame(
+        [(1, pending["order_id"], 2, 3, 18, "2019-12-01 10:00:00"), (2, pending["order_id"], 3, 3, 18, "2019-12-01 11:00:00")],
+        "req_id bigint, order_id bigint, dish_id bigint, table_no bigint, waiter_id bigint, ts string",
+    )
+
+    def edited(which):
+        return apply_orders.apply_order_edits(which, seed.order_line, seed.dish, seed.dining_table, seed.staff, seed.recipe, seed.stock_snapshot)
+
+    both, last = edited(edits), edited(edits.where("req_id = 2"))
+    assert both.results.count() == 2
+    assert both.orders.count() == seed.order_line.count()
+    assert rows(both.snapshot) == rows(last.snapshot) and rows(both.orders) == rows(last.orders)
+
+
+def test_counts_and_corrections_follow_each_other(spark, seed):
+    ledger = spark.createDataFrame([(1, 7, d("1.00"))], "ledger_id bigint, supply_id bigint, qty decimal(8,2)")
+    counted = spark.createDataFrame([(1, 7, d("3")), (2, 7, d("4"))], "req_id bigint, supply_id bigint, counted decimal(8,2)")
+    assert sorted(r["qty"] for r in apply_stock.apply_adjustments(counted, ledger).collect()) == [d("1.00"), d("2.00")]
+    edits = spark.createDataFrame([(1, 1, d("5")), (2, 1, d("2"))], "req_id bigint, ledger_id bigint, new_qty decimal(8,2)")
+    none = spark.createDataFrame([], "ledger_id bigint, reverse_stock boolean")
+    after = apply_stock.apply_ledger_corrections(ledger, seed.stock_snapshot, edits, none, ["ledger_id"]).ledger
+    assert [r["qty"] for r in after.collect()] == [d("2.00")]
+
+
+def test_missing_keys_and_amounts_are_refused(spark, seed):
+    asked = spark.createDataFrame([(1, None), (2, 900), (3, 1)], "req_id bigint, dish_id bigint")
+    assert codes(apply_dims.delete_rows(asked, seed.dish, "dish_id").results) == {1: 3, 2: 3, 3: 1}
+    cash = spark.createDataFrame([(1, None, 20, 5)], "req_id bigint, amount decimal(8,2), cashier_id bigint, ts bigint")
+    assert codes(apply_cash.apply_cash_ops(cash, seed.staff, seed.register).results) == {1: 2}
+
+
+def test_kinds_of_movements(spark, seed):
+    supply = seed.stock_snapshot.where("qty > 1").first()["supply_id"]
+    asked = spark.createDataFrame(
+        [(1, supply, 20, d("1"), "issue"), (2, supply, 20, d("-1"), "issue"), (3, supply, 20, d("-1"), "receipt"), (4, supply, 20, d("1"), "receipt")],
+        "req_id bigint, supply_id bigint, keeper_id bigint, qty decimal(8,2), kind string",
+    )
+    done = apply_stock.apply_issues(asked, seed.supply, seed.staff, seed.stock_snapshot, ["req_id"])
+    assert codes(done.results) == {1: 4, 2: 1, 3: 4, 4: 1}
+
+
+@pytest.mark.parametrize("unknown", [[(3, 900)], [(3, 900), (3, 1), (4, 1)]])
+def test_payments_lose_no_order(spark, seed, unknown):
+    orders = spark.createDataFrame([(i, dish, table, 18, "ENTREGADO", None, None) for i, (table, dish) in enumerate(unknown)], seed.order_line.schema)
+    asked = spark.createDataFrame([(1, 3, 20)], "req_id bigint, table_no bigint, cashier_id bigint")
+    applied = apply_orders.apply_table_payments(asked, orders, seed.dish, seed.staff, seed.register)
+    assert applied.open_orders.count() + applied.sales.count() == len(unknown)
+    assert applied.open_orders.where("dish_id = 900").count() == 1
+    paid = applied.cash_ops.agg(F.coalesce(F.sum("amount"), F.lit(0))).first()[0]
+    assert applied.register.first()["current_amount"] == seed.register.first()["current_amount"] + paid
+
+
+def test_seed_columns_go_by_the_header(spark, tmp_path):
+    from comandix.sources.tables import load_seed
+
+    file = tmp_path / "supply.csv"
+    file.write_text("min_qty,supply_name,supply_id\n5.00,rice,9\n")
+    row = load_seed(spark, str(file), "supply").first()
+    assert (row["supply_id"], row["supply_name"], row["min_qty"]) == (9, "rice", d("5.00"))
