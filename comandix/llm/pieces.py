@@ -26,7 +26,7 @@ SPACE = "▁"
 #: Parts whose ids a task remembers, characters that one suffix array takes, and characters of texts worked on at once.
 REMEMBERED, ARRAY, BATCH = 500_000, 1 << 20, 1 << 22
 #: Characters up to which parts are relaxed side by side, and what tells the places of a pair's pieces apart.
-SHORT, BITS = 64, 21
+SHORT, BITS, SLOTS = 64, 21, 21
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -66,9 +66,10 @@ class Model:
             if len(p) == 1:
                 self.letter_place[ord(p)] = i
         self.id_at = np.array([self.id_of[p] for p in self.sorted], np.int64)
-        self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        # Pairs by a hash of their key, the newest in its slot; all pairs are in the dictionary.
+        self.pair_keys, self.pair_fits = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short string: the best score first, from the left."""
@@ -124,20 +125,14 @@ class Model:
     def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """``compatible`` for many pairs of places at once; -1 on the left is the start of a part."""
         keys = ((left + 1) << BITS) | right
-        at = np.searchsorted(self.pair_keys, keys)
-        known = at < len(self.pair_keys)
-        known[known] = self.pair_keys[at[known]] == keys[known]
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        fits, known = self.pair_fits[slots], self.pair_keys[slots] == keys
         if not known.all():
-            new = np.unique(keys[~known])
-            fits = np.array([self.compatible(self.text_at((k >> BITS) - 1) if k >> BITS else "", self.text_at(k & ((1 << BITS) - 1))) for k in new.tolist()], bool)
-            if len(self.pair_keys) + len(new) > 4 * REMEMBERED:
-                self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
-                return self.fitting(left, right)
-            merged = np.concatenate([self.pair_keys, new])
-            by = np.argsort(merged)
-            self.pair_keys, self.pair_fits = merged[by], np.concatenate([self.pair_fits, fits])[by]
-            at = np.searchsorted(self.pair_keys, keys)
-        return self.pair_fits[at]
+            new, back = np.unique(keys[~known], return_inverse=True)
+            told = np.array([self.compatible(self.text_at((k >> BITS) - 1) if k >> BITS else "", self.text_at(k & ((1 << BITS) - 1))) for k in new.tolist()], bool)
+            fits[~known] = told[back]
+            self.pair_keys[slots[~known]], self.pair_fits[slots[~known]] = keys[~known], told[back]
+        return fits
 
     @staticmethod
     def _bound(order, padded, k, wanted, low, high, after):
@@ -153,8 +148,8 @@ class Model:
             low = np.where(right, middle + 1, low)
             high = np.where(live & ~right, middle, high)
 
-    def learn(self, parts: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct parts, from the edges of their concatenation."""
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of distinct parts as 4 bytes each, from the edges of their concatenation."""
         text = "\n".join(parts) + "\n"
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -195,7 +190,7 @@ class Model:
                 if self.compatible(self.text_at(left) if left >= 0 else "", self.sorted[place]):
                     last[end], came[end], done = place, start, end
 
-    def _walked(self, parts, base, sizes, last, came) -> dict[str, list[int]]:
+    def _walked(self, parts, base, sizes, last, came) -> dict[str, bytes]:
         """The ids of each part, back from its end."""
         owner, at = np.flatnonzero(sizes), (base + sizes)[sizes > 0]
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -207,7 +202,7 @@ class Model:
             live = at > base[owner]
             owner, at = owner[live], at[live]
         if not found:
-            return {p: [] for p in parts}
+            return {p: b"" for p in parts}
         at, place = (np.concatenate(x) for x in zip(*found))
         owner = np.concatenate(owners)
         by = np.argsort(at)
@@ -215,20 +210,18 @@ class Model:
         stop = np.cumsum(count)
         strange = np.zeros(len(parts), bool)
         strange[owner[by][place >= len(self.sorted)]] = True
-        ids = self.id_at[np.minimum(place, len(self.sorted) - 1)].tolist()
-        out = {p: ids[hi - n : hi] for p, n, hi in zip(parts, count.tolist(), stop.tolist())}
+        ids = self.id_at[np.minimum(place, len(self.sorted) - 1)].astype("<i4").tobytes()
+        out = {p: ids[lo:hi] for p, lo, hi in zip(parts, (4 * (stop - count)).tolist(), (4 * stop).tolist())}
         for i in np.flatnonzero(strange).tolist():
-            out[parts[i]] = [x for k in place[stop[i] - count[i] : stop[i]].tolist() for x in self.ids(self.text_at(k))]
+            out[parts[i]] = np.array([x for k in place[stop[i] - count[i] : stop[i]].tolist() for x in self.ids(self.text_at(k))], "<i4").tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [_PART.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new: dict[str, None] = {}
-        for p in parts:
-            new.update(dict.fromkeys(x for x in p if x not in self.known))
+        new = set(chain.from_iterable(parts))
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
-            new = dict.fromkeys(x for p in parts for x in p)
+        new -= self.known.keys()
         group, held = [], 0
         for part in new:
             group.append(part)
@@ -238,10 +231,10 @@ class Model:
                 group, held = [], 0
         if group:
             self.known.update(self.learn(group))
-        return [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<i4") for p in parts]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode(errors="replace").removeprefix(" ")
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -286,11 +279,11 @@ OUTPUTS = {
 def encoded(name: str, outputs: tuple[str, ...]):
     """Task code: (id, text) to the id and the named outputs."""
 
-    def outcome(text: str | None, ids: list[int], back: str) -> dict:
+    def outcome(text: str | None, ids: np.ndarray, back: str) -> dict:
         if text is None:
             return {}
         made = {"piece_ids": ids, "decoded": back, "n_pieces": len(ids), "round_trip": text == back}
-        made["ids_sha256"] = hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+        made["ids_sha256"] = hashlib.sha256(ids.tobytes()).hexdigest()
         made["decoded_sha256"] = hashlib.sha256(back.encode()).hexdigest()
         return made
 
