@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Parts whose ids a task remembers, characters that one suffix array takes, and characters of texts worked on at once.
-REMEMBERED, ARRAY, BATCH = 500_000, 1 << 20, 1 << 22
+REMEMBERED, ARRAY, BATCH = 300_000, 1 << 18, 1 << 21
 #: Characters up to which parts are relaxed side by side, and what tells the places of a pair's pieces apart.
 SHORT, BITS, SLOTS = 64, 21, 21
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
