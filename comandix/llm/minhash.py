@@ -136,7 +136,9 @@ def _grouped(source: DataFrame, words: int, percent: int) -> DataFrame:
     nodes = common.stored(
         rows.where("_n > 0").groupBy("_s").agg(F.min(F.struct("_k", "_n", "_h")).alias("_r")).select("_s", "_r.*")
     )
-    names = _components(source, nodes, _tables(nodes), words, percent)
+    tables = _tables(nodes)
+    common.release(source.sparkSession)
+    names = _components(source, nodes, tables, words, percent)
     ids = rows.groupBy("_s").agg(F.min("_id").alias("_id"))
     labelled = ids.join(names, "_s", "left").withColumn("_c", F.coalesce("_c", "_s"))
     smallest = labelled.groupBy("_c").agg(F.min("_id").alias("_to"))
@@ -177,11 +179,16 @@ def _tables(nodes: DataFrame) -> DataFrame:
     return common.stored(keyed.join(shared, "_key").select("_s", "_key"))
 
 
+def _texts(source: DataFrame, nodes: DataFrame, tables: DataFrame) -> DataFrame:
+    """(node, text) of the nodes that share a table key; equal rows are joined with once."""
+    members = tables.select("_s").distinct().join(nodes.select("_s", "_k"), "_s")
+    return common.stored(source.select("_k", "_t").join(members, "_k").dropDuplicates(["_k"]).select("_s", "_t"))
+
+
 def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that have a confirmed link; a component is named by one of its nodes."""
-    members = tables.select("_s").distinct().join(nodes.select("_s", "_k"), "_s")
-    one = source.select("_k", "_t").join(members, "_k").groupBy("_s").agg(F.first("_t").alias("_t"))
-    texts = common.stored(one)
+    texts = _texts(source, nodes, tables)
+    common.release(source.sparkSession)
     # One byte of each minhash is enough to rule pairs out, and what pairs carry through two joins.
     light = nodes.select("_s", "_n", F.transform("_h", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint")).alias("_h"))
 
@@ -196,10 +203,11 @@ def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: i
         return full.select("a", "_ta", "b", "_tb").mapInArrow(confirmed(words, percent), "a binary, b binary")
 
     lowest = tables.groupBy("_key").agg(F.min("_s").alias("a"))
-    pairs = tables.join(lowest, "_key").where("a <> _s").select("a", F.col("_s").alias("b")).distinct()
-    names = common.stored(common.components(check(pairs)).toDF("_s", "_c"))
+    names = tables.join(lowest, "_key").where("a <> _s").select("a", F.col("_s").alias("b")).distinct()
+    names = common.stored(common.components(check(names)).toDF("_s", "_c"))
     again = 0
     while True:
+        common.release(source.sparkSession)
         # Nodes of one table that are still in different components, against another representative.
         sizes = names.groupBy("_c").agg(F.count(F.lit(1)).alias("_z"))
         now = tables.join(names.join(sizes, "_c"), "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"), F.coalesce("_z", F.lit(1)).alias("_z"))
@@ -218,6 +226,7 @@ def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: i
         ends = more
         for end in ("a", "b"):
             ends = ends.join(place, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_p", end)).drop("_n", "_p")
+        del now, torn
         joined = common.components(ends).toDF("_c", "_to")
         alone = more.select("a").union(more.select("b")).distinct().toDF("_s").join(names, "_s", "left_anti")
         names = names.union(alone.select("_s", F.col("_s").alias("_c"))).join(joined, "_c", "left")
