@@ -834,7 +834,7 @@ check("stream_kitchen_board", "order_event", f"SELECT state, count(*) AS orders
 check("latest_order_states", "order_event", f"SELECT order_id, state, ts AS updated_at FROM ({NEWEST})")
 check("stream_stock_levels", "stock_ledger supply", STATUS)
 check("stream_low_stock_alerts", "stock_ledger supply", f"""
-    WITH level AS (
+    SELECT * FROM (WITH level AS (
         SELECT supply_id, min_qty, created_at, ledger_ref, ledger_line, keeper_id, ledger_value,
                sum(qty) OVER (PARTITION BY supply_id ORDER BY created_at, ledger_ref, ledger_line, keeper_id, ledger_value
                               ROWS UNBOUNDED PRECEDING) AS on_hand
@@ -843,7 +843,7 @@ check("stream_low_stock_alerts", "stock_ledger supply", f"""
         SELECT *, lag(on_hand <= min_qty, 1, false) OVER (
             PARTITION BY supply_id ORDER BY created_at, ledger_ref, ledger_line, keeper_id, ledger_value) AS was_red FROM level)
     SELECT supply_id, CAST(on_hand AS DECIMAL(18,2)) AS on_hand, min_qty, 'ROJO' AS status
-    FROM light WHERE on_hand <= min_qty AND NOT was_red""")
+    FROM light WHERE on_hand <= min_qty AND NOT was_red)""")
 check("stream_apply_requests", "folded", FOLDED_STOCK)
 check("stream_apply_orders", "coded_order_request", """
     SELECT row_number() OVER (ORDER BY req_id) AS order_id, dish_id, table_no, waiter_id, 'PENDIENTE' AS state, ts
