@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,6 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files of finished steps go once the driver's collector has run; called between steps that leave many."""
-    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

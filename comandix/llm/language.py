@@ -104,11 +104,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     drawn = rows.select(F.col("_r").alias("_d")).orderBy("_d").limit(FITTED).distinct()
     bits = rows.join(F.broadcast(drawn), F.col("_r") == F.col("_d")).select("_y", "_t").mapInArrow(packed, "_y string, _bits binary")
     sample = bits.distinct()
-    model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(solved, "kinds array<string>, offset array<double>, matrix binary").collect()  # one row
-    if not model:
+    model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(solved, "kinds array<string>, offset array<double>, matrix binary").first()  # the only row
+    if model is None:
         return [], np.zeros(0), np.zeros((BUCKETS, 0), np.float32)
-    kinds = list(model[0]["kinds"])
-    return kinds, np.array(model[0]["offset"]), np.frombuffer(model[0]["matrix"], np.float32).reshape(BUCKETS, len(kinds))
+    kinds = list(model["kinds"])
+    return kinds, np.array(model["offset"]), np.frombuffer(model["matrix"], np.float32).reshape(BUCKETS, len(kinds))
 
 
 def scored(kinds: list[str], offset: np.ndarray, matrix: np.ndarray):

@@ -126,10 +126,10 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     # An id of several rows counts once.
     once = lists.groupBy("_y._id").agg(F.min(F.struct(F.col("_y._x").alias("_x"), F.col("_y._y").alias("_y"), "_f")).alias("_r"))
     sample = once.select("_r._y", "_r._f")
-    model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(solved, "thresholds array<double>, weights binary").collect()  # one row
-    if not model or not model[0]["thresholds"]:
+    model = sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(solved, "thresholds array<double>, weights binary").first()  # the only row
+    if model is None or not model["thresholds"]:
         return np.zeros(BUCKETS, np.float32), np.zeros(0)
-    return np.frombuffer(model[0]["weights"], np.float32), np.array(model[0]["thresholds"])
+    return np.frombuffer(model["weights"], np.float32), np.array(model["thresholds"])
 
 
 def scored(weights: np.ndarray, thresholds: np.ndarray):
