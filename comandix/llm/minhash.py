@@ -8,7 +8,9 @@ of Jaccard similarity s meet with probability (1 - (1 - s**DEPTH)**SIDE)**2: 0.9
 Texts with equal sets are one node throughout. Left rows that no other node shares are dropped
 before the pairs are formed. Within a table nodes are compared with representatives, and links are
 confirmed on the whole sets, read from the texts. Tables whose nodes are still in different components
-then get another representative, until a round confirms nothing; pairs are never listed within a group.
+then get another representative, until a round confirms nothing. What is left then is compared in full: nodes
+of such tables are dealt into blocks, and all pairs of two blocks are tested in one task; pairs are
+never listed within a group.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ HASHES = 2 * SIDE * DEPTH
 LEAST_MATCHES = 43
 #: Nodes up to which a component's are compared with every representative of every round.
 SMALL = 8
+#: Nodes of a block whose minhashes, and of a unit whose texts, are compared with those of another in one task.
+BLOCK, UNIT = 2048, 256
+#: Distinct shingles of one product of membership matrices.
+CHUNK = 8192
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,6 +87,95 @@ def confirmed(size: int, least: int):
     return run
 
 
+def _possible(a: tuple, b: tuple, percent: int) -> np.ndarray:
+    """Which nodes of a (component, set size, bytes of minhashes) go with which of b by component, size and minhashes."""
+    (ca, na, ha), (cb, nb, hb) = a, b
+    ok = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+    columns = np.ascontiguousarray(hb.T)
+    for lo in range(0, len(ca), 256):
+        part = ok[lo : lo + 256]
+        if part.any():
+            same = np.zeros(part.shape, np.uint8)
+            for k in range(HASHES):
+                same += ha[lo : lo + 256, k, None] == columns[k]
+            part &= same >= LEAST_MATCHES
+    return ok
+
+
+def _sides(table: pa.Table) -> tuple:
+    """(component, set size, bytes of minhashes) of the rows, and the rows of both sides: all twice if there is one."""
+    names = np.array(table.column("_c").to_pylist(), "S16")
+    hashes = table.column("_h").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, HASHES)
+    side = table.column("_side").to_numpy()
+    mine, yours = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = bool(table.column("_within")[0].as_py())
+    return (np.unique(names, return_inverse=True)[1], table.column("_n").to_numpy(), hashes), mine, mine if within else yours
+
+
+def candidates(percent: int):
+    """Code of two blocks of a table: the pairs of units that hold a pair of nodes that has to be confirmed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, mine, yours = _sides(table)
+        units = table.column("_u").to_numpy()
+        i, j = np.nonzero(_possible(tuple(x[mine] for x in nodes), tuple(x[yours] for x in nodes), percent))
+        found = np.unique(np.sort(np.stack([units[mine[i]], units[yours[j]]], 1), axis=1), axis=0)
+        return pa.table({"ua": pa.array(found[:, 0], pa.int64()), "ub": pa.array(found[:, 1], pa.int64())})
+
+    return run
+
+
+def _shared(sets: list[np.ndarray], mine: np.ndarray, yours: np.ndarray) -> np.ndarray:
+    """How many shingles each of ``mine`` shares with each of ``yours``, by products of membership matrices."""
+    out = np.zeros((len(mine), len(yours)), np.int64)
+    if not out.size:
+        return out
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    owner, ids = owner[order], ids[order]
+    for lo in range(0, int(ids[-1]) + 1, CHUNK):
+        first, last = np.searchsorted(ids, [lo, lo + CHUNK])
+        member = np.zeros((len(sets), CHUNK), np.float32)
+        member[owner[first:last], ids[first:last] - lo] = 1
+        out += (member[mine] @ member[yours].T).astype(np.int64)
+    return out
+
+
+def joined(size: int, percent: int):
+    """Code of two units: links between components, as few as connect what the texts connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, mine, yours = _sides(table)
+        ok = _possible(tuple(x[mine] for x in nodes), tuple(x[yours] for x in nodes), percent)
+        mine, yours, ok = mine[ok.any(1)], yours[ok.any(0)], ok[ok.any(1)][:, ok.any(0)]
+        rows = np.unique(np.concatenate([mine, yours]))
+        texts = table.column("_t").take(pa.array(rows)).combine_chunks()
+        texts = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
+        sets = [s for t in texts for *_, data, offsets in textbytes.pieces(t) for s in textbytes.shingles(data, offsets, size)]
+        at = [np.searchsorted(rows, x) for x in (mine, yours)]
+        sizes, shared = np.array([len(s) for s in sets], np.int64), _shared(sets, *at)
+        ok &= 100 * shared >= percent * (sizes[at[0]][:, None] + sizes[at[1]] - shared)
+        place = list(range(int(nodes[0].max()) + 1))
+
+        def of(c: int) -> int:
+            while place[c] != c:
+                place[c] = c = place[place[c]]
+            return c
+
+        links = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+            i, j = int(mine[i]), int(yours[j])
+            one, two = of(nodes[0][i]), of(nodes[0][j])
+            if one != two:
+                place[one] = two
+                links.append((i, j))
+        names = table.column("_c").to_pylist()
+        return pa.table({end: pa.array([names[x[k]] for x in links], pa.binary()) for k, end in enumerate("ab")})
+
+    return run
+
+
 def _matches(a: str, b: str):
     """How many of the minhashes of two nodes agree."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
@@ -215,23 +310,60 @@ def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: i
         torn = now.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y"), pick.alias("_p"))
         torn = torn.where("_x <> _y").select("_key", "_p")
         more = now.join(torn, "_key").select(F.col("_s").alias("b"), "_c", "_z", "_p.*").toDF("b", "_c", "_z", "a", "_pc", "_pz").where("_c <> _pc")
-        # After the first round, two large components meet through one pair per node and round.
-        each = F.when((F.least("_z", "_pz") <= SMALL) | F.lit(again == 0), F.col("a"))
+        # Two large components meet through one pair per node and round.
+        each = F.when(F.least("_z", "_pz") <= SMALL, F.col("a"))
         more = more.groupBy("b", "_pc", each.alias("_each")).agg(F.min_by("a", F.xxhash64("a", "b", F.lit(again))).alias("a"))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = common.stored(check(more))
         if more.isEmpty():
-            return names
+            del now, torn
+            return _completed(names, tables, light, texts, words, percent)
         place = names.select(F.col("_s").alias("_n"), F.col("_c").alias("_p"))
         ends = more
         for end in ("a", "b"):
             ends = ends.join(place, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_p", end)).drop("_n", "_p")
         del now, torn
-        joined = common.components(ends).toDF("_c", "_to")
-        alone = more.select("a").union(more.select("b")).distinct().toDF("_s").join(names, "_s", "left_anti")
-        names = names.union(alone.select("_s", F.col("_s").alias("_c"))).join(joined, "_c", "left")
-        names = common.stored(names.select("_s", F.coalesce("_to", "_c").alias("_c")))
+        names = _moved(names, ends, more)
         again += 1
 
 
+def _moved(names: DataFrame, ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``names`` after links between components (``ends``); the nodes of ``nodes`` that had no name get one."""
+    to = common.components(ends).toDF("_c", "_to")
+    alone = nodes.select("a").union(nodes.select("b")).distinct().toDF("_s").join(names, "_s", "left_anti")
+    names = names.union(alone.select("_s", F.col("_s").alias("_c"))).join(to, "_c", "left")
+    return common.stored(names.select("_s", F.coalesce("_to", "_c").alias("_c")))
+
+
+def _completed(names: DataFrame, tables: DataFrame, light: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``names`` after all pairs of one table and different components are tested.
+
+    A table of two nodes has been tested by its first representative. A node's unit is a part of the largest
+    table it is in, so that texts are compared once for all the tables that two units share.
+    """
+    now = tables.join(names, "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"))
+    torn = now.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_c").alias("_x"), F.max("_c").alias("_y"))
+    dealt = common.stored(now.join(torn.where("_m > 2 and _x <> _y").select("_key", "_m"), "_key"))
+    if dealt.isEmpty():
+        return names
+    largest = F.max(F.struct("_m", "_key"))["_key"]
+    homes = dealt.groupBy("_s").agg(F.min("_c").alias("_c"), largest.alias("_home"))
+    sizes = homes.groupBy("_home").agg(F.count(F.lit(1)).alias("_z"))
+    unit = F.xxhash64("_home", F.pmod(F.xxhash64("_s"), F.ceil(F.col("_z") / UNIT)))
+    homes = common.stored(homes.join(sizes, "_home").select("_s", "_c", unit.alias("_u")).join(light, "_s"))
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("_s"), blocks).cast("int")
+    both = F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda other: F.struct(F.least(mine, other).alias("_b1"), F.greatest(mine, other).alias("_b2"), (mine > other).cast("int").alias("_side"), (mine == other).alias("_within")),
+    )
+    pairs = dealt.select("_s", "_key", F.explode(both).alias("_p")).select("_s", "_key", "_p.*").join(homes, "_s")
+    pairs = pairs.groupBy("_key", "_b1", "_b2").applyInArrow(candidates(percent), "ua long, ub long")
+    pairs = common.stored(pairs.distinct())
+    sides = [pairs.select("ua", "ub", F.col(end).alias("_u"), F.lit(k).alias("_side"), (F.col("ua") == F.col("ub")).alias("_within")) for k, end in enumerate(("ua", "ub"))]
+    members = sides[0].union(sides[1].where("not _within")).join(homes, "_u").join(texts, "_s")
+    found = common.stored(members.groupBy("ua", "ub").applyInArrow(joined(words, percent), "a binary, b binary"))
+    return names if found.isEmpty() else _moved(names, found, found)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -98,6 +98,19 @@ def test_a_large_group_is_one_component(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_one_link_between_large_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 1000)
+    monkeypatch.setattr(minhash, "UNIT", 100)
+    shared, ends = [f"c{k}" for k in range(140)], [[f"{e}{k}" for k in range(20)] for e in "ab"]
+    rows = [(10_000 * e + i, " ".join([*shared, *ends[e], f"u{e}x{i}", f"v{e}x{i}"])) for e in (0, 1) for i in range(1500)]
+    # Only these two are linked across: 148 of 180 words; others have 140 of 184, or 144 of 182 with one of these.
+    rows += [(5000 + 10_000 * e, " ".join([*shared, *ends[e], *ends[1 - e][:4]])) for e in (0, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(frame, 1).collect()} == {0}
+    apart = minhash.near_duplicates(frame.where("doc_id <> 5000"), 1).collect()
+    assert {(r.doc_id // 10_000, r.component_id) for r in apart} == {(0, 0), (1, 10_000)}
+
+
 def removed(texts: list[bytes], length: int) -> list[np.ndarray]:
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
