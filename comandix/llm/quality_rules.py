@@ -14,7 +14,7 @@ from comandix.llm import common
 WINDOW = 5
 #: A line is removed if more distinct texts of its host have it than both of these allow.
 LEAST_TEXTS, MOST_SHARE = 20, 0.02
-#: Longer lines are passages, which deduplication looks after.
+#: Longer lines are passages: the first document of a host that has one keeps it, so that of near copies one stays.
 LINE_WORDS = 30
 #: A document is depleted if fewer words than these, or less than this part of its words, remain.
 LEAST_WORDS, LEAST_PART = 10, 0.3
@@ -52,7 +52,7 @@ def _repeated_words(grams: str) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A narrow row per document: key, id, host, hash of the text, base figures, short lines."""
+    """A narrow row per document: key, id, host, hash of the text, base figures, lines."""
     text = F.coalesce(F.col("_t"), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).alias("_t"))
     first = base.select(
@@ -71,13 +71,10 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         F.size("_w").cast("long").alias("n_words"),
         F.when(F.size("_w") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias("_g"),
         F.transform("_lines", lambda line: F.xxhash64(line)).alias("_lh"),
-        F.filter(
-            F.transform("_lines", lambda line: F.struct(normalised(line).alias("h"), F.regexp_count(line, F.lit(common.WORD)).alias("w"))),
-            lambda x: x["w"] <= LINE_WORDS,
-        ).alias("_short"),
+        F.transform("_lines", lambda line: F.struct(normalised(line).alias("h"), F.regexp_count(line, F.lit(common.WORD)).alias("w"))).alias("_all"),
     )
     return second.select(
-        "_id", "_host", "_k", "_x", "n_words", "word_chars", "n_symbols", "_short",
+        "_id", "_host", "_k", "_x", "n_words", "word_chars", "n_symbols", "_all",
         (F.size("_lh") - F.size(F.array_distinct("_lh"))).cast("long").alias("n_dup_lines"),
         _repeated_words("_g").alias("n_repeat_words"),
     )
@@ -87,18 +84,24 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     """One row per row of ``docs``: key, id, base figures, base_failed, frequent lines, kept.
 
     A NULL text is an empty one: no words, base_failed. A NULL host is a host of its own. Equal rows get
-    equal verdicts. Lines that differ only in case and white space are one line.
+    equal verdicts. Lines that differ only in case and white space are one line. A frequent line of more than
+    ``LINE_WORDS`` words stays in the document of the host with the smallest id that has it.
     """
     rows = common.stored(measured(docs, id_col, text_col, host_col))
     hosts = rows.select("_host", "_x").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
-    lines = rows.select("_k", "_host", "_x", F.explode(F.array_distinct(F.transform("_short", lambda s: s["h"]))).alias("_h"))
+    lines = rows.select("_k", "_id", "_host", "_x", F.explode(F.array_distinct("_all")).alias("_l"))
+    lines = lines.select("_k", "_id", "_host", "_x", F.col("_l.h").alias("_h"), (F.col("_l.w") > LINE_WORDS).alias("_long"))
     counts = lines.select("_host", "_h", "_x").distinct().groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LEAST_TEXTS)
     often = counts.alias("c").join(hosts.alias("t"), F.col("c._host").eqNullSafe(F.col("t._host"))).where(F.col("_n") > MOST_SHARE * F.col("_texts"))
     often = common.stored(often.select(F.col("c._host").alias("_oh"), "_h"))
-    hit = lines.join(often, (F.col("_host").eqNullSafe(F.col("_oh"))) & (lines["_h"] == often["_h"])).select("_k", lines["_h"])
+    hit = lines.join(often, (F.col("_host").eqNullSafe(F.col("_oh"))) & (lines["_h"] == often["_h"])).select("_k", "_id", "_host", lines["_h"], "_long")
+    hit = common.stored(hit)
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_k"))
+    first = hit.where("_long").groupBy("_host", "_h").agg(first.alias("_f")).select(F.col("_f._k").alias("_k"), "_h")
+    hit = hit.join(first, ["_k", "_h"], "left_anti")
     hit = hit.groupBy("_k").agg(F.collect_set("_h").alias("_often"))
     out = rows.join(hit, "_k", "left").withColumn("_often", F.coalesce("_often", F.array().cast("array<bigint>")))
-    gone = _total(F.transform(F.filter("_short", lambda s: F.array_contains("_often", s["h"])), lambda s: s["w"].cast("long")))
+    gone = _total(F.transform(F.filter("_all", lambda s: F.array_contains("_often", s["h"])), lambda s: s["w"].cast("long")))
     out = out.withColumn("n_frequent_words", gone)
     left = F.col("n_words") - F.col("n_frequent_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -203,6 +203,21 @@ def test_copies_of_one_text_count_once(spark, monkeypatch):
     assert all(r.kept for r in quality_rules.judged(frame).collect())
 
 
+def test_long_lines_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LEAST_TEXTS", 2)
+    body = lambda i: " ".join(f"own{i}x{k}" for k in range(30))
+    notice = " ".join(f"cookie{k}" for k in range(40))
+    rows = [(i, f"{body(i)}\n{notice}", "h") for i in range(4)] + [(None, f"{body(4)}\n{notice}", "h")]
+    # Near copies: one long line and a word of their own.
+    passage = " ".join(f"long{k}" for k in range(50))
+    rows += [(10 + i, f"{passage}\nown{i}", None) for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdicts = {r.doc_id: (r.n_frequent_words, r.kept) for r in quality_rules.judged(frame).collect()}
+    assert verdicts == {0: (0, True), **{i: (40, True) for i in (1, 2, 3, None)}, 10: (0, True), **{i: (50, False) for i in (11, 12, 13)}}
+    texts = {r.doc_id: r.text for r in quality_rules.filtered(frame).collect()}
+    assert texts == {0: rows[0][1], 1: body(1), 2: body(2), 3: body(3), None: body(4), 10: rows[5][1]}
+
+
 def test_mix(spark, edges, nothing):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), f"s{i % 7}" if i % 7 else None) for i in range(700)] + [(900, "a b c", "tiny")]
