@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from comandix.llm import common
 
 WINDOW = 5
-#: A line is removed if more distinct texts of its host have it than both of these allow.
+#: A line is removed if more distinct texts of its host than LEAST_TEXTS have it. MOST_SHARE is read by the SQL only.
 LEAST_TEXTS, MOST_SHARE = 20, 0.02
 #: Longer lines are passages: the first document of a host that has one keeps it, so that of near copies one stays.
 LINE_WORDS = 30
@@ -88,12 +88,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     ``LINE_WORDS`` words stays in the document of the host with the smallest id that has it.
     """
     rows = common.stored(measured(docs, id_col, text_col, host_col))
-    hosts = rows.select("_host", "_x").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     lines = rows.select("_k", "_id", "_host", "_x", F.explode(F.array_distinct("_all")).alias("_l"))
     lines = lines.select("_k", "_id", "_host", "_x", F.col("_l.h").alias("_h"), (F.col("_l.w") > LINE_WORDS).alias("_long"))
     counts = lines.select("_host", "_h", "_x").distinct().groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LEAST_TEXTS)
-    often = counts.alias("c").join(hosts.alias("t"), F.col("c._host").eqNullSafe(F.col("t._host"))).where(F.col("_n") > MOST_SHARE * F.col("_texts"))
-    often = common.stored(often.select(F.col("c._host").alias("_oh"), "_h"))
+    often = common.stored(counts.select(F.col("_host").alias("_oh"), "_h"))
     hit = lines.join(often, (F.col("_host").eqNullSafe(F.col("_oh"))) & (lines["_h"] == often["_h"])).select("_k", "_id", "_host", lines["_h"], "_long")
     hit = common.stored(hit)
     first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_k"))

@@ -218,6 +218,14 @@ def test_long_lines_are_counted(spark, monkeypatch):
     assert texts == {0: rows[0][1], 1: body(1), 2: body(2), 3: body(3), None: body(4), 10: rows[5][1]}
 
 
+def test_a_large_host_has_the_limit_of_a_small_one(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LEAST_TEXTS", 2)
+    body = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    rows = [(i, body(i) + ("\nAll rights reserved here" if i < 3 else ""), "h") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_frequent_words for r in quality_rules.judged(frame).collect()} == {i: 4 * (i < 3) for i in range(300)}
+
+
 def test_mix(spark, edges, nothing):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), f"s{i % 7}" if i % 7 else None) for i in range(700)] + [(900, "a b c", "tiny")]
