@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comandix.llm import caps, language, minhash, mixing, ordinal, pieces, quality_rules, suffix, url_rules, warc
+from comandix.llm import caps, language, manifest, minhash, mixing, ordinal, pieces, quality_rules, suffix, url_rules, warc
 from comandix.llm.common import read
 
 #: A SentencePiece model that the driver can read.
@@ -64,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(folder, files).drop("payload", "file")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(read(spark, sf_dir, "documents"), manifest.lowered_thirds)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_warc": op10_warc,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: What the rules for words and lines look like in SQL.
@@ -150,4 +155,40 @@ f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END A
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
     CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url
 FROM f""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE crc AS (
+    SELECT doc_id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),
+        lambda c, b: list_reduce([xor(c, b)] || repeat([0::BIGINT], 8), lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 3 = 0 AS hit
+    FROM (SELECT DISTINCT doc_id FROM documents)),
+shown AS (
+    SELECT d.doc_id, lang, array_to_string(list_transform([CAST(d.doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+        lambda x: coalesce(strlen(x) || ':' || x, '-')), '') AS head, text,
+        CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now
+    FROM documents d JOIN crc ON d.doc_id IS NOT DISTINCT FROM crc.doc_id),
+leaf AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS d, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS bent FROM shown)),
+tree AS (
+    SELECT lang, 0 AS l, i, d, n FROM leaf
+    UNION ALL SELECT lang, l + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 7) // 8) FROM tree WHERE n > 1 GROUP BY lang, l, i // 8),
+subroots AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+    SELECT 0 AS l, i, d, n FROM subroots
+    UNION ALL SELECT l + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 7) // 8) FROM top WHERE n > 1 GROUP BY l, i // 8),
+nodes AS (
+    SELECT false AS up, lang, l, i, d FROM tree WHERE n > 1 UNION ALL SELECT true, NULL, l, i, d FROM top WHERE n > 1),
+sides AS (
+    SELECT a.up, a.lang, a.l, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS below,
+        coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS later
+    FROM nodes a JOIN nodes b ON a.up = b.up AND a.lang IS NOT DISTINCT FROM b.lang AND a.l = b.l AND a.i // 8 = b.i // 8 GROUP BY a.up, a.lang, a.l, a.i),
+steps AS (
+    SELECT leaf.i AS place, leaf.lang, false AS up, l, below, later FROM leaf JOIN sides ON NOT up AND leaf.lang IS NOT DISTINCT FROM sides.lang AND sides.i = leaf.i // CAST(8 ** l AS BIGINT)
+    UNION ALL SELECT leaf.i, leaf.lang, true, l, below, later FROM leaf JOIN subroots s ON leaf.lang IS NOT DISTINCT FROM s.lang JOIN sides ON up AND sides.i = s.i // CAST(8 ** l AS BIGINT)),
+path AS (
+    SELECT place, lang, sha256(string_agg(below || later, '' ORDER BY up, l)) AS proof, list({'b': below, 'a': later} ORDER BY up, l) AS way FROM steps GROUP BY place, lang),
+checked AS (
+    SELECT leaf.doc_id, leaf.d AS leaf, s.d AS subroot, (SELECT d FROM top WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+        list_reduce([{'b': bent, 'a': ''}] || coalesce(way, []), lambda x, y: {'b': sha256(y.b || x.b || y.a), 'a': ''}).b AS folded_root
+    FROM leaf JOIN subroots s ON leaf.lang IS NOT DISTINCT FROM s.lang LEFT JOIN path ON path.place = leaf.i AND path.lang IS NOT DISTINCT FROM leaf.lang)
+SELECT *, folded_root = root AS verified FROM checked""",
 }
