@@ -7,7 +7,7 @@ subroot; the subroots in the order of the groups (NULL first, then bytewise) mak
 Nodes are kept as a log in postorder, the order in which they are completed. A builder takes
 ``ARITY**HEIGHT`` leaves that begin at a multiple of that number, so its part of the log is one run of
 consecutive positions and builders need nothing of each other; what they complete are the leaves of the
-next tier, a ``ARITY**HEIGHT``-th of the size. The position of a node is a closed formula of its level, its index
+next tier, a ``ARITY**HEIGHT``-th of the size, and stand in the log of both tiers. The position of a node is a closed formula of its level, its index
 and the tree's number of leaves (``position``). Proofs are read off the log: the siblings of a node are at
 positions that the formula gives, and the path above a builder comes from the tier above, from the top down.
 
