@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comandix.llm import caps, language, manifest, minhash, mixing, ordinal, pieces, quality_rules, suffix, url_rules, warc
+from comandix.llm import caps, language, manifest, minhash, mixing, ordinal, pieces, quality_rules, suffix, url_rules, warc, whitening
 from comandix.llm.common import read
 
 #: A SentencePiece model that the driver can read.
@@ -68,6 +68,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(read(spark, sf_dir, "documents"), manifest.lowered_thirds)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's exact deviation as a long; NULL from 2**63 on, which about 10 million vectors reach."""
+    white = whitening.whitened(read(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_url_filter": op2_url_filter,
@@ -80,6 +86,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_warc": op10_warc,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: What the rules for words and lines look like in SQL.
