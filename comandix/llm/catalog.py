@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comandix.llm import caps, language, manifest, minhash, mixing, ordinal, pieces, quality_rules, suffix, url_rules, warc, whitening
+from comandix.llm import caps, language, licenses, manifest, minhash, mixing, ordinal, pieces, quality_rules, suffix, url_rules, warc, whitening
 from comandix.llm.common import read
 
 #: A SentencePiece model that the driver can read.
@@ -64,6 +64,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(folder, files).drop("payload", "file")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(read(spark, sf_dir, "documents"), manifest.lowered_thirds)
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_warc": op10_warc,
+    "op11_license_scan": op11_license_scan,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
@@ -92,6 +97,15 @@ QUERIES = {
 #: What the rules for words and lines look like in SQL.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: Lower-case words of license notices, and the templates and phrases as rows.
+_NOTICE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_INDEX = licenses.Templates(licenses.TEMPLATES, licenses.PHRASES, licenses.THRESHOLD)
+_TEMPLATES = ", ".join(
+    f"('{label}', {step}, {least}, {[_INDEX.vocabulary[w] for w in words]})"
+    for label, step, least, words in zip(_INDEX.labels, _INDEX.steps, _INDEX.least, _INDEX.sets)
+)
+_PHRASES = ", ".join(f"({[_INDEX.vocabulary[w] for w in words]}, '{label}')" for words, label in _INDEX.phrases)
+
 ORACLE: dict[str, str] = {
     "op6_quality_rules": rf"""
 WITH base AS (
@@ -162,6 +176,27 @@ f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END A
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
     CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url
 FROM f""",
+    "op11_license_scan": rf"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, {_NOTICE_WORDS} AS w FROM documents),
+places AS (
+    SELECT k, label, i FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM docs) JOIN (VALUES {_PHRASES}) p(head, label)
+        ON w[i] = head[1] AND w[i:i + len(head) - 1] = head),
+base AS (
+    SELECT k, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+    FROM places GROUP BY k),
+template AS (SELECT * FROM (VALUES {_TEMPLATES}) t(label, step, least, held)),
+blocks AS (
+    SELECT k, step, list_distinct(w[a + 1:a + 2 * step]) AS b FROM (
+        SELECT k, w, step, unnest(range(0, greatest(1, len(w) - step), step)) AS a FROM docs, (SELECT DISTINCT step FROM template))),
+met AS (
+    SELECT k, label, n / len(held) AS part FROM (
+        SELECT k, label, least, held, len(list_intersect(b, held)) AS n FROM blocks JOIN template USING (step) WHERE len(b) >= least) WHERE n >= least),
+all_labels AS (
+    SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS part
+    FROM (SELECT k, label, 1.0::DOUBLE AS part FROM places UNION ALL SELECT k, label, part FROM met) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(part, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN base USING (k) LEFT JOIN all_labels USING (k)""",
     "op12_merkle_manifest": r"""
 WITH RECURSIVE crc AS (
     SELECT doc_id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),
