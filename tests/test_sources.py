@@ -121,3 +121,67 @@ def test_reports_from_sql(spark, sf_dir):
 def test_views_by_name(spark, sf_dir):
     views.register_views(spark, sf_dir, ["dish"])
     assert spark.sql("SELECT count(*) FROM dish WHERE price > :p", args={"p": 0}).first()[0] == 200
+
+
+def test_two_writers_at_once_give_two_versions(spark, seed):
+    path = work_dir(spark, "test")
+    first, second = sinks.VersionedTables(spark, path), sinks.VersionedTables(spark, path)
+    first.publish({"role": seed.role, "dish": seed.dish})
+    written = first._write({"role": seed.role.limit(1)}, {}, 2)  # writes, and is overtaken before it claims
+    assert second.publish({"role": seed.role.limit(2)}) == 2
+    assert not first._claim(2, written) and first._claim(3, written)
+    assert [first.read("role", v).count() for v in first.versions()] == [5, 2, 1]
+    assert first.read("dish").count() == seed.dish.count()
+
+
+def test_many_threads_publish(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = work_dir(spark, "test")
+    sinks.VersionedTables(spark, path).publish({"n": spark.range(1)})
+
+    def add(_):
+        grown = lambda store, base: {"n": spark.range(store.read("n", base).count() + 1).coalesce(1)}
+        return sinks.VersionedTables(spark, path).update(grown)
+
+    with ThreadPoolExecutor(4) as threads:
+        numbers = sorted(threads.map(add, range(8)))
+    store = sinks.VersionedTables(spark, path)
+    assert numbers == list(range(2, 10)) and store.read("n").count() == 9  # no update was lost
+
+
+def test_changed_rows_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "CHANGES", 3)
+    store = sinks.VersionedTables(spark, work_dir(spark, "test"), keep=2)
+    expected = {}
+    for n in range(1, 9):
+        changed = {k: n * 10 + k for k in (n % 4, 3)}
+        expected |= changed
+        store.publish(changes={"stock": (spark.createDataFrame(list(changed.items()), "k bigint, v bigint"), ["k"])})
+        assert dict(rows(store.read("stock"))) == expected
+    assert store.versions() == [7, 8]
+    parts = store._tables(8)["stock"]["parts"]
+    assert len(parts) <= 3 and len(store._commits.names("data")) <= 2 + len(parts)
+
+
+def test_a_day_is_one_folder_and_batches_become_few_files(spark):
+    path = work_dir(spark, "test")
+    ledger = sinks.Ledger(spark, path, "day")
+    for n in range(12):
+        days = spark.range(4).selectExpr(f"id + {n * 4} AS n", "date_add(DATE'2024-01-01', cast(id AS int)) AS day")
+        ledger.append(days.coalesce(1), str(n))
+        if n == 5:
+            ledger.append(days.limit(3).coalesce(1), "5")  # sent again, shorter
+            assert ledger.compact() == 6
+    one = ledger.read("2024-01-02", "2024-01-02")
+    assert all("day=2024-01-02" in f for f in one.inputFiles()) and one.count() == 12
+    assert rows(ledger.read(), "n") == [(n,) for n in sorted(range(48), key=str) if n != 23]
+    assert ledger.compact(whole=True) == 7
+    assert ledger.read().select(F.input_file_name()).distinct().count() <= 8
+    assert rows(ledger.read(), "n") == [(n,) for n in sorted(range(48), key=str) if n != 23]
+    for n in (100, 101):  # the batch's older rows are in the merged part
+        ledger.append(spark.range(1).selectExpr(f"cast({n} AS bigint) AS n", "DATE'2024-01-01' AS day"), "0")
+        assert ledger.read().where("n < 4 OR n = 100").count() == (n == 100) and ledger.read().count() == 44
+    ledger.compact(whole=True)
+    assert ledger.read().count() == 44 and ledger._state()[1]["hidden"] == []
+    assert ledger.read("2030-01-01").count() == 0
