@@ -51,7 +51,7 @@ def cash_running_balance(
     ops: DataFrame, sessions: DataFrame, order: list[str], hot_rows: int = hotkeys.HOT_ROWS
 ) -> DataFrame:
     """Amount in the register after every operation, per session, starting from its opening amount."""
-    running = hotkeys.running_total(ops, "session_id", order, "amount", "_moved", hot_rows)
+    running = hotkeys.running_total(ops.where("session_id IS NOT NULL"), "session_id", order, "amount", "_moved", hot_rows)
     opened = sessions.select("session_id", "opening")
     return running.join(opened, "session_id").withColumn(
         "balance", money(F.col("opening") + F.col("_moved"), 18)

@@ -106,3 +106,21 @@ def test_package_has_no_local_shortcuts():
         assert word not in text, word
     # The only collected rows are the one-per-slice summaries of the stock fold.
     assert len(re.findall(r"\.collect\(\)", text)) == 2
+
+
+SCANS = ["cash_running_balance", "stock_running_balance", "order_durations", "state_jumps", "row_index", "cash_sessions_from_events", "register_event_codes"]
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_prefix_scans_run_nothing_while_built_and_read_once(name, spark, sf_dir):
+    group = f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        df = queries()[name](spark, sf_dir)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == ()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    df.collect()
+    final = plan(df).split("Initial Plan", maxsplit=1)[0]
+    if name in ("cash_running_balance", "stock_running_balance", "order_durations", "state_jumps"):
+        assert "ReusedExchange" in final and final.count("FileScan") == (2 if name == "cash_running_balance" else 1)
