@@ -104,6 +104,12 @@ def add_to_stock(snapshot: DataFrame, change: DataFrame) -> DataFrame:
     )
 
 
+def changed_stock(snapshot: DataFrame, change: DataFrame) -> DataFrame:
+    """As ``add_to_stock``, but only the stock rows that a change names."""
+    delta = change.select("supply_id", F.col("qty").alias("_change"))
+    return snapshot.join(delta, "supply_id").select("supply_id", money(F.col("qty") + F.coalesce("_change", F.lit(0)), 18).alias("qty"))
+
+
 def current_session_ops(ops: DataFrame, register: DataFrame, tie_break: list[str]) -> DataFrame:
     """Operations of the open session, oldest first; none when the register is closed."""
     current = register.agg(F.max("session_id").alias("id")).scalar()

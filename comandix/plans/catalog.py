@@ -940,7 +940,7 @@ def stream_kitchen_board(t):
     path = work_dir(t.spark, "stream")
     store = sinks.VersionedTables(t.spark, f"{path}/board")
     jobs.run_batches(
-        boards.kitchen_board_changes(_event_stream(t)), jobs.add_board_changes(store), f"{path}/checkpoint"
+        boards.kitchen_board_changes(_event_stream(t), forget="7 days"), jobs.add_board_changes(store), f"{path}/checkpoint"
     )
     return store.read("board").where("orders <> 0")
 
@@ -953,31 +953,33 @@ def latest_order_states(t):
 @query
 def stream_stock_levels(t):
     path = work_dir(t.spark, "stream")
-    jobs.run_batches(
-        boards.stock_levels(_ledger_stream(t), t.supply), jobs.keep_changes(f"{path}/levels"), f"{path}/checkpoint"
-    )
-    return jobs.newest_rows(t.spark, f"{path}/levels", "supply_id")
+    store = sinks.VersionedTables(t.spark, f"{path}/levels")
+    jobs.run_batches(boards.stock_levels(_ledger_stream(t), t.supply), jobs.keep_newest(store, "levels", "supply_id"), f"{path}/checkpoint")
+    return store.read("levels")
 
 
 @query
 def stream_low_stock_alerts(t):
     path = work_dir(t.spark, "stream")
-    jobs.run_batches(
-        boards.low_stock_alerts(_ledger_stream(t), t.supply, views.LEDGER_ORDER), jobs.keep_changes(f"{path}/alerts"), f"{path}/checkpoint"
-    )
-    return t.spark.read.parquet(f"{path}/alerts").select("supply_id", "on_hand", "min_qty", "status")
+    store = sinks.VersionedTables(t.spark, f"{path}/levels")
+    each = jobs.raise_alerts(store, f"{path}/alerts", t.supply, views.LEDGER_ORDER)
+    jobs.run_batches(_ledger_stream(t), each, f"{path}/checkpoint", mode="append")
+    return sinks.read_ledger(t.spark, f"{path}/alerts").select("supply_id", "on_hand", "min_qty", "status")
 
 
 @query
 def stream_apply_requests(t):
+    """All movements, each sent again with another quantity in the same trigger, and once more in a later one."""
     path = work_dir(t.spark, "stream")
     store = sinks.VersionedTables(t.spark, f"{path}/stock")
-    moves = requests.as_movements(_line_stream(t))
     each = jobs.apply_movements(
         store, f"{path}/ledger", f"{path}/results", t.supply, t.staff, _minimum_stock(t),
-        requests.MOVEMENT_ORDER, requests.MOVEMENT_KEY,
+        requests.MOVEMENT_ORDER, requests.MOVEMENT_KEY, "ts", "365 days", ["attempt"],
     )
-    jobs.run_batches(moves, each, f"{path}/checkpoint", mode="append")
+    for attempts in ([0, 1], [2]):
+        sent = requests.sent_again(t.movement_requests, attempts)
+        sent.write.mode("append").parquet(f"{path}/inbox")
+        jobs.run_batches(t.spark.readStream.schema(sent.schema).parquet(f"{path}/inbox"), each, f"{path}/checkpoint", mode="append")
     return store.read("stock")
 
 
@@ -1006,7 +1008,7 @@ def order_durations(t):
 @query
 def stream_order_durations(t):
     path = work_dir(t.spark, "stream")
-    jobs.run_to_files(boards.order_durations(_event_stream(t)), f"{path}/out", f"{path}/checkpoint")
+    jobs.run_to_files(boards.order_durations(_event_stream(t), forget="7 days"), f"{path}/out", f"{path}/checkpoint")
     return t.spark.read.parquet(f"{path}/out")
 
 

@@ -29,6 +29,16 @@ def build_session(app: str = "comandix", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Streams started from now on keep their state on disk, unless the session names another store than Spark's default."""
+    if spark.conf.get(STATE_SETTING).endswith(".HDFSBackedStateStoreProvider"):
+        spark.conf.set(STATE_SETTING, DISK_STATE)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 

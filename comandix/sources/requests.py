@@ -56,6 +56,12 @@ def as_movements(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def sent_again(movements: DataFrame, attempts: list[int]) -> DataFrame:
+    """Each movement once per attempt; all but attempt 0 say another quantity under the same id."""
+    each = movements.withColumn("attempt", F.explode(F.array(*[F.lit(a) for a in attempts])))
+    return each.withColumn("qty", (F.col("qty") + F.col("attempt")).cast(movements.schema["qty"].dataType))
+
+
 MOVEMENT_KEY = ["req_ref", "req_line", "supply_id", "keeper_id", "ts", "req_value"]
 MOVEMENT_ORDER = ["ts", "req_ref", "req_line", "keeper_id", "req_value"]
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from comandix.sources.commits import Commits
 
@@ -46,8 +47,10 @@ class Ledger:
         return last, self._commits.read(last) if last else {"live": {}, "old": [], "hidden": [], "day": self.day}
 
     def _write(self, rows: DataFrame, part: str) -> None:
-        writer = rows.withColumn("part", F.lit(part)).write.mode("append")
-        writer.partitionBy(*([self.day] if self.day else []), "part").parquet(f"{self.path}/data")
+        if self.day:
+            rows.withColumn("part", F.lit(part)).write.mode("append").partitionBy(self.day, "part").parquet(f"{self.path}/data")
+        else:
+            rows.write.parquet(f"{self.path}/data/part={part}")
 
     def _commit(self, change: Callable[[dict], dict]) -> None:
         while True:
@@ -65,7 +68,8 @@ class Ledger:
             merged = bool(before) and before.startswith("merged-")
             old = state["old"] + ([before] if before and not merged else [])
             hidden = state["hidden"] + ([[before, str(batch)]] if merged else [])
-            return {"day": self.day, "live": {**state["live"], str(batch): part}, "old": old, "hidden": hidden}
+            schema = rows.withColumn("batch", F.lit(str(batch))).schema.jsonValue()
+            return {"day": self.day, "schema": schema, "live": {**state["live"], str(batch): part}, "old": old, "hidden": hidden}
 
         self._commit(change)
 
@@ -82,7 +86,19 @@ class Ledger:
                 return self._live(folders, state).limit(0)
         return self._live(folders, state)
 
+    def batch(self, batch: str) -> DataFrame:
+        """The rows of one batch; nothing else is listed."""
+        _, state = self._state()
+        part = state["live"][str(batch)]
+        if state["day"] and not any(f"part={part}" in self._commits.names(f"data/{n}") for n in self._commits.names("data")):
+            return self.spark.createDataFrame([], StructType.fromJson(state["schema"]))  # a batch without rows has no day
+        days = f"{state['day']}=*/" if state["day"] else ""
+        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/{days}part={part}")
+        return rows.where(F.col("batch") == str(batch)).drop("part")
+
     def _live(self, folders: list[str], state: dict) -> DataFrame:
+        if not any("=" in name for name in self._commits.names("data")):
+            return self.spark.createDataFrame([], StructType.fromJson(state["schema"]))
         rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*folders)
         rows = rows.where(F.col("part").isin(sorted(set(state["live"].values()))))
         for part, batch in state["hidden"]:
@@ -188,9 +204,12 @@ class VersionedTables:
         tables: dict[str, DataFrame] | None = None,
         version: int | None = None,
         changes: dict[str, tuple[DataFrame, list[str]]] | None = None,
+        expired: dict[str, Column] | None = None,
     ) -> int:
         """Write ``tables`` whole and ``changes`` (rows, key) on top of the version before, as one new version.
 
+        Rows of a changed table for which ``expired`` holds go when its changes are next merged.
+
         A table that neither names stays as it is. With ``version`` given, one already published is left as it is; without,
         a writer that comes second gets the next number. ``changes`` are made against the newest version, so
         two writers of changes of one table must not overlap in keys; use ``update`` where they may.
@@ -198,7 +217,7 @@ class VersionedTables:
         current = self.version()
         if version is not None and version <= current:
             return current
-        written = self._write(tables or {}, changes or {}, version or current + 1)
+        written = self._write(tables or {}, changes or {}, version or current + 1) | {"expired": expired or {}}
         while True:
             number = self.version() + 1 if version is None else version
             if self._claim(number, written):
@@ -230,7 +249,10 @@ class VersionedTables:
             after[name] = {"parts": parts, "key": key}
             if len(parts) > CHANGES:
                 merged = f"{written['folder']}/{name}-merged"
-                self._read(after[name]).write.mode("overwrite").parquet(f"{self.path}/{merged}")
+                rows = self._read(after[name])
+                if name in written.get("expired", {}):
+                    rows = rows.where(~F.coalesce(written["expired"][name], F.lit(False)))
+                rows.write.mode("overwrite").parquet(f"{self.path}/{merged}")
                 after[name] = {"parts": [merged], "key": key}
         if not self._commits.claim(number, {"tables": after}):
             return False

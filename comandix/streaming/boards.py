@@ -13,12 +13,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from comandix import model
 from comandix.functions import expressions as E
 from comandix.functions.expressions import money, total
-from comandix.streaming.keyed_state import (
-    move_order,
-    newest_per_order,
-    release_in_order,
-    watch_level,
-)
+from comandix.operators import hotkeys
+from comandix.streaming.keyed_state import newest_per_order, order_mover, order_releaser
 
 
 def orders_by_hour(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -43,65 +39,83 @@ def stock_levels(movements: DataFrame, supplies: DataFrame) -> DataFrame:
     )
 
 
-def kitchen_board_changes(events: DataFrame) -> DataFrame:
+def kitchen_board_changes(events: DataFrame, forget: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Changes of the number of orders in each state; update mode.
 
     An order that moves takes one from the state it was in and adds one to the new one. An event
     older than the newest one seen of its order changes nothing.
+
+    With ``forget``, an interval, a delivered order's state ends once the newest event, less ``delay``, is that much
+    newer than its delivery. The order stays counted as delivered; events of it older than the watermark are
+    dropped, and one that comes later all the same counts as a new order's.
     """
-    narrow = events.select("order_id", F.unix_micros("ts").alias("micros"), "event_id", "state")
-    newest = narrow.mapInPandas(newest_per_order, narrow.schema)
+    if forget is None:
+        narrow = events.select("order_id", F.unix_micros("ts").alias("micros"), "event_id", "state")
+        newest, keep, timeout = narrow.mapInPandas(newest_per_order, narrow.schema), None, GroupStateTimeout.NoTimeout
+    else:
+        # Combining rows in Python would cut the column off the watermark; one call per key sees the trigger's events.
+        newest = events.withWatermark("ts", delay).select("order_id", "ts", F.unix_micros("ts").alias("micros"), "event_id", "state")
+        keep, timeout = interval_micros(events, forget), GroupStateTimeout.EventTimeTimeout
     return newest.groupBy("order_id").applyInPandasWithState(
-        move_order,
+        order_mover(keep),
         "state string, change int",
         "micros long, event_id long, state string",
         "update",
-        GroupStateTimeout.NoTimeout,
+        timeout,
     )
 
 
-def low_stock_alerts(movements: DataFrame, supplies: DataFrame, order: list[str]) -> DataFrame:
-    """One row for every movement that turns a supply's level red; update mode.
+def _levels(known: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Movements with the level and colour their supply had before: ``_held``, ``_was_red``."""
+    if held is None:
+        return known.withColumns({"_held": F.lit(0).cast("decimal(18,2)"), "_was_red": F.lit(False)})
+    before = held.select("supply_id", F.col("on_hand").alias("_held"), F.col("red").alias("_was_red"))
+    joined = known.join(before, "supply_id", "left")
+    return joined.withColumns({"_held": F.coalesce("_held", F.lit(0).cast("decimal(18,2)")), "_was_red": F.coalesce("_was_red", F.lit(False))})
+
+
+def turned_red(known: DataFrame, held: DataFrame | None, order: list[str], hot_rows: int) -> DataFrame:
+    """Movements (with ``min_qty``) that turn their supply's level red, following each other by ``order``.
 
-    Movements of a supply follow each other by ``order`` within a trigger, and triggers as they come,
-    so input that arrives in order gives the same alerts however it is cut into triggers. A call
-    holds one trigger's movements of one supply; bound it with the source's files per trigger.
+    ``held`` has the levels and colours of earlier triggers; without it every supply starts at zero and not red. A missing
+    quantity moves nothing.
     """
-    places = [
-        F.col(c).cast("double" if movements.schema[c].dataType.typeName() == "decimal" else movements.schema[c].dataType).alias(f"_o{i}")
-        for i, c in enumerate(order)
-    ]
-    known = movements.select("supply_id", "qty", *places).join(supplies.select("supply_id", "min_qty"), "supply_id").select(
-        "supply_id",
-        (F.col("qty") * 100).cast("bigint").alias("cents"),
-        (F.col("min_qty") * 100).cast("bigint").alias("min_cents"),
-        *[f"_o{i}" for i in range(len(order))],
-    )
-    alerts = known.groupBy("supply_id").applyInPandasWithState(
-        watch_level,
-        "supply_id long, cents long, min_cents long",
-        "cents long, red boolean",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
-    return alerts.select(
-        "supply_id",
-        money(F.col("cents").cast("decimal(18,0)") / 100, 18).alias("on_hand"),
-        money(F.col("min_cents").cast("decimal(18,0)") / 100, 8).alias("min_qty"),
-        F.lit(model.RED).alias("status"),
-    )
+    order = [*order, "qty"]
+    running = hotkeys.running_total(_levels(known, held), "supply_id", order, "qty", "_moved", hot_rows)
+    level = running.withColumn("on_hand", money(F.col("_held") + F.coalesce("_moved", F.lit(0)), 18))
+    level = level.withColumn("red", F.col("on_hand") <= F.col("min_qty"))
+    seen = hotkeys.previous(level, "supply_id", order, {"_before": "red"}, hot_rows)
+    turned = F.col("red") & ~F.coalesce("_before", "_was_red")
+    return seen.where(turned).select("supply_id", "on_hand", "min_qty", F.lit(model.RED).alias("status"))
+
+
+def levels_after(known: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Level and colour of every supply that moved."""
+    moved = known.groupBy("supply_id").agg(total("qty").alias("_moved"), F.max("min_qty").alias("_min"))
+    on_hand = money(F.col("_held") + F.coalesce("_moved", F.lit(0)), 18)
+    after = _levels(moved, held).withColumn("on_hand", on_hand)
+    return after.select("supply_id", "on_hand", (F.col("on_hand") <= F.col("_min")).alias("red"))
 
 
-def order_durations(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def interval_micros(df: DataFrame, text: str) -> int:
+    """Microseconds of an interval of days and shorter units."""
+    start = "TIMESTAMP'2000-01-01 00:00:00'"
+    return df.sparkSession.sql(f"SELECT unix_micros({start} + INTERVAL {text}) - unix_micros({start}) AS n").first()["n"]
+
+
+def order_durations(events: DataFrame, delay: str = "1 hour", forget: str | None = None) -> DataFrame:
     """Microseconds each order spent in its previous state, once events can no longer arrive in between.
 
     Events wait in state until the watermark has passed them and leave in event order, so events
     that arrive out of order within the delay still give the right durations. What one call holds
     is one trigger's events of one order; bound it with the source's files per trigger.
+
+    With ``forget``, a delivered order's state ends once the watermark is that much behind its last event; a
+    later event of it then has no state before it.
     """
     timed = events.withWatermark("ts", delay)
     return timed.groupBy("order_id").applyInPandasWithState(
-        release_in_order,
+        order_releaser(None if forget is None else interval_micros(events, forget)),
         "event_id long, order_id long, from_state string, to_state string, micros_in_state long",
         "waiting_micros array<long>, waiting_ids array<long>, waiting_states array<string>,"
         " last_micros long, last_state string",

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState
 
 # Most keys a task holds while it combines rows; beyond it, what is combined so far moves on.
 COMBINE_KEYS = 200_000
+DELIVERED = "ENTREGADO"
 
 
 def newest_per_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,33 +29,53 @@ def newest_per_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held).sort_values(["order_id", "micros", "event_id"]).drop_duplicates("order_id", keep="last")
 
 
-def move_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else None
-    newest = before
-    for frame in frames:
-        row = frame.sort_values(["micros", "event_id"]).iloc[-1]
-        candidate = (int(row["micros"]), int(row["event_id"]), row["state"])
-        if newest is None or candidate[:2] > newest[:2]:
-            newest = candidate
-    if newest is None or newest == before:
-        return
-    state.update(newest)
-    moved = ([] if before is None else [(before[2], -1)]) + [(newest[2], 1)]
-    if before is None or before[2] != newest[2]:
-        yield pd.DataFrame(moved, columns=["state", "change"])
-
-
-def watch_level(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Levels after each movement in order, and those that turn red."""
-    cents, was_red = state.get if state.exists else (0, False)
-    rows = pd.concat(list(frames))
-    rows = rows.sort_values([c for c in rows.columns if c.startswith("_o")], kind="stable")
-    level = cents + rows["cents"].fillna(0).astype("int64").cumsum()
-    red = level <= rows["min_cents"]
-    turned = red & ~red.shift(fill_value=was_red)
-    state.update((int(level.iloc[-1]), bool(red.iloc[-1])))
-    if turned.any():
-        yield pd.DataFrame({"supply_id": key[0], "cents": level[turned], "min_cents": rows["min_cents"][turned]})
+def order_mover(keep: int | None):
+    """Moves an order on the board. With ``keep``, microseconds, the state of a delivered order ends that long after it."""
+
+    def move_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        newest = before
+        for frame in frames:
+            row = frame.sort_values(["micros", "event_id"]).iloc[-1]
+            candidate = (int(row["micros"]), int(row["event_id"]), row["state"])
+            if newest is None or candidate[:2] > newest[:2]:
+                newest = candidate
+        if newest is None:
+            return
+        state.update(newest)
+        if keep is not None and newest[2] == DELIVERED:
+            state.setTimeoutTimestamp(_after(newest[0] + keep, state))
+        if newest == before:
+            return
+        moved = ([] if before is None else [(before[2], -1)]) + [(newest[2], 1)]
+        if before is None or before[2] != newest[2]:
+            yield pd.DataFrame(moved, columns=["state", "change"])
+
+    return move_order
+
+
+def _after(micros: int, state: GroupState) -> int:
+    """The millisecond after a moment, and after the watermark."""
+    return max(micros // 1000, state.getCurrentWatermarkMs()) + 1
+
+
+def order_releaser(keep: int | None):
+    """Releases an order's events in order. With ``keep``, the state of a delivered order ends that long after it."""
+
+    def release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from release_in_order(key, frames, state)
+        waiting, _, _, last_micros, last_state = state.get
+        if keep is None or waiting or last_state != DELIVERED:
+            return
+        if state.getCurrentWatermarkMs() * 1000 > last_micros + keep:
+            state.remove()
+        else:
+            state.setTimeoutTimestamp(_after(last_micros + keep, state))
+
+    return release
 
 
 def release_in_order(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

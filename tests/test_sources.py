@@ -164,6 +164,18 @@ def test_changed_rows_are_merged(spark, monkeypatch):
     assert len(parts) <= 3 and len(store._commits.names("data")) <= 2 + len(parts)
 
 
+@pytest.mark.parametrize("day", [None, "day"])
+def test_batches_without_rows(spark, day):
+    ledger = sinks.Ledger(spark, work_dir(spark, "test"), day)
+    none = spark.range(0).selectExpr("id AS n", "DATE'2024-01-01' AS day")
+    ledger.append(none, "0")
+    assert ledger.read().count() == ledger.batch("0").count() == 0
+    ledger.append(spark.range(3).selectExpr("id AS n", "DATE'2024-01-01' AS day"), "1")
+    ledger.append(none, "2")
+    assert (ledger.read().count(), ledger.batch("1").count(), ledger.batch("2").count()) == (3, 3, 0)
+    assert set(ledger.batch("2").columns) == set(ledger.read().columns) == {"n", "day", "batch"}
+
+
 def test_a_day_is_one_folder_and_batches_become_few_files(spark):
     path = work_dir(spark, "test")
     ledger = sinks.Ledger(spark, path, "day")

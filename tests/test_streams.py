@@ -108,11 +108,13 @@ def test_stock_levels_and_alerts(spark, sf_dir, tmp_path):
 
     supplies = supply(spark, sf_dir)
     path = work_dir(spark, "test")
-    jobs.run_batches(boards.stock_levels(moves(), supplies), jobs.keep_changes(f"{path}/levels"), f"{path}/c1")
+    levels = VersionedTables(spark, f"{path}/levels")
+    jobs.run_batches(boards.stock_levels(moves(), supplies), jobs.keep_newest(levels, "levels", "supply_id"), f"{path}/c1")
     expected = aggregates.stock_status(stock_ledger(spark, sf_dir), supplies)
-    assert rows(jobs.newest_rows(spark, f"{path}/levels", "supply_id").select(*expected.columns)) == rows(expected)
+    assert rows(levels.read("levels").select(*expected.columns)) == rows(expected) and levels.version() == 3
 
-    jobs.run_batches(boards.low_stock_alerts(moves(), supplies, LEDGER_ORDER), jobs.keep_changes(f"{path}/alerts"), f"{path}/c2")
+    each = jobs.raise_alerts(VersionedTables(spark, f"{path}/a"), f"{path}/alerts", supplies, LEDGER_ORDER)
+    jobs.run_batches(moves(), each, f"{path}/c2", mode="append")
     found = read_ledger(spark, f"{path}/alerts").select("supply_id", "on_hand").collect()
     minimum = {r["supply_id"]: r["min_qty"] for r in supplies.collect()}
     total, red, alerts = {}, set(), []
@@ -123,10 +125,8 @@ def test_stock_levels_and_alerts(spark, sf_dir, tmp_path):
             alerts.append((key, total[key]))
         red = red | {key} if total[key] <= minimum[key] else red - {key}
     assert sorted((r["supply_id"], r["on_hand"]) for r in found) == sorted(alerts)
-    jobs.run_batches(
-        boards.low_stock_alerts(as_stock_ledger(table_stream(spark, folder, "lineitem")), supplies, LEDGER_ORDER),
-        jobs.keep_changes(f"{path}/once"), f"{path}/c3",
-    )
+    each = jobs.raise_alerts(VersionedTables(spark, f"{path}/b"), f"{path}/once", supplies, LEDGER_ORDER, hot_rows=64)
+    jobs.run_batches(as_stock_ledger(table_stream(spark, folder, "lineitem")), each, f"{path}/c3", mode="append")
     assert rows(read_ledger(spark, f"{path}/once"), "supply_id", "on_hand") == rows(read_ledger(spark, f"{path}/alerts"), "supply_id", "on_hand")
 
 
@@ -214,3 +214,89 @@ def test_orders_keep_their_ids_over_batches(spark, seed):
         each(spark.createDataFrame([(4, 3, None, None, 0), (5, 4, 2, 19, 0)], kind), 2)
     assert rows(read_ledger(spark, f"{path}/orders"), "order_id", "dish_id") == [(44, 2), (45, 3), (46, 4)]
     assert rows(read_ledger(spark, f"{path}/results"), "req_id", "result_code") == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 1)]
+
+
+@pytest.mark.parametrize("files", [1, 3, 10])
+def test_alerts_of_a_hot_supply_in_any_number_of_triggers(spark, files):
+    """One supply has a third of all movements, in one trigger or many; its slices are of a few rows."""
+    import random
+
+    draw = random.Random(5)
+    moves = [(n, draw.choice([1, 2 + n % 7, 2 + n % 5]), None if n % 97 == 0 else Decimal(draw.randrange(-900, 900)).scaleb(-2)) for n in range(900)]
+    supplies = spark.createDataFrame([(k, Decimal(k)) for k in range(1, 8)], "supply_id bigint, min_qty decimal(8,2)")
+    path = work_dir(spark, "test")
+    each = jobs.raise_alerts(VersionedTables(spark, f"{path}/s"), f"{path}/alerts", supplies, ["n"], hot_rows=16)
+    size = len(moves) // files
+    for batch in range(files):
+        each(spark.createDataFrame(moves[batch * size : (batch + 1) * size], "n bigint, supply_id bigint, qty decimal(8,2)"), batch)
+    level, red, expected = {}, {}, []
+    for _, key, qty in moves:
+        if key <= 7:
+            level[key] = level.get(key, Decimal(0)) + (qty or 0)
+            if level[key] <= key and not red.get(key):
+                expected.append((key, level[key]))
+            red[key] = level[key] <= key
+    found = read_ledger(spark, f"{path}/alerts").select("supply_id", "on_hand").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_a_request_id_counts_once_over_all_triggers(spark, movement_job):
+    path, store, each = movement_job
+    each(batch_of(spark, (1, 1, "5"), (1, 1, "7"), (2, 2, "3")), 0)  # two contents under one id: the smaller one
+    each(batch_of(spark, (1, 1, "5"), (2, 2, "9"), (3, 1, "1"), (None, 2, "1"), (None, 2, "1")), 1)
+    each(batch_of(spark, (3, 1, "1"), (2, 1, "-1")), 2)
+    assert rows(store.read("stock"), "supply_id", "qty") == [(1, Decimal("16.00")), (2, Decimal("5.00"))]
+    assert rows(read_ledger(spark, f"{path}/results"), "req_id", "batch") == [(1, "0"), (2, "0"), (3, "1"), (None, "1"), (None, "1")]
+
+
+def test_ids_are_forgotten_behind_the_horizon(spark, monkeypatch):
+    from comandix.sources import sinks
+
+    monkeypatch.setattr(sinks, "CHANGES", 1)
+    supplies = spark.createDataFrame([(1,)], "supply_id bigint")
+    staff = spark.createDataFrame([(18, True)], "staff_id bigint, enabled boolean")
+    opening = spark.createDataFrame([(1, Decimal("0"))], "supply_id bigint, qty decimal(18,2)")
+    path = work_dir(spark, "test")
+    store = VersionedTables(spark, f"{path}/stock")
+    each = jobs.apply_movements(store, f"{path}/ledger", f"{path}/results", supplies, staff, opening, ["req_id"], ["req_id"], "ts", "2 hours")
+    sent = [[(1, 0), (2, 60)], [(3, 200), (1, 0)], [(4, 50), (3, 200), (5, 300)]]  # (id, minute)
+    for batch, moves in enumerate(sent):
+        data = [(r, 1, 18, Decimal(1), 10**9 + 60 * m) for r, m in moves]
+        frame = spark.createDataFrame(data, "req_id bigint, supply_id bigint, keeper_id bigint, qty decimal(8,2), s bigint")
+        each(frame.withColumn("ts", F.col("s").cast("timestamp")), batch)
+    assert rows(store.read("stock"), "qty") == [(Decimal("4.00"),)]
+    assert rows(store.read("applied"), "req_id") == [(3,), (5,)]  # others are behind the horizon
+    assert rows(read_ledger(spark, f"{path}/results-late"), "req_id") == [(4,)]  # may be a repeat: not applied
+
+
+def _state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+@pytest.mark.parametrize("stream", ["board", "durations"])
+def test_state_ends_after_delivery(spark, tmp_path, stream):
+    folder = write_events(
+        tmp_path,
+        [(1, 0, 1, "signup"), (2, 5, 2, "signup"), (3, 30, 1, "error")],
+        [(4, 90, 2, "error")],
+        [(5, 400, 9, "error")],  # moves the watermark past both
+        [(6, 900, 10, "error")],
+    )
+    path = work_dir(spark, "test")
+    store = VersionedTables(spark, f"{path}/board")
+    if stream == "board":
+        frame, each = boards.kitchen_board_changes(events_of(spark, folder), forget="1 hour"), jobs.add_board_changes(store)
+        writer = frame.writeStream.outputMode("update").foreachBatch(each)
+    else:
+        frame = boards.order_durations(events_of(spark, folder), forget="1 hour")
+        writer = frame.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out")
+    jobs.keep_state_on_disk(spark)
+    query = writer.option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = _state_rows(query)
+    assert max(held) >= 2 and held[-1] == 1  # only the newest event's order is left
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if stream == "board":
+        assert rows(store.read("board").where("orders <> 0")) == [("ENTREGADO", 4)]
+    else:
+        assert rows(spark.read.parquet(f"{path}/out"), "event_id", "micros_in_state") == [(1, None), (2, None), (3, 30 * MINUTE), (4, 85 * MINUTE), (5, None)]
