@@ -53,6 +53,11 @@ MESSAGES = {
         3: "La mesa no existe o está deshabilitada",
         4: "El mozo no existe o está deshabilitado",
     },
+    "adjustment": {
+        1: "Existencia ajustada correctamente",
+        2: "El insumo no existe",
+        4: "La cantidad ingresada es inválida",
+    },
     "receipt": {
         1: "Entrada registrada correctamente",
         2: "El insumo no existe",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comandix.functions.expressions import first_failure, message_for, money, total
@@ -90,20 +90,43 @@ def apply_issues(
     return accepted(results, requests.columns, snapshot)
 
 
-def apply_adjustments(counted: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger rows that bring the ledger total of each counted supply to what was counted.
+@dataclass(frozen=True)
+class Adjusted:
+    """A code per count, and the new ledger rows."""
+
+    results: DataFrame
+    ledger_rows: DataFrame
+
+
+def adjust_to_counts(
+    counted: DataFrame, ledger: DataFrame, supplies: DataFrame, hot_rows: int = hotkeys.HOT_ROWS
+) -> Adjusted:
+    """Counts (``req_id``, ``supply_id``, ``counted``): 2 unknown supply or none, 4 no count.
 
-    Counts of one supply follow each other by ``req_id``: each is against the count before it.
+    Each accepted count gets one ledger row that brings the supply's total from where the count before it left
+    it, at first the ledger's total, to what was counted, so the total ends at the last accepted count. A refused
+    count changes nothing for the next one. Counts of one supply are cut into slices like any prefix scan.
     """
+    marked = known_reference(counted, supplies, "supply_id", "supply_id", "_supply")
+    code = first_failure((F.col("_supply").isNull(), 2), (F.col("counted").isNull(), 4))
+    results = _coded(marked, code, counted, "adjustment")
+    valid = marked.where(code == 1).select("req_id", "supply_id", "counted")
+    looked = hotkeys.previous(valid, "supply_id", ["req_id"], {"_before": "counted"}, hot_rows)
     sums = ledger.groupBy("supply_id").agg(total("qty").alias("_total"))
-    before = F.lit(None).cast("decimal(18,2)")
-    if "req_id" in counted.columns:
-        before = F.lag("counted").over(Window.partitionBy("supply_id").orderBy("req_id"))
-    counted = counted.withColumn("_before", before)
     gap = F.col("counted") - F.coalesce("_before", "_total", F.lit(0))
-    return counted.join(sums, "supply_id", "left").select(
-        "supply_id", money(gap, 18).alias("qty"), F.lit(True).alias("is_adjustment")
-    )
+    rows = looked.join(sums, "supply_id", "left").select("supply_id", money(gap, 18).alias("qty"), F.lit(True).alias("is_adjustment"))
+    return Adjusted(results, rows)
+
+
+def apply_adjustments(counted: DataFrame, ledger: DataFrame, supplies: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of ``adjust_to_counts``; without ``supplies``, every supply counted is known.
+
+    Without ``req_id`` a supply may be counted once.
+    """
+    known = counted.select("supply_id").distinct() if supplies is None else supplies
+    if "req_id" not in counted.columns:
+        counted = last_by_key(counted, ["supply_id"], ["counted"]).withColumn("req_id", F.lit(0).cast("bigint"))
+    return adjust_to_counts(counted, ledger, known).ledger_rows
 
 
 @dataclass(frozen=True)
@@ -119,9 +142,13 @@ def apply_ledger_corrections(
 
     ``edits`` has the key and ``new_qty``. ``deletes`` has the key and ``reverse_stock``: true takes
     the deleted quantity back out of the stock, false leaves the stock alone. Edits never move it.
-    Of several edits of a row the last by ``req_id`` counts.
+    Of several edits of a row the last by ``req_id`` counts, of several deletes the first, as the others find nothing;
+    without ``req_id`` a row may be named once by each. Requests without a key go.
     """
-    gone = deletes.groupBy(*key).agg(F.max("reverse_stock").alias("_reverse"))
+    sequence = -F.col("req_id") if "req_id" in deletes.columns else F.lit(0)
+    asked = deletes.withColumn("_later", sequence).where(F.col("reverse_stock").isNotNull())
+    gone = last_by_key(asked, key, ["reverse_stock"], "_later" if "req_id" in deletes.columns else "req_id")
+    gone = gone.withColumnRenamed("reverse_stock", "_reverse")
     changed = last_by_key(edits, key, ["new_qty"]).withColumnRenamed("new_qty", "_new_qty")
     marked = ledger.join(gone, key, "left").join(changed, key, "left")
     kept = marked.where(F.col("_reverse").isNull())

@@ -157,14 +157,15 @@ def _checked(requests: DataFrame, dishes: DataFrame, tables: DataFrame, staff: D
 def last_by_key(df: DataFrame, key: list[str], columns: list[str], order: str | None = "req_id") -> DataFrame:
     """One row per key: what applying its rows one after the other leaves in ``columns``.
 
-    A NULL leaves what an earlier row said. Without ``order`` in the columns, rows of one key have no
-    sequence and the largest value counts. Rows without a key go.
+    A NULL leaves what an earlier row said. Rows without a key go. Without ``order`` in the columns rows have no
+    sequence, so a key that has more than one is an error.
     """
     named = df.where(" AND ".join(f"{k} IS NOT NULL" for k in key))
     if order in df.columns:
         kept = [F.expr(f"max_by(`{c}`, `{order}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(c) for c in columns]
     else:
-        kept = [F.max(c).alias(c) for c in columns]
+        message = F.lit(f"changes of one key need a column {order} that tells their sequence")
+        kept = [F.when(F.count(F.lit(1)) > 1, F.raise_error(message)).otherwise(F.max(c)).alias(c) for c in columns]
     return named.groupBy(*key).agg(F.lit(True).alias("_named"), *kept).drop("_named")
 
 

@@ -558,7 +558,12 @@ def apply_issues_stock(t):
 
 @query
 def apply_adjustments(t):
-    return apply_stock.apply_adjustments(requests.counts(t.supply), t.stock_ledger)
+    return apply_stock.apply_adjustments(requests.counts(t.supply), t.stock_ledger, t.supply)
+
+
+@query
+def apply_adjustments_results(t):
+    return apply_stock.adjust_to_counts(requests.counts(t.supply), t.stock_ledger, t.supply).results
 
 
 @query
@@ -1025,7 +1030,7 @@ def first_row(t):
 @query
 def upsert_dimension_as_of(t):
     dated = t.cash_session.select("session_id", "opening", "updated_at")
-    touched = dated.where("session_id % 3 = 0").select("session_id", (F.col("opening") + 1).alias("opening"))
+    touched = dated.select("session_id", (F.col("opening") + 1).alias("opening"))
     moment = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
     return apply_dims.upsert_dimension(dated, touched, "session_id", as_of=moment)
 

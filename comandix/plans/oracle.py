@@ -562,9 +562,17 @@ check("apply_issues", "coded_movement", """
 FOLDED_STOCK = "SELECT supply_id, arg_max(balance, place) AS qty FROM folded GROUP BY supply_id"
 check("apply_issues_stock", "folded", FOLDED_STOCK)
 check("apply_adjustments", "supply stock_ledger", """
-    SELECT s.supply_id, CAST(s.min_qty - coalesce(l.qty, 0) AS DECIMAL(18,2)) AS qty, true AS is_adjustment
+    SELECT s.supply_id, CAST(s.min_qty + 5 - coalesce(l.qty, 0) AS DECIMAL(18,2)) AS qty, true AS is_adjustment
     FROM supply s LEFT JOIN (SELECT supply_id, sum(qty) AS qty FROM stock_ledger GROUP BY supply_id) l
-                         ON s.supply_id = l.supply_id""")
+                         ON s.supply_id = l.supply_id
+    UNION ALL SELECT supply_id, CAST(-5 AS DECIMAL(18,2)), true FROM supply""")
+check("apply_adjustments_results", "supply", """
+    SELECT supply_id * 5 + k AS req_id, CASE k WHEN 3 THEN -supply_id - 1 WHEN 4 THEN NULL ELSE supply_id END AS supply_id,
+           CAST(CASE k WHEN 0 THEN min_qty + 5 WHEN 1 THEN NULL ELSE min_qty END AS DECIMAL(8,2)) AS counted,
+           CAST(CASE k WHEN 1 THEN 4 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 1 END AS INTEGER) AS result_code,
+           CASE k WHEN 1 THEN 'La cantidad ingresada es inválida' WHEN 3 THEN 'El insumo no existe' WHEN 4 THEN 'El insumo no existe'
+                  ELSE 'Existencia ajustada correctamente' END AS message
+    FROM supply, range(5) r(k)""")
 check("apply_cash_ops", "coded_cash_request", """
     SELECT *, CASE result_code WHEN 1 THEN 'Operacion registrada correctamente' WHEN 2 THEN 'Monto no valido'
                    WHEN 3 THEN 'Cajero no existe o esta deshabilitado'
@@ -858,9 +866,7 @@ check("stream_order_durations", "order_event", """
 check("find_by_key", "supply", "SELECT * FROM supply WHERE supply_id = 7")
 check("first_row", "stock_ledger", "SELECT * FROM stock_ledger ORDER BY created_at, ledger_ref, ledger_line, keeper_id, ledger_value LIMIT 1")
 check("upsert_dimension_as_of", "cash_session", """
-    SELECT session_id, CASE WHEN session_id % 3 = 0 THEN opening + 1 ELSE opening END AS opening,
-           CASE WHEN session_id % 3 = 0 THEN TIMESTAMP '2020-01-01 00:00:00' ELSE updated_at END AS updated_at
-    FROM cash_session""")
+    SELECT session_id, CAST(opening + 1 AS DECIMAL(12,2)) AS opening, TIMESTAMP '2020-01-01 00:00:00' AS updated_at FROM cash_session""")
 check("order_durations", "order_event", """
     SELECT event_id, order_id, lag(state) OVER w AS from_state, state AS to_state,
            epoch_us(ts) - epoch_us(lag(ts) OVER w) AS micros_in_state

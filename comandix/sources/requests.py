@@ -83,9 +83,24 @@ def receipt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _each(table: DataFrame, *rows: dict[str, Column]) -> DataFrame:
+    """For each row of a table, the given rows in turn."""
+    made = F.explode(F.array(*[F.struct(*[c.alias(n) for n, c in row.items()]) for row in rows]))
+    return table.select(made.alias("_row")).select("_row.*")
+
+
 def counts(supplies: DataFrame) -> DataFrame:
-    """A count of every supply that finds exactly the minimum."""
-    return supplies.select("supply_id", F.col("min_qty").alias("counted"))
+    """Counts of every supply: five more than the minimum, none, the minimum; then of supplies unknown and not named."""
+    req, supply, least = F.col("supply_id") * 5, F.col("supply_id"), F.col("min_qty")
+    none = F.lit(None)
+    return _each(
+        supplies,
+        {"req_id": req, "supply_id": supply, "counted": (least + 5).cast("decimal(8,2)")},
+        {"req_id": req + 1, "supply_id": supply, "counted": none.cast("decimal(8,2)")},
+        {"req_id": req + 2, "supply_id": supply, "counted": least.cast("decimal(8,2)")},
+        {"req_id": req + 3, "supply_id": -supply - 1, "counted": least.cast("decimal(8,2)")},
+        {"req_id": req + 4, "supply_id": none.cast("bigint"), "counted": least.cast("decimal(8,2)")},
+    )
 
 
 def cash_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,13 +147,20 @@ def register_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dish_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dishes to insert or update."""
-    return read_table(spark, sf_dir, "customer").select(
-        (F.col("c_custkey") * 2).alias("dish_id"),
-        F.col("c_name").alias("dish_name"),
-        money(F.abs("c_acctbal")).alias("price"),
-        (F.col("c_acctbal") >= 0).alias("active"),
-        (F.col("c_mktsegment") == "BUILDING").alias("needs_prep"),
+    """Dishes to insert or update: each first with other values, then with its own, and a change that names no dish."""
+    own = {
+        "dish_name": F.col("c_name"),
+        "price": money(F.abs("c_acctbal")),
+        "active": F.col("c_acctbal") >= 0,
+        "needs_prep": F.col("c_mktsegment") == "BUILDING",
+    }
+    first = {"dish_name": F.concat(F.lit("zz"), F.col("c_name")), "price": money(F.abs("c_acctbal") + 1), "active": ~own["active"], "needs_prep": F.lit(True)}
+    req, dish = F.col("c_custkey") * 3, F.col("c_custkey") * 2
+    return _each(
+        read_table(spark, sf_dir, "customer"),
+        {"req_id": req, "dish_id": dish, **first},
+        {"req_id": req + 1, "dish_id": dish, **own},
+        {"req_id": req + 2, "dish_id": F.lit(None).cast("bigint"), **first},
     )
 
 
@@ -153,7 +175,7 @@ def staff_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dish_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dish_changes(spark, sf_dir).select("dish_id", F.col("active").alias("target"))
+    return dish_changes(spark, sf_dir).select("req_id", "dish_id", F.col("active").alias("target"))
 
 
 def staff_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,12 +237,21 @@ LEDGER_KEY = ["ledger_ref", "ledger_line", "supply_id", "keeper_id", "created_at
 
 
 def ledger_edits(ledger: DataFrame) -> DataFrame:
-    """Receipts whose quantity is to become one."""
-    return ledger.where((F.col("ledger_line") == 6) & (F.col("qty") > 0)).select(
-        *LEDGER_KEY, money(F.lit(1), 8).alias("new_qty")
+    """Receipts whose quantity is to become nine, and then one."""
+    key = {c: F.col(c) for c in LEDGER_KEY}
+    return _each(
+        ledger.where((F.col("ledger_line") == 6) & (F.col("qty") > 0)),
+        {"req_id": F.lit(1), **key, "new_qty": money(F.lit(9), 8)},
+        {"req_id": F.lit(2), **key, "new_qty": money(F.lit(1), 8)},
     )
 
 
 def ledger_deletes(ledger: DataFrame) -> DataFrame:
-    """Ledger rows to delete: issues give their stock back, receipts leave it as it is."""
-    return ledger.where(F.col("ledger_line") == 7).select(*LEDGER_KEY, (F.col("qty") < 0).alias("reverse_stock"))
+    """Ledger rows to delete: issues give their stock back, receipts leave it as it is. Each is asked for twice, the
+    second time the other way round, when the row is gone."""
+    key, issue = {c: F.col(c) for c in LEDGER_KEY}, F.col("qty") < 0
+    return _each(
+        ledger.where(F.col("ledger_line") == 7),
+        {"req_id": F.lit(1), **key, "reverse_stock": issue},
+        {"req_id": F.lit(2), **key, "reverse_stock": ~issue},
+    )

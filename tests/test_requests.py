@@ -380,3 +380,37 @@ def test_seed_columns_go_by_the_header(spark, tmp_path):
     file.write_text("min_qty,supply_name,supply_id\n5.00,rice,9\n")
     row = load_seed(spark, str(file), "supply").first()
     assert (row["supply_id"], row["supply_name"], row["min_qty"]) == (9, "rice", d("5.00"))
+
+
+def test_counts_that_are_missing_or_name_nothing_change_nothing(spark):
+    kind = "req_id bigint, supply_id bigint, counted decimal(8,2)"
+    ledger = spark.createDataFrame([(7, d("1.00")), (8, d("2.00"))], "supply_id bigint, qty decimal(8,2)")
+    supplies = spark.createDataFrame([(7,), (8,), (9,)], "supply_id bigint")
+    counted = spark.createDataFrame([(1, 7, d("3")), (2, 7, None), (3, 7, d("4")), (4, None, d("5")), (5, 99, d("5")), (6, 9, d("0")), (7, 8, None)], kind)
+    done = apply_stock.adjust_to_counts(counted, ledger, supplies, hot_rows=2)
+    assert codes(done.results) == {1: 1, 2: 4, 3: 1, 4: 2, 5: 2, 6: 1, 7: 4}
+    totals = {r["supply_id"]: r["qty"] for r in ledger.unionByName(done.ledger_rows.drop("is_adjustment")).groupBy("supply_id").agg(F.sum("qty").alias("qty")).collect()}
+    assert totals == {7: d("4.00"), 8: d("2.00"), 9: d("0.00")}
+    assert apply_stock.apply_adjustments(counted.limit(0), ledger, supplies).count() == 0
+
+
+def test_changes_without_a_sequence_are_refused(spark, seed):
+    """Columns of two rows are never mixed into one that nobody asked for."""
+    kind = "dish_id bigint, dish_name string, price decimal(8,2)"
+    once = spark.createDataFrame([(1, "apple", d("9"))], kind)
+    twice = spark.createDataFrame([(1, "ziti", d("1")), (1, "apple", d("9"))], kind)
+    assert apply_dims.upsert_dimension(seed.dish, once, "dish_id").where("dish_name = 'apple'").count() == 1
+    with pytest.raises(Exception, match="req_id"):
+        apply_dims.upsert_dimension(seed.dish, twice, "dish_id").collect()
+    flags = spark.createDataFrame([(1, True), (1, False)], "dish_id bigint, target boolean")
+    with pytest.raises(Exception, match="req_id"):
+        apply_dims.toggle_flag(seed.dish, flags, "dish_id", "active").collect()
+
+
+def test_the_first_delete_of_a_row_counts(spark, seed):
+    ledger = spark.createDataFrame([(1, 7, d("5.00")), (2, 7, d("2.00"))], "ledger_id bigint, supply_id bigint, qty decimal(8,2)")
+    stock = spark.createDataFrame([(7, d("7.00"))], "supply_id bigint, qty decimal(18,2)")
+    none = spark.createDataFrame([], "req_id bigint, ledger_id bigint, new_qty decimal(8,2)")
+    deletes = spark.createDataFrame([(4, 1, True), (3, 1, False), (5, 2, True), (6, None, True)], "req_id bigint, ledger_id bigint, reverse_stock boolean")
+    after = apply_stock.apply_ledger_corrections(ledger, stock, none, deletes, ["ledger_id"])
+    assert after.ledger.count() == 0 and rows(after.snapshot) == [(7, d("5.00"))]
