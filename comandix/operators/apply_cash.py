@@ -26,16 +26,26 @@ def apply_cash_ops(requests: DataFrame, staff: DataFrame, register: DataFrame) -
 
     The new balance is one sum over the accepted operations, whatever their order.
     """
+    coded = coded_cash_ops(requests, staff, register)
+    return accepted_cash_ops(coded, requests.columns, register)
+
+
+def coded_cash_ops(requests: DataFrame, staff: DataFrame, register: DataFrame) -> DataFrame:
+    """Operations with their codes and the open session."""
     session = register.agg(F.max("session_id").alias("id")).scalar()
     checked = known_reference(requests, staff.where("enabled"), "staff_id", "cashier_id", "_cashier")
     code = first_failure(
         (F.coalesce(F.col("amount") == 0, F.lit(True)), 2), (F.col("_cashier").isNull(), 3), (F.col("_session").isNull(), 4)
     )
-    coded = (
+    return (
         checked.withColumn("_session", session)
         .withColumn("result_code", code)
         .withColumn("message", message_for("cash_operation", "result_code"))
     )
+
+
+def accepted_cash_ops(coded: DataFrame, columns: list[str], register: DataFrame) -> CashApplied:
+    """Operations and register that follow from coded requests, which carry their session."""
     accepted = coded.where("result_code = 1")
     ops = accepted.select("req_id", F.col("_session").alias("session_id"), "amount", "cashier_id", "ts")
     moved = accepted.agg(total("amount").alias("moved")).scalar()
@@ -44,7 +54,7 @@ def apply_cash_ops(requests: DataFrame, staff: DataFrame, register: DataFrame) -
         money(F.col("current_amount") + F.coalesce(moved, F.lit(0)), 18).alias("current_amount"),
         "session_id",
     )
-    return CashApplied(coded.select(*requests.columns, "result_code", "message"), ops, after)
+    return CashApplied(coded.select(*columns, "result_code", "message"), ops, after)
 
 
 def cash_running_balance(

@@ -178,22 +178,32 @@ def add_recipe_lines(
 
     The first request of a dish and supply in request order counts.
     """
+    pair = ["dish_id", "supply_id"]
+    coded = _coded_lines(requests, recipe, dishes, supplies)
+    new = coded.where("result_code = 1").select(*pair, F.col("qty").cast(recipe.schema["qty"].dataType).alias("qty"))
+    return DimensionApplied(
+        coded.select("req_id", *pair, "result_code"), recipe.select(*pair, "qty").unionByName(new)
+    )
+
+
+def _coded_lines(requests: DataFrame, recipe: DataFrame, dishes: DataFrame, supplies: DataFrame) -> DataFrame:
     pair = ["dish_id", "supply_id"]
     marked = known_reference(requests, dishes, "dish_id", "dish_id", "_dish")
     marked = known_reference(marked, supplies, "supply_id", "supply_id", "_supply")
     marked = marked.join(recipe.select(*pair, F.lit(True).alias("_stored")), pair, "left")
     marked = marked.withColumn("_known", F.col("_dish").isNotNull() & F.col("_supply").isNotNull())
     first = marked.where("_known AND _stored IS NULL").groupBy(*pair).agg(F.min("req_id").alias("_first"))
-    coded = marked.join(first, pair, "left").withColumn(
+    return marked.join(first, pair, "left").withColumn(
         "result_code",
         F.when(~F.col("_known"), 2)
         .when(F.col("_stored").isNotNull() | (F.col("req_id") != F.col("_first")), 3)
         .otherwise(1),
     )
-    new = coded.where("result_code = 1").select(*pair, F.col("qty").cast(recipe.schema["qty"].dataType).alias("qty"))
-    return DimensionApplied(
-        coded.select("req_id", *pair, "result_code"), recipe.select(*pair, "qty").unionByName(new)
-    )
+
+
+def recipe_line_results(requests: DataFrame, recipe: DataFrame, dishes: DataFrame, supplies: DataFrame) -> DataFrame:
+    """Requests with their codes and quantities."""
+    return _coded_lines(requests, recipe, dishes, supplies).select("req_id", "dish_id", "supply_id", "qty", "result_code")
 
 
 def remove_recipe_lines(requests: DataFrame, recipe: DataFrame) -> DataFrame:

@@ -71,7 +71,11 @@ def apply_order_edits(
     ingredients go back and the last dish's are taken, as one net change per supply.
     ``rows_affected`` is 0 where the request was in order but the order was not pending.
     """
-    results = _order_results(edits, dishes, tables, staff)
+    return accepted_edits(_order_results(edits, dishes, tables, staff), orders, recipe, snapshot)
+
+
+def accepted_edits(results: DataFrame, orders: DataFrame, recipe: DataFrame, snapshot: DataFrame) -> OrdersApplied:
+    """Orders and stock that follow from a batch's results."""
     last = F.max_by(F.struct("dish_id", "table_no", "waiter_id", "ts"), "req_id").alias("_last")
     accepted = results.where("result_code = 1 AND order_id IS NOT NULL").groupBy("order_id").agg(last)
     accepted = accepted.select(
@@ -113,6 +117,11 @@ def apply_order_edits(
     return OrdersApplied(reported, after, add_to_stock(snapshot, change))
 
 
+def edit_results(edits: DataFrame, dishes: DataFrame, tables: DataFrame, staff: DataFrame) -> DataFrame:
+    """Edits with their codes, before it is known whether their orders are pending."""
+    return _order_results(edits, dishes, tables, staff)
+
+
 def apply_order_cancels(
     cancels: DataFrame, orders: DataFrame, recipe: DataFrame, snapshot: DataFrame
 ) -> OrdersApplied:
@@ -208,13 +217,21 @@ def apply_table_payments(
     price; later payments of that table find nothing to pay. Take-away orders have no table to pay.
     Orders of a dish without a price are on no bill and stay open. The register takes what was paid.
     """
+    coded, first = coded_payments(requests, orders, dishes, staff, register)
+    # What pays a table does not depend on its orders, so the orders are only read where they move.
+    return settled_payments(coded, first.select("table_no"), orders, dishes, register)
+
+
+def coded_payments(
+    requests: DataFrame, orders: DataFrame, dishes: DataFrame, staff: DataFrame, register: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Payments with their codes, session, sum and orders; and the tables that are paid, priced orders or not."""
     bills = table_bill(orders.where("table_no IS NOT NULL"), dishes.where("price IS NOT NULL"))
     session = register.agg(F.max("session_id").alias("id")).scalar()
     checked = known_reference(requests, staff.where("enabled"), "staff_id", "cashier_id", "_cashier")
     checked = checked.withColumn("_session", session).withColumn(
         "_code", first_failure((F.col("_cashier").isNull(), 3), (F.col("_session").isNull(), 4))
     )
-    # What pays a table does not depend on its orders, so the orders are only read where they move.
     first = checked.where("_code = 1 AND table_no IS NOT NULL").groupBy("table_no").agg(F.min("req_id").alias("_first"))
     paying = bills.join(first, "table_no", "left")
     nothing = F.col("orders").isNull() | F.coalesce(F.col("req_id") > F.col("_first"), F.lit(False))
@@ -223,6 +240,13 @@ def apply_table_payments(
         .withColumn("result_code", F.when(nothing, 2).otherwise(F.col("_code")).cast("int"))
         .withColumn("message", message_for("table_payment", "result_code"))
     )
+    return coded, first
+
+
+def settled_payments(
+    coded: DataFrame, closed: DataFrame, orders: DataFrame, dishes: DataFrame, register: DataFrame
+) -> PaymentsApplied:
+    """All that follows from coded payments; ``closed`` are the tables they pay."""
     results = coded.select("req_id", "table_no", "cashier_id", "result_code", "message")
     ops = coded.where("result_code = 1").select(
         F.col("_session").alias("session_id"),
@@ -232,7 +256,6 @@ def apply_table_payments(
         "orders",
     )
     # A table without priced orders may be among these; it has nothing that moves.
-    closed = first.select("table_no")
     sales = (
         orders.join(closed, "table_no", "left_semi")
         .join(dishes.where("price IS NOT NULL").select("dish_id", "price"), "dish_id")

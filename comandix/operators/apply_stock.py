@@ -107,10 +107,18 @@ def adjust_to_counts(
     it, at first the ledger's total, to what was counted, so the total ends at the last accepted count. A refused
     count changes nothing for the next one. Counts of one supply are cut into slices like any prefix scan.
     """
+    return accepted_counts(count_results(counted, supplies), ledger, hot_rows)
+
+
+def count_results(counted: DataFrame, supplies: DataFrame) -> DataFrame:
     marked = known_reference(counted, supplies, "supply_id", "supply_id", "_supply")
     code = first_failure((F.col("_supply").isNull(), 2), (F.col("counted").isNull(), 4))
-    results = _coded(marked, code, counted, "adjustment")
-    valid = marked.where(code == 1).select("req_id", "supply_id", "counted")
+    return _coded(marked, code, counted, "adjustment")
+
+
+def accepted_counts(results: DataFrame, ledger: DataFrame, hot_rows: int = hotkeys.HOT_ROWS) -> Adjusted:
+    """Ledger rows that follow from a batch's results."""
+    valid = results.where("result_code = 1").select("req_id", "supply_id", "counted")
     looked = hotkeys.previous(valid, "supply_id", ["req_id"], {"_before": "counted"}, hot_rows)
     sums = ledger.groupBy("supply_id").agg(total("qty").alias("_total"))
     gap = F.col("counted") - F.coalesce("_before", "_total", F.lit(0))

@@ -23,6 +23,7 @@ from comandix.operators import (
     hotkeys,
     joins,
     lists,
+    publish,
 )
 from comandix.plans import sql_functions
 from comandix.session import work_dir
@@ -789,6 +790,47 @@ def link_new_supplies(t):
     return linked.supplies.join(linked.offers, "supply_id").join(linked.stock_rows, "supply_id")
 
 
+# Batches published as one version
+
+
+def _store(t, **given: DataFrame) -> sinks.VersionedTables:
+    store = sinks.VersionedTables(t.spark, work_dir(t.spark, "published"))
+    store.publish(given)
+    return store
+
+
+@query
+def publish_receipts(t):
+    store = _store(t, supply=t.supply, staff=t.staff, stock_snapshot=_minimum_stock(t))
+    publish.publish_receipts(store, t.receipt_requests)
+    return store.read("stock_snapshot")
+
+
+@query
+def publish_table_payments(t):
+    store = _store(t, order_line=t.order_line, dish=t.dish, staff=t.staff, register=t.register)
+    publish.publish_table_payments(store, t.payment_requests)
+    return store.read("sale")
+
+
+@query
+def publish_order_edits(t):
+    store = _store(
+        t, open_order=t.open_order, dish=t.dish, dining_table=t.dining_table, staff=t.staff, recipe=t.recipe, stock_snapshot=t.stock_snapshot
+    )
+    publish.publish_order_edits(store, t.order_edits)
+    return store.read("stock_snapshot")
+
+
+@query
+def publish_dishes(t):
+    """New and changed dishes, then deletes, as two versions."""
+    store = _store(t, dish=t.dish, recipe=t.recipe, open_order=t.open_order)
+    publish.publish_dimension(store, "dish", t.dish_changes, "dish_id")
+    publish.publish_deletes(store, "dish", t.dish_deletes, "dish_id", ["recipe", "open_order"])
+    return store.read("dish")
+
+
 # Audits
 
 

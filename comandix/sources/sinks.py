@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +150,15 @@ def read_ledger(spark: SparkSession, path: str, first: str | None = None, last:
     return Ledger(spark, path).read(first, last)
 
 
+@dataclass(frozen=True)
+class Outputs:
+    """What a batch changes: tables written whole, rows laid over a table by key, rows added to a table."""
+
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    changes: dict[str, tuple[DataFrame, list[str]]] = field(default_factory=dict)
+    appends: dict[str, DataFrame] = field(default_factory=dict)
+
+
 #: Changes of a table that are kept beside it before they are merged into a new copy.
 CHANGES = 8
 
@@ -188,6 +198,8 @@ class VersionedTables:
         return self._read(self._tables(self.version() if version is None else version)[name])
 
     def _read(self, table: dict) -> DataFrame:
+        if not table["key"]:
+            return self.spark.read.parquet(*[f"{self.path}/{p}" for p in table["parts"]])
         parts = [self.spark.read.parquet(f"{self.path}/{p}") for p in table["parts"]]
         if len(parts) == 1:
             return parts[0]
@@ -225,6 +237,34 @@ class VersionedTables:
             if version is not None:
                 return self.version()
 
+    def decided(
+        self, name: str, decide: Callable[[Callable[[str], DataFrame]], DataFrame], derive: Callable[[Callable[[str], DataFrame], DataFrame], Outputs],
+        version: int | None = None,
+    ) -> int:
+        """Publish what was decided about a batch, and everything that follows from it, as one version.
+
+        ``decide`` makes one row per request of the tables of the version before; the rows are written once, as table
+        ``name``, and ``derive`` makes all other outputs of what was written. So requests are read once
+        for all outputs together, and outputs agree whatever is computed again. A writer that another one overtakes
+        decides again on the newer tables. With ``version`` given, one already published is left as it is.
+        """
+        while True:
+            base = self.version()
+            if version is not None and version <= base:
+                return base
+            number = base + 1 if version is None else version
+            folder = f"data/{number:019d}-{uuid.uuid4().hex}"
+
+            def at(table: str, base: int = base) -> DataFrame:
+                return self.read(table, base)
+
+            decide(at).write.parquet(f"{self.path}/{folder}/{name}")
+            outputs = derive(at, self.spark.read.parquet(f"{self.path}/{folder}/{name}"))
+            written = self._write(outputs.tables, outputs.changes, number, folder, outputs.appends)
+            written["appends"][name] = f"{folder}/{name}"
+            if self._claim(number, written):
+                return number
+
     def update(self, change: Callable[[VersionedTables, int], dict[str, DataFrame]]) -> int:
         """Publish what ``change`` makes of a version; if another writer was faster, make it again of that one's."""
         while True:
@@ -232,14 +272,22 @@ class VersionedTables:
             if self._claim(base + 1, self._write(change(self, base), {}, base + 1)):
                 return base + 1
 
-    def _write(self, tables: dict[str, DataFrame], changes: dict[str, tuple[DataFrame, list[str]]], version: int) -> dict:
-        folder = f"data/{version:019d}-{uuid.uuid4().hex}"
-        for name, table in tables.items():
+    def _write(
+        self, tables: dict[str, DataFrame], changes: dict[str, tuple[DataFrame, list[str]]], version: int,
+        folder: str | None = None, appends: dict[str, DataFrame] | None = None,
+    ) -> dict:
+        folder = folder or f"data/{version:019d}-{uuid.uuid4().hex}"
+        for name, table in {**tables, **(appends or {})}.items():
             table.write.parquet(f"{self.path}/{folder}/{name}")
         for name, (rows, _) in changes.items():
             rows.write.parquet(f"{self.path}/{folder}/{name}")
         whole = {name: {"parts": [f"{folder}/{name}"], "key": []} for name in tables}
-        return {"tables": whole, "changes": {name: [f"{folder}/{name}", key] for name, (_, key) in changes.items()}, "folder": folder}
+        return {
+            "tables": whole,
+            "changes": {name: [f"{folder}/{name}", key] for name, (_, key) in changes.items()},
+            "appends": {name: f"{folder}/{name}" for name in appends or {}},
+            "folder": folder,
+        }
 
     def _claim(self, number: int, written: dict) -> bool:
         before = self._tables(number - 1) if number - 1 in self.versions() else self._tables(self.version())
@@ -254,6 +302,8 @@ class VersionedTables:
                     rows = rows.where(~F.coalesce(written["expired"][name], F.lit(False)))
                 rows.write.mode("overwrite").parquet(f"{self.path}/{merged}")
                 after[name] = {"parts": [merged], "key": key}
+        for name, part in written["appends"].items():
+            after[name] = {"parts": [*before.get(name, {"parts": []})["parts"], part], "key": []}
         if not self._commits.claim(number, {"tables": after}):
             return False
         self._retire(number)
