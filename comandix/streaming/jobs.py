@@ -138,7 +138,7 @@ def _applied(
     now = given.agg((F.max(ts) - F.expr(f"INTERVAL {remember}")).alias("horizon"))
     horizon = (now if before is None else now.unionByName(before)).agg(F.max("horizon").alias("horizon")).first()["horizon"]
     table = store.spark.createDataFrame([(horizon,)], now.schema)
-    return {"applied": (named.select(*key, ts), key)}, {"horizon": table}, {"applied": F.col(ts) < F.lit(horizon)}
+    return {"applied": (named.select(*dict.fromkeys([*key, ts])), key)}, {"horizon": table}, {"applied": F.col(ts) < F.lit(horizon)}
 
 
 def apply_movements(
