@@ -5,6 +5,7 @@ Keys are counted before they meet another table: what is joined is one row per d
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,51 +48,74 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     return used.join(parent.select(key), key, "left_anti")
 
 
-def audit_foreign_keys(references: dict[str, tuple[DataFrame, dict[str, tuple[str, DataFrame, str]]]]) -> DataFrame:
-    """Per reference: values no parent row has, and the rows that use them.
+@dataclass(frozen=True)
+class Reference:
+    """A column that names rows of ``parent``: its value, the rows it counts for, and whether a value counts once only."""
 
-    ``references`` maps a table's name to the table and its references: name -> (column, parent,
-    parent's key). All keys are whole numbers. Each table is read once, whatever number of
-    references it has or is the parent of, and all references share one shuffle and one anti join,
-    told apart by numbers.
+    parent: str
+    column: Column
+    where: Column | None = None
+    once: bool = False
+
+
+@dataclass(frozen=True)
+class Source:
+    """A stored table with all references and all keys that come from its rows, whatever tables of the model they belong to.
+
+    A reference may have several values a row, as a list of columns.
     """
-    names: list[str] = []
-    used: list[DataFrame] = []
-    parents: dict[tuple[int, str], tuple[int, DataFrame]] = {}
-    for table_name, (table, columns) in references.items():
-        triples = []
-        for name, (column, parent, key) in columns.items():
-            place, _ = parents.setdefault((id(parent), key), (len(parents), parent))
-            triples.append(
-                F.struct(
-                    F.lit(len(names)).alias("_ref"),
-                    F.lit(place).alias("_parent"),
-                    F.col(column).cast("bigint").alias("_key"),
-                )
-            )
-            names.append(f"{table_name}.{name}")
-        rows = table.select(F.explode(F.array(*triples)).alias("_used")).select("_used.*")
-        used.append(rows.where("_key IS NOT NULL"))
-    known = [
-        parent.select(F.lit(place).alias("_parent"), F.col(key).cast("bigint").alias("_key"))
-        for (_, key), (place, parent) in parents.items()
-    ]
-    counted = _stacked(used).groupBy("_ref", "_parent", "_key").agg(F.count(F.lit(1)).alias("_rows"))
-    found = (
-        counted.join(_stacked(known), ["_parent", "_key"], "left_anti")
-        .groupBy("_ref")
-        .agg(F.count(F.lit(1)).alias("orphan_keys"), F.sum("_rows").alias("orphan_rows"))
-    )
-    # References without orphans are reported too: one row per name.
-    every = counted.sparkSession.range(len(names)).select(
-        F.col("id").cast("int").alias("_ref"),
-        F.element_at(F.array(*[F.lit(name) for name in names]), F.col("id").cast("int") + 1).alias("reference"),
-    )
-    return every.join(found, "_ref", "left").select(
-        "reference",
-        F.coalesce("orphan_keys", F.lit(0)).alias("orphan_keys"),
-        F.coalesce("orphan_rows", F.lit(0)).alias("orphan_rows"),
+
+    table: DataFrame
+    references: dict[str, Reference | list[Reference]]
+    keys: dict[str, Column]
+
+
+def audit_foreign_keys(sources: list[Source]) -> DataFrame:
+    """Per reference: values no parent row has, and the rows that use them. All keys are whole numbers, NULL refers to nothing.
+
+    Each source is scanned once. Its references and keys become tagged rows, and one aggregation by parent and key
+    tells both whether the key is there and how often each reference uses it, so nothing is joined; rows of a
+    popular key are added up before the shuffle.
+    """
+    parents: dict[str, int] = {}
+    slots: dict[int, list[tuple[str, bool]]] = {}
+    tagged: list[DataFrame] = []
+    for source in sources:
+        marks = []
+        for parent, key in source.keys.items():
+            marks.append(_mark(parents.setdefault(parent, len(parents)), -1, key))
+        for name, several in source.references.items():
+            for k, reference in enumerate(several if isinstance(several, list) else [several]):
+                place = parents.setdefault(reference.parent, len(parents))
+                own = slots.setdefault(place, [])
+                if k == 0:
+                    own.append((name, reference.once))
+                column = reference.column if reference.where is None else F.when(reference.where, reference.column)
+                marks.append(_mark(place, len(own) - 1, column))
+        tagged.append(source.table.select(F.explode(F.array(*marks)).alias("_m")).select("_m.*").where("_key IS NOT NULL"))
+    widest = max(map(len, slots.values()), default=0)
+    uses = [F.count(F.when(F.col("_slot") == k, 1)).alias(f"_use{k}") for k in range(widest)]
+    keys = _stacked(tagged).groupBy("_parent", "_key").agg(F.max((F.col("_slot") == -1).cast("int")).alias("_there"), *uses)
+    lost = keys.where("_there = 0").groupBy("_parent").agg(
+        *[F.count(F.when(F.col(f"_use{k}") > 0, 1)).alias(f"_keys{k}") for k in range(widest)],
+        *[F.sum(f"_use{k}").alias(f"_rows{k}") for k in range(widest)],
     )
+    # One row per parent from here on; references without orphans are reported too.
+    names = F.create_map(*[F.lit(x) for place, own in slots.items() for x in (place, [name for name, _ in own])])
+    once = F.create_map(*[F.lit(x) for place, own in slots.items() for x in (place, [o for _, o in own])])
+    every = keys.sparkSession.range(len(parents)).select(F.col("id").cast("int").alias("_parent"))
+    listed = every.join(lost, "_parent", "left").where(F.col("_parent").isin(list(slots)))
+    found = F.arrays_zip(
+        names[F.col("_parent")].alias("reference"), once[F.col("_parent")].alias("once"),
+        F.array(*[F.col(f"_keys{k}") for k in range(widest)]).alias("keys"), F.array(*[F.col(f"_rows{k}") for k in range(widest)]).alias("rows"),
+    )
+    each = listed.select(F.explode(found).alias("_f")).where("_f.reference IS NOT NULL")
+    n_keys = F.coalesce("_f.keys", F.lit(0))
+    return each.select(F.col("_f.reference").alias("reference"), n_keys.alias("orphan_keys"), F.when(F.col("_f.once"), n_keys).otherwise(F.coalesce("_f.rows", F.lit(0))).alias("orphan_rows"))
+
+
+def _mark(parent: int, slot: int, key: Column) -> Column:
+    return F.struct(F.lit(parent).alias("_parent"), F.lit(slot).alias("_slot"), key.cast("bigint").alias("_key"))
 
 
 def audit_domains(rules: dict[str, tuple[DataFrame, dict[str, Column]]]) -> DataFrame:

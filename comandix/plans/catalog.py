@@ -856,41 +856,46 @@ def audit_primary_keys(t):
 
 @query
 def audit_foreign_keys(t):
-    return audits.audit_foreign_keys(
-        {
-            "stock_ledger": (
-                t.stock_ledger,
-                {"supply": ("supply_id", t.supply, "supply_id"), "keeper": ("keeper_id", t.staff, "staff_id")},
-            ),
-            "stock_snapshot": (t.stock_snapshot, {"supply": ("supply_id", t.supply, "supply_id")}),
-            "sale": (
-                t.sale,
-                {"dish": ("dish_id", t.dish, "dish_id"), "waiter": ("waiter_id", t.staff, "staff_id")},
-            ),
-            "order_line": (
-                t.order_line,
-                {"dish": ("dish_id", t.dish, "dish_id"), "table": ("table_no", t.dining_table, "table_no")},
-            ),
-            "recipe": (
-                t.recipe,
-                {"dish": ("dish_id", t.dish, "dish_id"), "supply": ("supply_id", t.supply, "supply_id")},
-            ),
-            "offer": (
-                t.offer,
-                {"vendor": ("vendor_id", t.vendor, "vendor_id"), "supply": ("supply_id", t.supply, "supply_id")},
-            ),
-            "cash_op": (t.cash_op, {"session": ("session_id", t.cash_session, "session_id")}),
-            "staff": (t.staff, {"role": ("role_id", t.role, "role_id")}),
-            "order_request": (
-                t.order_requests,
-                {
-                    "dish": ("dish_id", t.dish, "dish_id"),
-                    "table": ("table_no", t.dining_table, "table_no"),
-                    "waiter": ("waiter_id", t.staff, "staff_id"),
-                },
-            ),
-        }
-    )
+    return audits.audit_foreign_keys(_references(t))
+
+
+def _references(t) -> list[audits.Source]:
+    """What the model's tables refer to, by the stored table that each is made from."""
+    R, c = audits.Reference, F.col
+    part, supplier, events = t.stored("part"), t.stored("supplier"), t.stored("events")
+    dishes, people = views.count_of(part), views.count_of(supplier)
+    waiter, table = F.nullif(c("l_suppkey") % 10, F.lit(0)), F.nullif(c("l_suppkey") % 20, F.lit(0))
+    settled = ~((c("l_returnflag") == "N") & (c("l_linestatus") == "O"))
+    lines = {
+        "stock_ledger.supply": R("supply", c("l_partkey")),
+        "stock_ledger.keeper": R("staff", c("l_suppkey")),
+        "stock_snapshot.supply": R("supply", c("l_partkey"), settled, once=True),
+        "sale.dish": R("dish", c("l_partkey")),
+        "sale.waiter": R("staff", waiter),
+        "order_line.dish": R("dish", c("l_partkey")),
+        "order_line.table": R("dining_table", table),
+        "offer.vendor": R("vendor", c("l_suppkey")),
+        "offer.supply": R("supply", c("l_partkey")),
+        "cash_op.session": R("cash_session", c("l_orderkey")),
+    }
+    recipe = {
+        "recipe.dish": [R("dish", c("p_partkey"))] * 3,
+        "recipe.supply": [R("supply", (c("p_partkey") * 7 + k * 13) % dishes) for k in range(3)],
+    }
+    asked = {
+        "order_request.dish": R("dish", c("event_id") % (dishes + 50)),
+        "order_request.table": R("dining_table", F.nullif(c("user_id") % 24, F.lit(0))),
+        "order_request.waiter": R("staff", F.nullif(c("user_id") % (people + 10), F.lit(0))),
+    }
+    keys = {"staff": c("s_suppkey"), "vendor": c("s_suppkey"), "dining_table": F.nullif(c("s_suppkey") % 20, F.lit(0))}
+    return [
+        audits.Source(t.stored("lineitem"), lines, {}),
+        audits.Source(part, recipe, {"dish": c("p_partkey"), "supply": c("p_partkey")}),
+        audits.Source(supplier, {"staff.role": R("role", c("s_nationkey") % 6)}, keys),
+        audits.Source(t.stored("region"), {}, {"role": c("r_regionkey") + 1}),
+        audits.Source(t.stored("orders"), {}, {"cash_session": c("o_orderkey")}),
+        audits.Source(events, asked, {}),
+    ]
 
 
 @query

@@ -124,3 +124,9 @@ def test_prefix_scans_run_nothing_while_built_and_read_once(name, spark, sf_dir)
     final = plan(df).split("Initial Plan", maxsplit=1)[0]
     if name in ("cash_running_balance", "stock_running_balance", "order_durations", "state_jumps"):
         assert "ReusedExchange" in final and final.count("FileScan") == (2 if name == "cash_running_balance" else 1)
+
+
+def test_foreign_keys_scan_each_stored_table_once(spark, sf_dir):
+    text = plan(queries()["audit_foreign_keys"](spark, sf_dir))
+    for column in ("l_orderkey", "r_regionkey", "o_orderkey", "event_id"):
+        assert len(re.findall(rf"FileScan parquet [^\n]*\b{column}#", text)) == 1, column
