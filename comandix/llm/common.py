@@ -21,11 +21,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go once the driver's collector has run; called between steps that leave many."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def row_key(*columns: str) -> Column:
     """16 bytes that equal rows share and different rows don't. NULL differs from any text."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]

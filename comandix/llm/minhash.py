@@ -6,9 +6,9 @@ left and one right row, so 72 minhashes serve 144 tables of 6 hashes that would
 of Jaccard similarity s meet with probability (1 - (1 - s**DEPTH)**SIDE)**2: 0.9996 at 0.8.
 
 Texts with equal sets are one node throughout. Left rows that no other node shares are dropped
-before the pairs are formed. Within a table nodes are compared with representatives, and links are
-confirmed on the whole sets, read from the texts. Tables whose nodes are still in different components
-then get another representative, until a round confirms nothing. What is left then is compared in full: nodes
+before the pairs are formed. Within a table nodes are compared with its lowest node, and links are
+confirmed on the whole sets, read from the texts. Tables whose nodes are then in different components
+are compared once more, with their lowest node of another component. What is left is compared in full: nodes
 of such tables are dealt into blocks, and all pairs of two blocks are tested in one task; pairs are
 never listed within a group.
 """
@@ -30,8 +30,6 @@ SIDE, DEPTH = 12, 3
 HASHES = 2 * SIDE * DEPTH
 #: Matching bytes of HASHES below which a pair at 0.8 or more falls with a probability under 1e-4.
 LEAST_MATCHES = 43
-#: Nodes up to which a component's are compared with every representative of every round.
-SMALL = 8
 #: Nodes of a block whose minhashes, and of a unit whose texts, are compared with those of another in one task.
 BLOCK, UNIT = 2048, 256
 #: Distinct shingles of one product of membership matrices.
@@ -104,7 +102,7 @@ def _possible(a: tuple, b: tuple, percent: int) -> np.ndarray:
 
 def _sides(table: pa.Table) -> tuple:
     """(component, set size, bytes of minhashes) of the rows, and the rows of both sides: all twice if there is one."""
-    names = np.array(table.column("_c").to_pylist(), "S16")
+    names = table.column("_c").to_numpy()
     hashes = table.column("_h").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, HASHES)
     side = table.column("_side").to_numpy()
     mine, yours = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -171,7 +169,7 @@ def joined(size: int, percent: int):
                 place[one] = two
                 links.append((i, j))
         names = table.column("_c").to_pylist()
-        return pa.table({end: pa.array([names[x[k]] for x in links], pa.binary()) for k, end in enumerate("ab")})
+        return pa.table({end: pa.array([names[x[k]] for x in links], pa.int64()) for k, end in enumerate("ab")})
 
     return run
 
@@ -228,16 +226,16 @@ def _grouped(source: DataFrame, words: int, percent: int) -> DataFrame:
         _with_id(signatures(words)), f"_k binary, _n long, _s binary, _h array<int>, _id {kind}"
     )
     rows = common.stored(signed)
-    nodes = common.stored(
-        rows.where("_n > 0").groupBy("_s").agg(F.min(F.struct("_k", "_n", "_h")).alias("_r")).select("_s", "_r.*")
-    )
+    sets = rows.where("_n > 0").groupBy("_s").agg(F.min(F.struct("_k", "_n", "_h")).alias("_r")).select(F.col("_s").alias("_set"), "_r.*")
+    # A number names a set from here on: half as much in every table and pair.
+    nodes = common.stored(sets.withColumn("_s", F.monotonically_increasing_id()))
     tables = _tables(nodes)
-    common.release(source.sparkSession)
     names = _components(source, nodes, tables, words, percent)
-    ids = rows.groupBy("_s").agg(F.min("_id").alias("_id"))
-    labelled = ids.join(names, "_s", "left").withColumn("_c", F.coalesce("_c", "_s"))
+    ids = rows.where("_n > 0").groupBy("_s").agg(F.min("_id").alias("_id")).withColumnRenamed("_s", "_set")
+    labelled = nodes.select("_set", "_s").join(ids, "_set").join(names, "_s", "left").withColumn("_c", F.coalesce("_c", "_s"))
     smallest = labelled.groupBy("_c").agg(F.min("_id").alias("_to"))
-    target = labelled.join(smallest, "_c").select("_s", "_c", "_to")
+    named = F.concat(F.lit("component of set "), F.col("_c").cast("string")).cast("binary")
+    target = labelled.join(smallest, "_c").select(F.col("_set").alias("_s"), named.alias("_c"), "_to")
     out = rows.select("_k", "_id", "_n", "_s").join(target, "_s", "left")
     return out.select("_k", "_id", "_n", "_c", F.when(F.col("_s").isNull(), F.col("_id")).otherwise(F.col("_to")).alias("_to"))
 
@@ -265,11 +263,11 @@ def _tables(nodes: DataFrame) -> DataFrame:
     left = nodes.select("_s", F.explode(F.array(*[row(0, i) for i in range(SIDE)])).alias("_l"))
     shared = left.groupBy("_l").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_l")
     lefts = left.join(shared, "_l").groupBy("_s").agg(F.collect_list("_l").alias("_ls"))
-    pairs = lefts.join(nodes.select("_s", F.array(*[row(1, i) for i in range(SIDE)]).alias("_rs")), "_s")
+    pairs = common.stored(lefts.join(nodes.select("_s", F.array(*[row(1, i) for i in range(SIDE)]).alias("_rs")), "_s"))
     keyed = pairs.select("_s", "_rs", F.explode("_ls").alias("_l")).select(
         "_s", F.explode(F.transform("_rs", lambda r: F.xxhash64("_l", r))).alias("_key")
     )
-    keyed = common.stored(keyed)
+    # Lone keys are not written: whether two nodes have a key is counted in the pass before.
     shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
     return common.stored(keyed.join(shared, "_key").select("_s", "_key"))
 
@@ -283,7 +281,6 @@ def _texts(source: DataFrame, nodes: DataFrame, tables: DataFrame) -> DataFrame:
 def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that have a confirmed link; a component is named by one of its nodes."""
     texts = _texts(source, nodes, tables)
-    common.release(source.sparkSession)
     # One byte of each minhash is enough to rule pairs out, and what pairs carry through two joins.
     light = nodes.select("_s", "_n", F.transform("_h", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint")).alias("_h"))
 
@@ -295,36 +292,31 @@ def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: i
         near = near.where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_matches("_ha", "_hb") >= LEAST_MATCHES))
         full = near.select("a", "b").join(texts.select(F.col("_s").alias("b"), F.col("_t").alias("_tb")), "b")
         full = full.join(texts.select(F.col("_s").alias("a"), F.col("_t").alias("_ta")), "a")
-        return full.select("a", "_ta", "b", "_tb").mapInArrow(confirmed(words, percent), "a binary, b binary")
+        return full.select("a", "_ta", "b", "_tb").mapInArrow(confirmed(words, percent), "a long, b long")
 
     lowest = tables.groupBy("_key").agg(F.min("_s").alias("a"))
     names = tables.join(lowest, "_key").where("a <> _s").select("a", F.col("_s").alias("b")).distinct()
     names = common.stored(common.components(check(names)).toDF("_s", "_c"))
-    again = 0
-    while True:
-        common.release(source.sparkSession)
-        # Nodes of one table that are still in different components, against another representative.
-        sizes = names.groupBy("_c").agg(F.count(F.lit(1)).alias("_z"))
-        now = tables.join(names.join(sizes, "_c"), "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"), F.coalesce("_z", F.lit(1)).alias("_z"))
-        pick = F.min_by(F.struct("_s", "_c", "_z"), F.xxhash64("_s", "_key", F.lit(again)))
-        torn = now.groupBy("_key").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y"), pick.alias("_p"))
-        torn = torn.where("_x <> _y").select("_key", "_p")
-        more = now.join(torn, "_key").select(F.col("_s").alias("b"), "_c", "_z", "_p.*").toDF("b", "_c", "_z", "a", "_pc", "_pz").where("_c <> _pc")
-        # Two large components meet through one pair per node and round.
-        each = F.when(F.least("_z", "_pz") <= SMALL, F.col("a"))
-        more = more.groupBy("b", "_pc", each.alias("_each")).agg(F.min_by("a", F.xxhash64("a", "b", F.lit(again))).alias("a"))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = common.stored(check(more))
-        if more.isEmpty():
-            del now, torn
-            return _completed(names, tables, light, texts, words, percent)
-        place = names.select(F.col("_s").alias("_n"), F.col("_c").alias("_p"))
-        ends = more
-        for end in ("a", "b"):
-            ends = ends.join(place, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_p", end)).drop("_n", "_p")
-        del now, torn
-        names = _moved(names, ends, more)
-        again += 1
+    # Once more, against the lowest node that is in another component than the table's lowest.
+    now = tables.join(names, "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"))
+    first = now.groupBy("_key").agg(F.min_by("_c", "_s").alias("_first"), F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x <> _y").select("_key", "_first")
+    torn = common.stored(now.join(first, "_key"))
+    second = torn.where("_c <> _first").groupBy("_key").agg(F.min(F.struct("_s", "_c")).alias("_p"))
+    more = torn.join(second, "_key").where("_c <> _p._c").select(F.least("_s", "_p._s").alias("a"), F.greatest("_s", "_p._s").alias("b"))
+    more = common.stored(check(more.distinct()))
+    names = _renamed(names, more)
+    return _completed(names, tables, light, texts, words, percent)
+
+
+def _renamed(names: DataFrame, more: DataFrame) -> DataFrame:
+    """``names`` after links between nodes of different components."""
+    if more.isEmpty():
+        return names
+    place = names.select(F.col("_s").alias("_n"), F.col("_c").alias("_p"))
+    ends = more
+    for end in ("a", "b"):
+        ends = ends.join(place, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_p", end)).drop("_n", "_p")
+    return _moved(names, ends, more)
 
 
 def _moved(names: DataFrame, ends: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -362,7 +354,7 @@ def _completed(names: DataFrame, tables: DataFrame, light: DataFrame, texts: Dat
     pairs = common.stored(pairs.distinct())
     sides = [pairs.select("ua", "ub", F.col(end).alias("_u"), F.lit(k).alias("_side"), (F.col("ua") == F.col("ub")).alias("_within")) for k, end in enumerate(("ua", "ub"))]
     members = sides[0].union(sides[1].where("not _within")).join(homes, "_u").join(texts, "_s")
-    found = common.stored(members.groupBy("ua", "ub").applyInArrow(joined(words, percent), "a binary, b binary"))
+    found = common.stored(members.groupBy("ua", "ub").applyInArrow(joined(words, percent), "a long, b long"))
     return names if found.isEmpty() else _moved(names, found, found)
 
 
