@@ -110,6 +110,7 @@ ORACLE: dict[str, str] = {
     "op6_quality_rules": rf"""
 WITH base AS (
     SELECT doc_id, source, text, {_WORDS} AS w,
+        md5(concat_ws(chr(31), coalesce('=' || doc_id, '-'), coalesce('=' || source, '-'), coalesce('=' || text, '-'))) AS k,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents),
 windows AS (
@@ -119,21 +120,20 @@ repeated AS (
     SELECT doc_id, sum(least(5, coalesce(next - i, 5))) AS n_repeat_words
     FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM twice WHERE n > 1) GROUP BY doc_id),
 line AS (
-    SELECT doc_id, source, text, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
-    FROM (SELECT doc_id, source, text, unnest(lines) AS x FROM base)),
-host AS (SELECT source, count(DISTINCT coalesce('=' || text, '-')) AS texts FROM documents GROUP BY source),
+    SELECT k, doc_id, source, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS h, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+    FROM (SELECT k, doc_id, source, unnest(lines) AS x FROM base)),
 often AS (
-    SELECT c.source, c.h FROM (SELECT source, h, count(DISTINCT text) AS n FROM line WHERE n <= {quality_rules.LINE_WORDS} GROUP BY source, h) c
-    JOIN host ON c.source IS NOT DISTINCT FROM host.source WHERE c.n > {quality_rules.LEAST_TEXTS} AND c.n > {quality_rules.MOST_SHARE} * host.texts),
+    SELECT source, h, min({{'none': doc_id IS NULL, 'id': doc_id, 'k': k}}).k AS first FROM line
+    GROUP BY source, h HAVING count(DISTINCT k) > {quality_rules.LEAST_DOCUMENTS}),
 gone AS (
-    SELECT doc_id, sum(n) AS n_frequent_words FROM line JOIN often ON line.source IS NOT DISTINCT FROM often.source AND line.h = often.h
-    WHERE n <= {quality_rules.LINE_WORDS} GROUP BY doc_id),
+    SELECT k, sum(n) AS n_frequent_words FROM line JOIN often ON line.source IS NOT DISTINCT FROM often.source AND line.h = often.h
+    WHERE k <> first GROUP BY k),
 figures AS (
     SELECT base.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_frequent_words, 0) AS BIGINT) AS n_frequent_words
-    FROM base LEFT JOIN repeated USING (doc_id) LEFT JOIN gone USING (doc_id)),
+    FROM base LEFT JOIN repeated USING (doc_id) LEFT JOIN gone USING (k)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - n_frequent_words AS rest FROM figures)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words, base_failed,
     NOT base_failed AND NOT (n_frequent_words > 0 AND (rest < {quality_rules.LEAST_WORDS} OR rest < {quality_rules.LEAST_PART} * n_words)) AS kept

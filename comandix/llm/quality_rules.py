@@ -1,7 +1,8 @@
 """Rules on single documents, and lines that too many documents of one host share.
 
-Everything is built-in expressions. Line hashes are counted with map-side combining, first per
-distinct text, so a text copied a thousand times counts once, then per host.
+Everything is built-in expressions. Line hashes are counted over the distinct documents of a host, whatever a line's
+length. A line above the limit goes from all of them but one: the first document that has it keeps it and is not
+depleted by it, so of a group of copies, exact or near, one stays whole.
 """
 
 from __future__ import annotations
@@ -12,10 +13,8 @@ from pyspark.sql import functions as F
 from comandix.llm import common
 
 WINDOW = 5
-#: A line is removed if more distinct texts of its host than LEAST_TEXTS have it. MOST_SHARE is read by the SQL only.
-LEAST_TEXTS, MOST_SHARE = 20, 0.02
-#: Longer lines are passages: the first document of a host that has one keeps it, so that of near copies one stays.
-LINE_WORDS = 30
+#: A line is removed if more distinct documents of its host than these have it, however large the host is.
+LEAST_DOCUMENTS = 20
 #: A document is depleted if fewer words than these, or less than this part of its words, remain.
 LEAST_WORDS, LEAST_PART = 10, 0.3
 
@@ -52,14 +51,13 @@ def _repeated_words(grams: str) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A narrow row per document: key, id, host, hash of the text, base figures, lines."""
+    """A narrow row per document: key, id, host, base figures, lines."""
     text = F.coalesce(F.col("_t"), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).alias("_t"))
     first = base.select(
         "_id",
         "_host",
         common.row_key("_id", "_host", "_t").alias("_k"),
-        F.xxhash64("_t").alias("_x"),
         F.transform(F.regexp_extract_all(text, F.lit(common.WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("_w"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(common.WORD)).alias("_lines"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
@@ -74,7 +72,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         F.transform("_lines", lambda line: F.struct(normalised(line).alias("h"), F.regexp_count(line, F.lit(common.WORD)).alias("w"))).alias("_all"),
     )
     return second.select(
-        "_id", "_host", "_k", "_x", "n_words", "word_chars", "n_symbols", "_all",
+        "_id", "_host", "_k", "n_words", "word_chars", "n_symbols", "_all",
         (F.size("_lh") - F.size(F.array_distinct("_lh"))).cast("long").alias("n_dup_lines"),
         _repeated_words("_g").alias("n_repeat_words"),
     )
@@ -84,18 +82,18 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     """One row per row of ``docs``: key, id, base figures, base_failed, frequent lines, kept.
 
     A NULL text is an empty one: no words, base_failed. A NULL host is a host of its own. Equal rows get
-    equal verdicts. Lines that differ only in case and white space are one line. A frequent line of more than
-    ``LINE_WORDS`` words stays in the document of the host with the smallest id that has it.
+    equal verdicts and count as one document. Lines that differ only in case and white space are one line. A frequent line
+    stays in the document of the host with the smallest id that has it (of equal ids, by the hash of the row).
     """
     rows = common.stored(measured(docs, id_col, text_col, host_col))
-    lines = rows.select("_k", "_id", "_host", "_x", F.explode(F.array_distinct("_all")).alias("_l"))
-    lines = lines.select("_k", "_id", "_host", "_x", F.col("_l.h").alias("_h"), (F.col("_l.w") > LINE_WORDS).alias("_long"))
-    counts = lines.select("_host", "_h", "_x").distinct().groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LEAST_TEXTS)
+    lines = rows.select("_k", "_id", "_host", F.explode(F.array_distinct(F.transform("_all", lambda s: s["h"]))).alias("_h"))
+    counts = lines.select("_host", "_h", F.xxhash64("_k").alias("_d")).distinct().groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.where(F.col("_n") > LEAST_DOCUMENTS)
     often = common.stored(counts.select(F.col("_host").alias("_oh"), "_h"))
-    hit = lines.join(often, (F.col("_host").eqNullSafe(F.col("_oh"))) & (lines["_h"] == often["_h"])).select("_k", "_id", "_host", lines["_h"], "_long")
+    hit = lines.join(often, (F.col("_host").eqNullSafe(F.col("_oh"))) & (lines["_h"] == often["_h"])).select("_k", "_id", "_host", lines["_h"])
     hit = common.stored(hit)
     first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_k"))
-    first = hit.where("_long").groupBy("_host", "_h").agg(first.alias("_f")).select(F.col("_f._k").alias("_k"), "_h")
+    first = hit.groupBy("_host", "_h").agg(first.alias("_f")).select(F.col("_f._k").alias("_k"), "_h")
     hit = hit.join(first, ["_k", "_h"], "left_anti")
     hit = hit.groupBy("_k").agg(F.collect_set("_h").alias("_often"))
     out = rows.join(hit, "_k", "left").withColumn("_often", F.coalesce("_often", F.array().cast("array<bigint>")))

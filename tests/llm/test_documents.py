@@ -185,45 +185,50 @@ def test_quality_rules(spark, edges, nothing, monkeypatch):
     got = quality_rules.judged(edges).collect()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == expected
     assert quality_rules.judged(nothing).collect() == [] and quality_rules.filtered(nothing).collect() == []
-    monkeypatch.setattr(quality_rules, "LEAST_TEXTS", 2)
+    monkeypatch.setattr(quality_rules, "LEAST_DOCUMENTS", 2)
     body = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
     made = [(i, f"{body(i)}\nAll rights  RESERVED here", "h") for i in range(4)]
     made += [(4, "all rights reserved here\n" + "Read more now please friends dear all " * 2, "h"), (5, body(5) + "\nAll rights reserved here", "other")]
     frame = spark.createDataFrame([(*r, "x") for r in made], "doc_id long, text string, source string, _often string")
     verdicts = {r.doc_id: (r.n_frequent_words, r.kept) for r in quality_rules.judged(frame).collect()}
-    assert verdicts == {0: (4, True), 1: (4, True), 2: (4, True), 3: (4, True), 4: (4, False), 5: (0, True)}
+    # The first document that has a line keeps it.
+    assert verdicts == {0: (0, True), 1: (4, True), 2: (4, True), 3: (4, True), 4: (4, False), 5: (0, True)}
     texts = {r.doc_id: r.text for r in quality_rules.filtered(frame).collect()}
-    assert texts == {**{i: body(i) for i in range(4)}, 5: made[5][1]}
+    assert texts == {0: made[0][1], **{i: body(i) for i in range(1, 4)}, 5: made[5][1]}
 
 
-def test_copies_of_one_text_count_once(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "LEAST_TEXTS", 2)
+def test_copies_of_one_text_are_documents(spark, monkeypatch):
+    """A line of more documents than the limit goes, copies or not; the first copy stays, and a repeated row is one document."""
+    monkeypatch.setattr(quality_rules, "LEAST_DOCUMENTS", 2)
     text = "one short line that is copied many times over here"
     frame = spark.createDataFrame([(i, text, "h") for i in range(30)], "doc_id long, text string, source string")
-    assert all(r.kept for r in quality_rules.judged(frame).collect())
+    assert {r.doc_id for r in quality_rules.judged(frame).collect() if r.kept} == {0}
+    again = spark.createDataFrame([(i % 2, text, "h") for i in range(30)], "doc_id long, text string, source string")
+    assert all(r.kept for r in quality_rules.judged(again).collect())
 
 
-def test_long_lines_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "LEAST_TEXTS", 2)
-    body = lambda i: " ".join(f"own{i}x{k}" for k in range(30))
-    notice = " ".join(f"cookie{k}" for k in range(40))
+@pytest.mark.parametrize("size", [5, 29, 30, 31, 32, 200])
+def test_lines_of_every_length_are_counted_alike(spark, monkeypatch, size):
+    monkeypatch.setattr(quality_rules, "LEAST_DOCUMENTS", 2)
+    body = lambda i: " ".join(f"own{i}x{k}" for k in range(300))
+    notice = " ".join(f"cookie{k}" for k in range(size))
     rows = [(i, f"{body(i)}\n{notice}", "h") for i in range(4)] + [(None, f"{body(4)}\n{notice}", "h")]
-    # Near copies: one long line and a word of their own.
+    # Near copies: one line and a word of their own.
     passage = " ".join(f"long{k}" for k in range(50))
     rows += [(10 + i, f"{passage}\nown{i}", None) for i in range(4)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     verdicts = {r.doc_id: (r.n_frequent_words, r.kept) for r in quality_rules.judged(frame).collect()}
-    assert verdicts == {0: (0, True), **{i: (40, True) for i in (1, 2, 3, None)}, 10: (0, True), **{i: (50, False) for i in (11, 12, 13)}}
+    assert verdicts == {0: (0, True), **{i: (size, True) for i in (1, 2, 3, None)}, 10: (0, True), **{i: (50, False) for i in (11, 12, 13)}}
     texts = {r.doc_id: r.text for r in quality_rules.filtered(frame).collect()}
     assert texts == {0: rows[0][1], 1: body(1), 2: body(2), 3: body(3), None: body(4), 10: rows[5][1]}
 
 
 def test_a_large_host_has_the_limit_of_a_small_one(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "LEAST_TEXTS", 2)
+    monkeypatch.setattr(quality_rules, "LEAST_DOCUMENTS", 2)
     body = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
     rows = [(i, body(i) + ("\nAll rights reserved here" if i < 3 else ""), "h") for i in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert {r.doc_id: r.n_frequent_words for r in quality_rules.judged(frame).collect()} == {i: 4 * (i < 3) for i in range(300)}
+    assert {r.doc_id: r.n_frequent_words for r in quality_rules.judged(frame).collect()} == {i: 4 * (0 < i < 3) for i in range(300)}
 
 
 def test_mix(spark, edges, nothing):
