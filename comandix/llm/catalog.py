@@ -40,7 +40,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(read(spark, sf_dir, "documents"), 400).drop("kept_text")
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"), 400, with_text=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

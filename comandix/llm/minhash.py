@@ -31,7 +31,7 @@ HASHES = 2 * SIDE * DEPTH
 #: Matching bytes of HASHES below which a pair at 0.8 or more falls with a probability under 1e-4.
 LEAST_MATCHES = 43
 #: Nodes of a block whose minhashes, and of a unit whose texts, are compared with those of another in one task.
-BLOCK, UNIT = 2048, 256
+BLOCK, UNIT = 1024, 128
 #: Distinct shingles of one product of membership matrices.
 CHUNK = 8192
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,14 +111,25 @@ def _sides(table: pa.Table) -> tuple:
 
 
 def candidates(percent: int):
-    """Code of two blocks of a table: the pairs of units that hold a pair of nodes that has to be confirmed."""
+    """Code of two blocks of a table: the nodes of pairs that have to be confirmed, by the pair of their units."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes, mine, yours = _sides(table)
-        units = table.column("_u").to_numpy()
+        units, names = table.column("_u").to_numpy(), table.column("_s").to_numpy()
         i, j = np.nonzero(_possible(tuple(x[mine] for x in nodes), tuple(x[yours] for x in nodes), percent))
-        found = np.unique(np.sort(np.stack([units[mine[i]], units[yours[j]]], 1), axis=1), axis=0)
-        return pa.table({"ua": pa.array(found[:, 0], pa.int64()), "ub": pa.array(found[:, 1], pa.int64())})
+        kinds, unit = np.unique(units, return_inverse=True)
+        # One number for a pair of units, a row of this table and its side.
+        found = np.zeros(0, np.int64)
+        for lo in range(0, len(i), 1 << 20):
+            ends = mine[i[lo : lo + (1 << 20)]], yours[j[lo : lo + (1 << 20)]]
+            low, high = np.minimum(unit[ends[0]], unit[ends[1]]), np.maximum(unit[ends[0]], unit[ends[1]])
+            codes = [(((low * len(kinds) + high) * len(names) + end) * 2 + (unit[end] != low)) for end in ends]
+            found = np.unique(np.concatenate([found, *codes]))
+        rest, second = np.divmod(found, 2)
+        rest, row = np.divmod(rest, max(1, len(names)))
+        low, high = np.divmod(rest, max(1, len(kinds)))
+        columns = {"ua": kinds[low], "ub": kinds[high], "_s": names[row], "_side": second}
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in columns.items()})
 
     return run
 
@@ -331,7 +342,8 @@ def _completed(names: DataFrame, tables: DataFrame, light: DataFrame, texts: Dat
     """``names`` after all pairs of one table and different components are tested.
 
     A table of two nodes has been tested by its first representative. A node's unit is a part of the largest
-    table it is in, so that texts are compared once for all the tables that two units share.
+    table it is in, so that texts are compared once for all the tables that two units share; only nodes
+    that sizes and minhashes leave a partner take part.
     """
     now = tables.join(names, "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"))
     torn = now.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_c").alias("_x"), F.max("_c").alias("_y"))
@@ -350,10 +362,9 @@ def _completed(names: DataFrame, tables: DataFrame, light: DataFrame, texts: Dat
         lambda other: F.struct(F.least(mine, other).alias("_b1"), F.greatest(mine, other).alias("_b2"), (mine > other).cast("int").alias("_side"), (mine == other).alias("_within")),
     )
     pairs = dealt.select("_s", "_key", F.explode(both).alias("_p")).select("_s", "_key", "_p.*").join(homes, "_s")
-    pairs = pairs.groupBy("_key", "_b1", "_b2").applyInArrow(candidates(percent), "ua long, ub long")
-    pairs = common.stored(pairs.distinct())
-    sides = [pairs.select("ua", "ub", F.col(end).alias("_u"), F.lit(k).alias("_side"), (F.col("ua") == F.col("ub")).alias("_within")) for k, end in enumerate(("ua", "ub"))]
-    members = sides[0].union(sides[1].where("not _within")).join(homes, "_u").join(texts, "_s")
+    pairs = pairs.groupBy("_key", "_b1", "_b2").applyInArrow(candidates(percent), "ua long, ub long, _s long, _side long")
+    pairs = common.stored(pairs.distinct()).withColumn("_within", F.col("ua") == F.col("ub"))
+    members = pairs.join(homes, "_s").join(texts, "_s")
     found = common.stored(members.groupBy("ua", "ub").applyInArrow(joined(words, percent), "a long, b long"))
     return names if found.isEmpty() else _moved(names, found, found)
 

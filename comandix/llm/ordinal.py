@@ -53,6 +53,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     buckets = np.stack([_bucket(lowered, 1), _bucket(tail, 2), _bucket(shape, 3)])
     again = np.zeros(len(starts), bool)
     again[1:] = lowered[1:] == lowered[:-1]
+    again[first[:-1][np.diff(first) > 0]] = False  # a text's first word follows nothing
     counts = np.maximum(1, np.diff(first))
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
     other = np.concatenate([[0], np.cumsum(~textbytes.IS_SPACE[data] & (_CLASS[data] != 65) & (_CLASS[data] != 97) & (data != 46) & (data != 44))])
@@ -156,7 +157,10 @@ def graded(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: id, expected_grade, p_top, kept.
 
     ``ratings`` has (id, grade), grades from 0 on. A text without words, a NULL one, and every text if
-    fewer than two grades are rated, is graded 0 and not kept. Other columns are ignored.
+    fewer than two grades are rated, is graded 0 and not kept. Repeated rows get equal grades, whatever rows stand
+    beside them; an id of several rows is fitted once, with the text of the smallest hash, and one of several grades with the
+    lowest. A tail probability of exactly ``TAIL`` is kept. Texts of any length are read whole, and each feature
+    counts once. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     learned = fit(rows, ratings, "_id", "_t")

@@ -23,8 +23,9 @@ from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Parts whose ids a task remembers, characters that one suffix array takes, and characters of texts worked on at once.
-REMEMBERED, ARRAY, BATCH = 300_000, 1 << 18, 1 << 21
+#: Parts whose ids a process remembers, pairs of pieces it does within a task, characters that one suffix array takes, and
+#: characters of texts worked on at once. A remembered part or pair is about 200 bytes, so a process holds some 80 MB.
+REMEMBERED, PAIRS, ARRAY, BATCH = 150_000, 250_000, 1 << 18, 1 << 21
 #: Characters up to which parts are relaxed side by side, and what tells the places of a pair's pieces apart.
 SHORT, BITS, SLOTS = 64, 21, 21
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -69,7 +70,9 @@ class Model:
         # Pairs by a hash of their key, the newest in its slot; all pairs are in the dictionary.
         self.pair_keys, self.pair_fits = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
         self.pairs: dict[tuple[str, str], bool] = {}
+        # Parts of late, and those of the time before, from which parts that are used again come back.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short string: the best score first, from the left."""
@@ -89,7 +92,7 @@ class Model:
         found = self.pairs.get((left, right))
         if found is None:
             found = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) >= 4 * REMEMBERED:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = found
         return found
@@ -219,9 +222,12 @@ class Model:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [_PART.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = set(chain.from_iterable(parts))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
         new -= self.known.keys()
+        back = {p: self.older[p] for p in new & self.older.keys()}
+        self.known.update(back)
+        new -= back.keys()
         group, held = [], 0
         for part in new:
             group.append(part)
@@ -289,6 +295,12 @@ def encoded(name: str, outputs: tuple[str, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _own(name)
+        try:
+            yield from work(model, batches)
+        finally:
+            model.pairs.clear()
+
+    def work(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lo = 0
             while lo < batch.num_rows:

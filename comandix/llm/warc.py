@@ -26,6 +26,8 @@ from comandix.session import work_dir
 DICTIONARY_FRAME, PROFILE = 0x184D2A5D, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_PAYLOAD = 100
 #: Bytes and records from which a file's dictionary is trained, its size, and payload bytes in one file.
+#: Compressed bytes that a task reads back.
+READ = 128 << 20
 SAMPLE_BYTES, SAMPLE_RECORDS, DICTIONARY, FILE = 4 << 20, 1000, 64 << 10, 64 << 20
 LEVEL = 3
 
@@ -236,8 +238,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, at: str = "2020-
 
 
 def read_archives(folder: str, files: DataFrame, with_payload: bool = False) -> DataFrame:
-    """One row per record of the files: see ``RECORD``. Payloads are checked against their digests."""
-    return files.select("file").repartition("file").mapInArrow(listed(folder, with_payload), RECORD)
+    """One row per record of the files: see ``RECORD``. Payloads are checked against their digests.
+
+    Files are dealt out evenly, ``READ`` bytes a task on average, to at least as many tasks as there are cores if there
+    are as many files; the number of tasks is set, so that the adaptive planner doesn't join them.
+    """
+    size = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = min(size.n, max(files.sparkSession.sparkContext.defaultParallelism, -(-size.bytes // READ)))
+    return files.select("file").repartition(max(1, tasks)).mapInArrow(listed(folder, with_payload), RECORD)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -334,3 +334,22 @@ def test_sql_agrees(spark, sf_dir):
         for c in columns:
             plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
             assert [plain(v) for v in a[c].astype(object)] == [plain(v) for v in b[c].astype(object)], (name, c)
+
+
+@pytest.mark.parametrize("words", [51, 60, 80])
+def test_planted_passages(spark, words):
+    """Passages of 51 to 80 words in many documents: what 400 equal bytes cover goes, shorter runs stay, whatever their words."""
+    rng = np.random.default_rng(words)
+    letters = list("abcdefghijklmnop")
+    made = lambda n, size: " ".join("".join(rng.choice(letters, int(rng.integers(*size)))) for _ in range(n))
+    planted = [made(words, (2, 5)), made(words, (5, 9)), made(words, (8, 12))]
+    assert len(planted[0]) < 400 < len(planted[2])
+    rows = [(i, f"{made(30, (3, 9))} {planted[i % 3]} {made(30, (3, 9))}" if i % 4 else made(80, (3, 9))) for i in range(48)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400, with_text=True).collect()
+    check_removed(got, rows, 400)
+    for r in got:
+        own = planted[r.doc_id % 3] if r.doc_id % 4 else None
+        if own is None or len(own) < 380:
+            assert r.n_removed == 0 and r.kept_text == rows[r.doc_id][1]
+        elif len(own) >= 400:
+            assert own not in r.kept_text and r.n_removed >= len(own)

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from comandix.llm import caps, catalog, common, url_rules, warc
 
@@ -76,6 +77,59 @@ def test_mined_rules_find_what_labels_say(spark):
     assert {(tuple(r._rule), r._verdict) for r in mined} == {(("a=1",), "block")}
 
 
+@pytest.mark.parametrize("others", [500, 8000])
+def test_rules_do_not_depend_on_other_rows(spark, others):
+    """The same rules whatever number of other labels there is, and many constant words on a path don't multiply them."""
+    deep = "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30))
+    rows = [(i, f"http://spam{chr(97 + i % 3)}.example.com/{deep}/{i}") for i in range(60)]
+    rows += [(100 + i, f"http://mixed.example.com/{deep.replace('part', 'mix')}/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)]
+    known = [(i, "block") for i in range(60)] + [(100 + i, "block" if i % 2 or i == 4 else "allow") for i in range(60)]
+    rows += [(1000 + i, f"http://news.example.org/world/{i}") for i in range(others)]
+    known += [(1000 + i, "allow") for i in range(others)]
+    rows += [(900_000, "http://elsewhere.example.com/partaa"), (900_001, "http://elsewhere.example.com/mixab/bad"), (900_002, "http://elsewhere.example.com/mixab/good")]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(known, "id long, label string")
+    got = {r.page_id: (r.verdict, r.method) for r in url_rules.judged(pages, labels).collect()}
+    assert {got[i] for i in range(60)} == {("block", "mined")}
+    assert got[900_000] == ("block", "mined") and got[900_001] == ("block", "mined") and got[900_002][0] == "allow"
+
+
+def test_mined_rules_are_those_of_all_token_sets(spark):
+    """Against every set of up to four tokens counted in plain Python, with stand-ins put back."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(600):
+        held = {f"t{k}" for k in range(6) if rng.random() < 0.45}
+        held |= {"a1", "a2"} if rng.random() < 0.4 else set()
+        bad = ("t0" in held and "t1" in held) or ("a1" in held and "t2" in held) or rng.random() < 0.1
+        held |= {"pure"} if bad and rng.random() < 0.3 else set()
+        rows.append((sorted(held) or ["t9"], "block" if bad else "allow"))
+    rules, stand = url_rules.mined_from(spark.createDataFrame(rows, "_tokens array<string>, _label string"))
+    got = {(tuple(sorted(r._rule)), r._verdict): round(r._confidence, 9) for r in rules.collect()}
+    assert {(r._t, r._as) for r in stand.collect()} == {("a2", "a1")}
+    tokens = sorted({t for held, _ in rows for t in held} - {"a2"})
+    sure = {}
+    for size in (1, 2, 3, 4, 5):
+        for chosen in combinations(tokens, size):
+            labels = [label for held, label in rows if set(chosen) <= set(held)]
+            for verdict in ("block", "allow"):
+                n, share = labels.count(verdict), sum(label == verdict for _, label in rows) / len(rows)
+                if n >= url_rules.LEAST_URLS and n / len(labels) >= url_rules.CONFIDENCE and n / len(labels) >= url_rules.LIFT * share:
+                    if not any(set(c) < set(chosen) and v == verdict and s >= n / len(labels) for (c, v), s in sure.items()):
+                        sure[chosen, verdict] = n / len(labels)
+    assert got == {k: round(v, 9) for k, v in sure.items()}
+
+
+def test_many_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE", 20_000)
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(cast(id AS string), 512), 8) AS html").repartition(4)
+    folder, files = warc.write_archives(pages)
+    assert files.count() >= 16
+    back = warc.read_archives(folder, files).withColumn("_p", F.spark_partition_id())
+    assert back.select("_p").distinct().count() >= 8 and back.count() == 400
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "words and more words " * 4000
     html = ["x" * 100, "x" * 99, "x" * 100, "x" * 99, None, "", big, big, "é" * 60, "\r\n\r\nWARC/1.1\r\n" * 20, "x" * 100]
