@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -30,6 +32,12 @@ def test_every_query_has_sql():
     assert set(CATALOG) == set(ORACLE) and set(oracle_sql()) <= set(queries())
 
 
+def test_without_the_text_operators(monkeypatch):
+    """Whatever keeps them from being imported, the other queries are there."""
+    monkeypatch.setitem(sys.modules, "comandix.llm", None)
+    assert set(queries()) == set(CATALOG) and set(oracle_sql()) == set(ORACLE)
+
+
 @pytest.mark.parametrize("name", sorted(CATALOG))
 def test_same_as_sql(name, spark, duck, sf_dir):
     sql = oracle_sql()[name]
