@@ -144,6 +144,9 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Fitted on rows that are not held out; a row with a NULL id is not held out and not learned from.
     A NULL text, one without letters, and every text if nothing could be learned, is ``und`` with score 0.
+    Equal texts get equal predictions, whatever rows stand beside them; rows that repeat id and text are learned from once.
+    Of languages with equal values the first by name counts. Texts of any length are read whole, in parts of ``PART``
+    code points. Other columns are ignored.
     """
     learned = fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), id_col, text_col, lang_col)
     kind = dict(docs.dtypes)[id_col]

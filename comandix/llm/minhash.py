@@ -31,7 +31,7 @@ HASHES = 2 * SIDE * DEPTH
 #: Matching bytes of HASHES below which a pair at 0.8 or more falls with a probability under 1e-4.
 LEAST_MATCHES = 43
 #: Nodes of a block whose minhashes, and of a unit whose texts, are compared with those of another in one task.
-BLOCK, UNIT = 1024, 128
+BLOCK, UNIT = 2048, 128
 #: Distinct shingles of one product of membership matrices.
 CHUNK = 8192
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
