@@ -2,7 +2,8 @@
 
 A string of ``length`` bytes (a window) is owned by the smallest of its grams of ``GRAM`` bytes, by
 hash and then from the left. Equal windows have equal owners, so each owner's windows can be judged
-by themselves. Neighbouring windows of one owner make a span of at most ``2 * length - GRAM`` bytes,
+by themselves. Neighbouring windows of one owner make a span of at most ``2 * length - GRAM`` bytes (grams are a
+sixth of short lengths),
 and the corpus gives one small row per span, about one per 170 bytes at a length of 400:
 
 * an owner that occurs once holds nothing that repeats; a span that occurs twice repeats wholly.
@@ -38,7 +39,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 def spans_of(length: int):
     """Task code: (row key, text) to one row per span: owner, content hash, row key, first and last window."""
-    gram = min(GRAM, length)
+    gram = min(GRAM, max(length // 6, 16), length)  # short strings have short grams, or each would have a span of its own
     width = length - gram + 1
 
     def windows(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
