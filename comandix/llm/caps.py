@@ -179,7 +179,7 @@ def _met_before(lists: list[list[int]], i: np.ndarray, j: np.ndarray, at: int) -
     met = np.zeros(len(i), bool)
     for lo in range(0, len(used), CHUNK):
         first, last = np.searchsorted(place, [lo, lo + CHUNK])
-        member = np.zeros((len(rows), CHUNK), np.float32)
+        member = np.zeros((len(rows), min(CHUNK, len(used) - lo)), np.float32)
         member[owner[first:last], place[first:last] - lo] = 1
         met |= (member[one] @ member[two].T)[a[1], b[1]] > 0
     return met
