@@ -7,6 +7,7 @@ on the key, for the caller to publish as a new version.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,36 +109,48 @@ def delete_rows(
 ) -> DimensionApplied:
     """Delete rows by key: 1 deleted, 2 other tables still refer to it, 3 no such row.
 
-    ``children`` are tables that have the key; each is reduced to its distinct keys before it is
-    joined. ``rows_affected`` counts what the first request of a key deleted. A request without a key
-    finds no row.
+    ``children`` are tables that have the key. ``rows_affected`` counts what the first request of a key deleted. A request
+    without a key finds no row.
     """
-    asked = requests.select(key).distinct()
-    stored = asked.join(table.select(key, F.lit(True).alias("_stored")), key, "left")
-    for place, child in enumerate(children):
-        used = child.groupBy(key).agg(F.lit(True).alias(f"_child{place}"))
-        stored = stored.join(used, key, "left")
-    blocked = F.lit(False)
-    for place in range(len(children)):
-        blocked = blocked | F.col(f"_child{place}").isNotNull()
-    verdict = stored.select(key, F.when(F.col("_stored").isNull(), 3).when(blocked, 2).otherwise(1).alias("result_code"))
-    first = requests.groupBy(key).agg(F.min("req_id").alias("_first"))
+    return _deleted(requests, table, key, _verdicts(requests, table, key, children))
+
+
+def _verdicts(requests: DataFrame, table: DataFrame, key: str, children: list[DataFrame]) -> DataFrame:
+    """Per key that is asked for: its code, its first request and how many rows of the table have it.
+
+    Requests, rows and references are tagged rows of one aggregation. Joined, all of them would be sorted in one task.
+    """
+    asked = requests.select(key, F.lit("asked").alias("_tag"), "req_id")
+    none = F.lit(None).cast(requests.schema["req_id"].dataType).alias("req_id")
+    others = [table.select(key, F.lit("row").alias("_tag"), none)]
+    others += [child.select(key, F.lit("used").alias("_tag"), none) for child in children]
+    counts = [F.count(F.when(F.col("_tag") == tag, 1)).alias(f"_{tag}") for tag in ("asked", "row", "used")]
+    tagged = reduce(DataFrame.unionByName, others, asked).where(F.col(key).isNotNull())
+    found = tagged.groupBy(key).agg(F.min("req_id").alias("_first"), *counts)
+    code = F.when(F.col("_row") == 0, 3).when(F.col("_used") > 0, 2).otherwise(1)
+    return found.where("_asked > 0").select(key, "_first", "_row", code.alias("result_code"))
+
+
+def _deleted(requests: DataFrame, table: DataFrame, key: str, verdicts: DataFrame) -> DimensionApplied:
+    # A key that several rows of the table have is reported once for each.
+    times = F.array_repeat(F.lit(0), F.greatest(F.col("_row"), F.lit(1)).cast("int"))
     results = (
-        requests.join(verdict.join(first, key), key, "left")
+        requests.join(verdicts, key, "left")
+        .withColumn("_time", F.explode(times))
         .withColumn("result_code", F.coalesce("result_code", F.lit(3)))
         .withColumn("rows_affected", F.coalesce(((F.col("result_code") == 1) & (F.col("req_id") == F.col("_first"))).cast("int"), F.lit(0)))
         .select("req_id", key, "result_code", "rows_affected")
     )
-    return DimensionApplied(results, table.join(verdict.where("result_code = 1"), key, "left_anti"))
+    return DimensionApplied(results, table.join(verdicts.where("result_code = 1"), key, "left_anti"))
 
 
 def delete_supplies(
     requests: DataFrame, supplies: DataFrame, snapshot: DataFrame, children: list[DataFrame]
 ) -> tuple[DimensionApplied, DataFrame]:
     """Delete supplies together with their stock row."""
-    applied = delete_rows(requests, supplies, "supply_id", children)
-    gone = applied.results.where("rows_affected = 1").select("supply_id")
-    return applied, snapshot.join(gone, "supply_id", "left_anti")
+    verdicts = _verdicts(requests, supplies, "supply_id", children)
+    gone = verdicts.where("result_code = 1 AND _first IS NOT NULL").select("supply_id")
+    return _deleted(requests, supplies, "supply_id", verdicts), snapshot.join(gone, "supply_id", "left_anti")
 
 
 def delete_staff(requests: DataFrame, staff: DataFrame) -> DimensionApplied:
