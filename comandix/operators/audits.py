@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comandix import model
+from comandix.operators import hotkeys
 from comandix.operators.joins import ledger_vs_snapshot
 
 
@@ -24,10 +25,15 @@ def duplicate_keys(table: DataFrame, key: list[str], ignore_case: bool = False)
 
 
 def audit_keys(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Per table: repeated keys, the rows that have them, and rows with a NULL in the key."""
+    """Per table: repeated keys, the rows that have them, and rows with a NULL in the key.
+
+    Keys that should be unique gain nothing from being added up before the shuffle, but would fill the memory of its tasks, so
+    bare keys are dealt out.
+    """
     return _stacked(
         [
-            table.groupBy(*key)
+            hotkeys.spread(table.select(*key), *key)
+            .groupBy(*key)
             .agg(F.count(F.lit(1)).alias("_rows"))
             .agg(
                 F.count(F.when(F.col("_rows") > 1, 1)).alias("repeated_keys"),

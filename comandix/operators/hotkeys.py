@@ -27,6 +27,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows brought together by ``keys`` in as many tasks as the session has shuffle partitions.
+
+    The adaptive planner merges shuffle partitions by their compressed size, and ids compress so well that one task would hash
+    many millions of them. It leaves a numbered repartition as it is.
+    """
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
+
+
 def split_hot(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of hot keys if there are any. NULL is a key like any other."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from comandix import model
 from comandix.functions.expressions import money, total
+from comandix.operators import hotkeys
 from comandix.sources.tables import read_table
 
 View = Callable[[SparkSession, str], DataFrame]
@@ -149,8 +150,8 @@ def offer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vendor_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lowest price per vendor and supply."""
-    return offer(spark, sf_dir).groupBy("vendor_id", "supply_id").agg(F.min("unit_price").alias("unit_price"))
+    """The lowest price per vendor and supply. Few offers share both, so they are dealt out as they are."""
+    return hotkeys.spread(offer(spark, sf_dir), "vendor_id", "supply_id").groupBy("vendor_id", "supply_id").agg(F.min("unit_price").alias("unit_price"))
 
 
 def recipe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from comandix.operators import apply_dims, joins
+from comandix.operators import apply_dims, audits, joins
 
 PACKAGE = Path(__file__).resolve().parent.parent / "comandix"
 
@@ -140,3 +140,12 @@ def test_deletes_join_their_tables_with_verdicts_only(spark):
     for df in (applied.table, applied.results):
         assert len(re.findall(r"\w+Join", plan(df))) == 1
     assert sorted(r["k"] for r in applied.table.collect()) == [4, 5, 6, 7, 8]
+
+
+def test_audited_keys_stay_in_as_many_tasks_as_there_are_partitions(spark):
+    pairs = spark.range(0, 1000, 1, 4).select((F.col("id") % 999).alias("a"), (F.col("id") % 3).alias("b"))
+    offers = pairs.where("a < 500")
+    found = audits.audit_keys({"pairs": (pairs, ["a", "b"]), "offers": (offers, ["a"])})
+    assert sorted(tuple(r) for r in found.collect()) == [("offers", 1, 2, 0), ("pairs", 1, 2, 0)]
+    final = plan(found).split("Initial Plan", maxsplit=1)[0]
+    assert "AQEShuffleRead" not in final and final.count("REPARTITION_BY_NUM") == 2
