@@ -149,6 +149,27 @@ def previous(
     return _handed_down(looked, handed).select(*df.columns, *values)
 
 
+def total_and_previous(
+    df: DataFrame, key: str, order: list[str], value: str, alias: str, columns: dict[str, str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``running_total`` and ``previous`` of the same order in one scan: rows are cut, shuffled and sorted once for both."""
+    slices = _sliced(df, [key], order, hot_rows)
+    earlier = _by_slice(key).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by(F.struct(*[F.col(name).alias(new) for new, name in columns.items()]), F.struct(*order))
+    ends = _of_slices(slices, F.struct(F.sum(value).alias("_sum"), last.alias("_last")))
+    handed = ends.select(
+        PIECE, F.sum("_value._sum").over(earlier).alias("_carried"), F.lag("_value._last").over(_by_slice(key)).alias("_handed")
+    )
+    by_slice = Window.partitionBy(PIECE).orderBy(*order)
+    within = F.sum(value).over(by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lags = {new: F.lag(name).over(by_slice) for new, name in columns.items()}
+    looked = slices.withColumns({"_within": within, "_first": F.row_number().over(by_slice) == 1} | lags)
+    kind = looked.schema["_within"].dataType
+    whole = F.coalesce(F.col("_within") + F.coalesce("_carried", F.lit(0)), F.col("_carried")).cast(kind)
+    before = [F.when(F.col("_first"), F.col("_handed").getField(new)).otherwise(F.col(new)).alias(new) for new in columns]
+    return _handed_down(looked, handed).select(*df.columns, whole.alias(alias), *before)
+
+
 def row_index(df: DataFrame, order: list[str], alias: str = "position", span: int = HOT_ROWS) -> DataFrame:
     """Position of every row in the whole order, starting at 1. ``order`` must tell all rows apart.
 

@@ -81,12 +81,12 @@ def turned_red(known: DataFrame, held: DataFrame | None, order: list[str], hot_r
     quantity moves nothing.
     """
     order = [*order, "qty"]
-    running = hotkeys.running_total(_levels(known, held), "supply_id", order, "qty", "_moved", hot_rows)
-    level = running.withColumn("on_hand", money(F.col("_held") + F.coalesce("_moved", F.lit(0)), 18))
-    level = level.withColumn("red", F.col("on_hand") <= F.col("min_qty"))
-    seen = hotkeys.previous(level, "supply_id", order, {"_before": "red"}, hot_rows)
-    turned = F.col("red") & ~F.coalesce("_before", "_was_red")
-    return seen.where(turned).select("supply_id", "on_hand", "min_qty", F.lit(model.RED).alias("status"))
+    # The level before a movement is the level after it without the movement, so one scan tells both.
+    moves = hotkeys.total_and_previous(_levels(known, held), "supply_id", order, "qty", "_moved", {"_min_before": "min_qty"}, hot_rows)
+    level = moves.withColumn("on_hand", money(F.col("_held") + F.coalesce("_moved", F.lit(0)), 18))
+    before = F.col("on_hand") - F.coalesce("qty", F.lit(0)) <= F.col("_min_before")
+    turned = (F.col("on_hand") <= F.col("min_qty")) & ~F.coalesce(before, "_was_red")
+    return level.where(turned).select("supply_id", "on_hand", "min_qty", F.lit(model.RED).alias("status"))
 
 
 def levels_after(known: DataFrame, held: DataFrame | None) -> DataFrame:
