@@ -109,6 +109,10 @@ def unseen(
     store's ``horizon``, behind which ids are forgotten, is not applied either. Requests without an id can't be told
     from each other and all count.
     """
+    return _in_time(_not_applied(requests, store, key, first_by), store, ts)
+
+
+def _not_applied(requests: DataFrame, store: VersionedTables, key: list[str], first_by: list[str] | None = None) -> DataFrame:
     others = [c for c in requests.columns if c not in key]
     named = F.lit(True)
     for c in key:
@@ -117,9 +121,12 @@ def unseen(
     once = requests.where(named).groupBy(*key).agg(first).select(*[F.col(c) if c in key else F.col(f"_first.{c}") for c in requests.columns])
     if store.version() and "applied" in store.names():
         # The ids of a trigger are few beside all that were applied, so those are looked through, not dealt out.
-        again = store.read("applied").select(*key).join(once.select(*key), key, "left_semi")
+        again = store.read("applied").select(*key).join(requests.where(named).select(*key), key, "left_semi")
         once = once.join(again, key, "left_anti")
-    once = once.select(*requests.columns).unionByName(requests.where(~named))
+    return once.select(*requests.columns).unionByName(requests.where(~named))
+
+
+def _in_time(once: DataFrame, store: VersionedTables, ts: str | None) -> tuple[DataFrame, DataFrame]:
     horizon = store.read("horizon").first()["horizon"] if store.version() and "horizon" in store.names() else None
     if ts is None or horizon is None:
         return once, once.limit(0)
@@ -158,7 +165,8 @@ def apply_movements(
 
     All outputs carry the batch id, and the new stock is published last, so a batch that is run
     again after a failure replaces what its first run wrote. A request id counts once, in a batch and over all
-    batches: applied ids are published with the stock. With ``ts`` and ``remember``, an interval, ids are
+    batches: applied ids are published with the stock, and the requests of a batch that count are stored in ``results_path``
+    + ``-fresh`` before they are applied. With ``ts`` and ``remember``, an interval, ids are
     forgotten once the newest request is that much newer; older requests then go to ``results_path`` + ``-late``. Only
     supplies that moved are written.
     """
@@ -168,7 +176,10 @@ def apply_movements(
             return
         spark = requests.sparkSession
         snapshot = store.read("stock") if store.version() else opening
-        once, late = unseen(requests, store, req_key, ts, first_by)
+        # Stored, as hot supplies are counted, movements applied and late ones put aside from the same rows.
+        fresh = Ledger(spark, f"{results_path}-fresh")
+        fresh.append(_not_applied(requests, store, req_key, first_by), str(batch_id))
+        once, late = _in_time(fresh.batch(str(batch_id)).select(*requests.columns), store, ts)
         applied = apply_stock.apply_issues(once, supplies, staff, snapshot, order)
         results = Ledger(spark, results_path)
         results.append(applied.results, str(batch_id))
