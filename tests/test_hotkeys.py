@@ -228,3 +228,16 @@ def test_a_hot_null_key_is_split(spark):
             assert before[r.id] == (own[-1] if own else None)
             own.append(r.v)
             assert total[r.id] == sum(own)
+
+
+def test_total_and_previous_in_one_scan(spark):
+    draw = random.Random(5)
+    data = [(draw.choice([7, 7, 3, None]), draw.choice([None, draw.randrange(500)]), n, draw.choice([None, Decimal(n)])) for n in range(300)]
+    df = spark.createDataFrame(data, "k bigint, at bigint, n bigint, v decimal(8,2)")
+    order = ["at", "n"]
+    both = hotkeys.total_and_previous(df, "k", order, "v", "sum", {"before": "v", "last_n": "n"}, 16)
+    total = hotkeys.running_total(df, "k", order, "v", "sum", 16)
+    looked = hotkeys.previous(df, "k", order, {"before": "v", "last_n": "n"}, 16)
+    assert both.schema["sum"].dataType == total.schema["sum"].dataType
+    assert rows(both, "k", "n", "sum") == rows(total, "k", "n", "sum")
+    assert rows(both, "k", "n", "before", "last_n") == rows(looked, "k", "n", "before", "last_n")

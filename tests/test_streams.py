@@ -179,6 +179,33 @@ def batch_of(spark, *moves):
     return spark.createDataFrame([(r, s, 18, Decimal(q)) for r, s, q in moves], "req_id bigint, supply_id bigint, keeper_id bigint, qty decimal(8,2)")
 
 
+def test_requests_that_count_are_stored_once_per_trigger(spark, movement_job):
+    """What is applied is read from the store, not told apart again for every use."""
+    path, _, each = movement_job
+    each(batch_of(spark, (1, 1, "-8"), (2, 1, "-5"), (2, 1, "-5")), 0)
+    each(batch_of(spark, (2, 1, "-1"), (3, 2, "4")), 1)
+    assert rows(read_ledger(spark, f"{path}/results-fresh"), "batch", "req_id") == [("0", 1), ("0", 2), ("1", 3)]
+    assert rows(read_ledger(spark, f"{path}/results"), "batch", "req_id") == [("0", 1), ("0", 2), ("1", 3)]
+
+
+def test_alerts_cut_and_sort_movements_once(spark):
+    known = spark.range(60).select(
+        (F.col("id") % 3).alias("supply_id"), (5 - F.col("id") % 11).cast("decimal(8,2)").alias("qty"), F.col("id").alias("n"),
+        (F.col("id") % 3).cast("decimal(8,2)").alias("min_qty"),
+    )
+    found = boards.turned_red(known, None, ["n"], 16)
+    levels, red, alerts = {}, {}, []
+    for k, qty, _, least in known.orderBy("n").collect():
+        levels[k] = levels.get(k, Decimal(0)) + qty
+        now = levels[k] <= least
+        if now and not red.get(k):
+            alerts.append((k, levels[k]))
+        red[k] = now
+    assert len(alerts) > 3 and rows(found, "supply_id", "on_hand") == sorted(alerts, key=lambda r: tuple((v is None, str(v)) for v in r))
+    # Both passes of one scan ask for the same shuffle.
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("REPARTITION_BY_COL") <= 2
+
+
 def test_movements_build_on_the_batch_before(spark, movement_job):
     path, store, each = movement_job
     each(batch_of(spark, (1, 1, "-8"), (2, 1, "-5"), (2, 1, "-5"), (3, 2, "4")), 0)
