@@ -8,9 +8,9 @@ of Jaccard similarity s meet with probability (1 - (1 - s**DEPTH)**SIDE)**2: 0.9
 Texts with equal sets are one node throughout. Left rows that no other node shares are dropped
 before the pairs are formed. Within a table nodes are compared with its lowest node, and links are
 confirmed on the whole sets, read from the texts. Tables whose nodes are then in different components
-are compared once more, with their lowest node of another component. What is left is compared in full: nodes
-of such tables are dealt into blocks, and all pairs of two blocks are tested in one task; pairs are
-never listed within a group.
+are compared once more, with their lowest node of another component. What is left is compared in full: the nodes
+of such tables are dealt to units, and all pairs of two units that meet in a table are tested in one task, once
+for all the tables they meet in; pairs of nodes are never listed.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ SIDE, DEPTH = 12, 3
 HASHES = 2 * SIDE * DEPTH
 #: Matching bytes of HASHES below which a pair at 0.8 or more falls with a probability under 1e-4.
 LEAST_MATCHES = 43
-#: Nodes of a block whose minhashes, and of a unit whose texts, are compared with those of another in one task.
-BLOCK, UNIT = 2048, 128
+#: Nodes of a unit, and their shingles, that are compared with those of another in one task.
+UNIT, UNIT_SHINGLES = 512, 1 << 19
+#: Nodes whose minhashes are compared with a unit's at once.
+BLOCK = 256
 #: Distinct shingles of one product of membership matrices.
 CHUNK = 8192
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,12 +92,12 @@ def _possible(a: tuple, b: tuple, percent: int) -> np.ndarray:
     (ca, na, ha), (cb, nb, hb) = a, b
     ok = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
     columns = np.ascontiguousarray(hb.T)
-    for lo in range(0, len(ca), 256):
-        part = ok[lo : lo + 256]
+    for lo in range(0, len(ca), BLOCK):
+        part = ok[lo : lo + BLOCK]
         if part.any():
             same = np.zeros(part.shape, np.uint8)
             for k in range(HASHES):
-                same += ha[lo : lo + 256, k, None] == columns[k]
+                same += ha[lo : lo + BLOCK, k, None] == columns[k]
             part &= same >= LEAST_MATCHES
     return ok
 
@@ -111,25 +113,13 @@ def _sides(table: pa.Table) -> tuple:
 
 
 def candidates(percent: int):
-    """Code of two blocks of a table: the nodes of pairs that have to be confirmed, by the pair of their units."""
+    """Code of two units: their nodes that sizes and minhashes leave a partner in the other."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes, mine, yours = _sides(table)
-        units, names = table.column("_u").to_numpy(), table.column("_s").to_numpy()
-        i, j = np.nonzero(_possible(tuple(x[mine] for x in nodes), tuple(x[yours] for x in nodes), percent))
-        kinds, unit = np.unique(units, return_inverse=True)
-        # One number for a pair of units, a row of this table and its side.
-        found = np.zeros(0, np.int64)
-        for lo in range(0, len(i), 1 << 20):
-            ends = mine[i[lo : lo + (1 << 20)]], yours[j[lo : lo + (1 << 20)]]
-            low, high = np.minimum(unit[ends[0]], unit[ends[1]]), np.maximum(unit[ends[0]], unit[ends[1]])
-            codes = [(((low * len(kinds) + high) * len(names) + end) * 2 + (unit[end] != low)) for end in ends]
-            found = np.unique(np.concatenate([found, *codes]))
-        rest, second = np.divmod(found, 2)
-        rest, row = np.divmod(rest, max(1, len(names)))
-        low, high = np.divmod(rest, max(1, len(kinds)))
-        columns = {"ua": kinds[low], "ub": kinds[high], "_s": names[row], "_side": second}
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in columns.items()})
+        ok = _possible(tuple(x[mine] for x in nodes), tuple(x[yours] for x in nodes), percent)
+        rows = np.unique(np.concatenate([mine[ok.any(1)], yours[ok.any(0)]]))
+        return table.select(["ua", "ub", "_s", "_side"]).take(pa.array(rows))
 
     return run
 
@@ -338,33 +328,49 @@ def _moved(names: DataFrame, ends: DataFrame, nodes: DataFrame) -> DataFrame:
     return common.stored(names.select("_s", F.coalesce("_to", "_c").alias("_c")))
 
 
+def _units(dealt: DataFrame, light: DataFrame) -> DataFrame:
+    """(node, component, set size, bytes of minhashes, unit, the unit's smallest and largest component).
+
+    A node goes with its largest table, and the table with the one that most of its nodes have gone with, so that
+    nodes that share tables are in few units.
+    """
+    largest = F.max(F.struct("_m", "_key"))["_key"]
+    homes = common.stored(dealt.groupBy("_s").agg(F.min("_c").alias("_c"), largest.alias("_home")))
+    most = dealt.join(homes.select("_s", "_home"), "_s").groupBy("_key", "_home").agg(F.count(F.lit(1)).alias("_z"))
+    most = most.groupBy("_key").agg(F.max(F.struct("_z", "_home"))["_home"].alias("_to"))
+    homes = homes.join(most, F.col("_home") == F.col("_key")).select("_s", "_c", F.col("_to").alias("_home"))
+    homes = common.stored(homes.join(light, "_s"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / UNIT, F.sum("_n") / UNIT_SHINGLES))
+    sizes = homes.groupBy("_home").agg(parts.alias("_z"))
+    unit = F.xxhash64("_home", F.pmod(F.xxhash64("_s"), "_z"))
+    units = homes.join(sizes, "_home").select("_s", "_c", "_n", "_h", unit.alias("_u"))
+    return common.stored(units.join(units.groupBy("_u").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")), "_u"))
+
+
 def _completed(names: DataFrame, tables: DataFrame, light: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``names`` after all pairs of one table and different components are tested.
 
-    A table of two nodes has been tested by its first representative. A node's unit is a part of the largest
-    table it is in, so that texts are compared once for all the tables that two units share; only nodes
-    that sizes and minhashes leave a partner take part.
+    A table of two nodes has been tested by its first representative. Of the others each lists the units that meet
+    in it, and two units are compared once for all tables: the minhashes of all their nodes, then the texts of the
+    nodes that have a possible partner.
     """
     now = tables.join(names, "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"))
     torn = now.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_c").alias("_x"), F.max("_c").alias("_y"))
     dealt = common.stored(now.join(torn.where("_m > 2 and _x <> _y").select("_key", "_m"), "_key"))
     if dealt.isEmpty():
         return names
-    largest = F.max(F.struct("_m", "_key"))["_key"]
-    homes = dealt.groupBy("_s").agg(F.min("_c").alias("_c"), largest.alias("_home"))
-    sizes = homes.groupBy("_home").agg(F.count(F.lit(1)).alias("_z"))
-    unit = F.xxhash64("_home", F.pmod(F.xxhash64("_s"), F.ceil(F.col("_z") / UNIT)))
-    homes = common.stored(homes.join(sizes, "_home").select("_s", "_c", unit.alias("_u")).join(light, "_s"))
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("_s"), blocks).cast("int")
-    both = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda other: F.struct(F.least(mine, other).alias("_b1"), F.greatest(mine, other).alias("_b2"), (mine > other).cast("int").alias("_side"), (mine == other).alias("_within")),
-    )
-    pairs = dealt.select("_s", "_key", F.explode(both).alias("_p")).select("_s", "_key", "_p.*").join(homes, "_s")
-    pairs = pairs.groupBy("_key", "_b1", "_b2").applyInArrow(candidates(percent), "ua long, ub long, _s long, _side long")
-    pairs = common.stored(pairs.distinct()).withColumn("_within", F.col("ua") == F.col("ub"))
-    members = pairs.join(homes, "_s").join(texts, "_s")
+    units = _units(dealt, light)
+    met = dealt.join(units.select("_s", "_u", "_x", "_y"), "_s").groupBy("_key")
+    met = met.agg(F.array_sort(F.collect_set(F.struct("_u", "_x", "_y"))).alias("_us"))
+    pairs = met.select("_us", F.posexplode("_us").alias("_i", "_a"))
+    pairs = pairs.select("_a", F.explode(F.slice("_us", F.col("_i") + 1, F.size("_us"))).alias("_b"))
+    pairs = pairs.where("_a._x <> _a._y or _b._x <> _b._y or _a._x <> _b._x").select(F.col("_a._u").alias("ua"), F.col("_b._u").alias("ub"))
+    ends = pairs.distinct().select("ua", "ub", F.explode(F.array_distinct(F.array("ua", "ub"))).alias("_u"))
+    side, within = (F.col("_u") != F.col("ua")).cast("int").alias("_side"), (F.col("ua") == F.col("ub")).alias("_within")
+    nodes = ends.join(units, "_u").select("ua", "ub", side, within, "_s", "_c", "_n", "_h")
+    near = nodes.groupBy("ua", "ub").applyInArrow(candidates(percent), "ua long, ub long, _s long, _side int")
+    near = common.stored(near).withColumn("_within", F.col("ua") == F.col("ub"))
+    members = near.join(units.drop("_u", "_x", "_y"), "_s").join(texts, "_s")
     found = common.stored(members.groupBy("ua", "ub").applyInArrow(joined(words, percent), "a long, b long"))
     return names if found.isEmpty() else _moved(names, found, found)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -13,8 +15,9 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from comandix.llm import catalog, language, minhash, mixing, ordinal, pieces, quality_rules, suffix
+from comandix.llm import catalog, common, language, minhash, mixing, ordinal, pieces, quality_rules, suffix
 from tests.llm.conftest import edge_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,6 +114,41 @@ def test_one_link_between_large_components(spark, monkeypatch):
     assert {(r.doc_id // 10_000, r.component_id) for r in apart} == {(0, 0), (1, 10_000)}
 
 
+def test_pairs_of_many_tables_are_compared_once(spark, monkeypatch):
+    made, real = spark.sparkContext.accumulator(0), minhash.candidates
+
+    def counted(percent):
+        run = real(percent)
+
+        def counting(table):
+            out = run(table)
+            made.add(out.num_rows)
+            return out
+
+        return counting
+
+    monkeypatch.setattr(minhash, "candidates", counted)
+    shared = [f"c{k}" for k in range(140)]
+    # 140 of 176 words at most: all are possible partners, in tables of a quarter of them, and none is linked.
+    rows = [(i, " ".join([*shared, *[f"u{i}x{k}" for k in range(18)]])) for i in range(400)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(400)]
+    assert 400 <= made.value <= 20 * 400
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    setting, before = spark.conf.get(common.FREED, None), files()
+    kept = common.stored(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(tuple(r) for r in kept.collect()) == [(k, 100) for k in range(10)]
+    assert spark.conf.get(common.FREED, None) == setting
+
+
 def removed(texts: list[bytes], length: int) -> list[np.ndarray]:
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
