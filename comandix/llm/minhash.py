@@ -34,6 +34,8 @@ LEAST_MATCHES = 43
 UNIT, UNIT_SHINGLES = 512, 1 << 19
 #: Nodes whose minhashes are compared with a unit's at once.
 BLOCK = 256
+#: Pairs whose sets are held at once when they are confirmed.
+PAIRS = 128
 #: Distinct shingles of one product of membership matrices.
 CHUNK = 8192
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,13 +75,15 @@ def confirmed(size: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[s for *_, data, offsets in textbytes.pieces(c) for s in textbytes.shingles(data, offsets, size)] for c in (batch.column(1), batch.column(3))]
             keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(*sets)):
-                if 100 * min(len(a), len(b)) >= least * max(len(a), len(b)) > 0:
-                    at = np.searchsorted(a, b)
-                    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                    keep[i] = 100 * both >= least * (len(a) + len(b) - both)
+            for lo in range(0, batch.num_rows, PAIRS):
+                ends = (batch.column(k).slice(lo, PAIRS) for k in (1, 3))
+                sets = [[s for *_, data, offsets in textbytes.pieces(c) for s in textbytes.shingles(data, offsets, size)] for c in ends]
+                for i, (a, b) in enumerate(zip(*sets), lo):
+                    if 100 * min(len(a), len(b)) >= least * max(len(a), len(b)) > 0:
+                        at = np.searchsorted(a, b)
+                        both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+                        keep[i] = 100 * both >= least * (len(a) + len(b) - both)
             if keep.any():
                 found = batch.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], ["a", "b"])

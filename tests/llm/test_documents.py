@@ -6,11 +6,13 @@ import glob
 import hashlib
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -136,6 +138,20 @@ def test_pairs_of_many_tables_are_compared_once(spark, monkeypatch):
     assert 400 <= made.value <= 20 * 400
 
 
+def test_sets_of_few_pairs_are_held_at_once():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 500)) for _ in range(3000)]
+    batch = pa.record_batch([pa.array(range(3000)), pa.array(texts), pa.array(range(3000)), pa.array([texts[i - i % 3] for i in range(3000)])], ["a", "_ta", "b", "_tb"])
+    run = minhash.confirmed(4, 80)
+    list(run([batch.slice(0, 1)]))
+    tracemalloc.start()
+    got = [x for found in run([batch]) for x in found.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == list(range(0, 3000, 3))
+    assert peak < 20e6  # all sets have 24 MB
+
+
 def test_stored_rows_leave_no_shuffle_files(spark):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
     files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
