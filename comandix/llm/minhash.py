@@ -8,9 +8,8 @@ of Jaccard similarity s meet with probability (1 - (1 - s**DEPTH)**SIDE)**2: 0.9
 Texts with equal sets are one node throughout. Left rows that no other node shares are dropped
 before the pairs are formed. Within a table nodes are compared with its lowest node, and links are
 confirmed on the whole sets, read from the texts. Tables whose nodes are then in different components
-are compared once more, with their lowest node of another component. What is left is compared in full: the nodes
-of such tables are dealt to units, and all pairs of two units that meet in a table are tested in one task, once
-for all the tables they meet in; pairs of nodes are never listed.
+are compared in full: their nodes are dealt to units, and all pairs of two units that meet in a table are tested in
+one task, once for all the tables they meet in; pairs of nodes are never listed.
 """
 
 from __future__ import annotations
@@ -207,11 +206,12 @@ def without_near_duplicates(
 
     Rows without shingles all stay, but for rows that repeat id and text.
     """
-    out = _grouped(_source(docs, id_col, text_col), words, percent)
+    rows, groups = _rows_and_groups(_source(docs, id_col, text_col), words, percent)
+    named = rows.select("_k", "_id", "_s").join(groups.select(F.col("_set").alias("_s"), _name().alias("_c")), "_s", "left")
     group = F.coalesce(F.col("_c"), F.col("_k"))
     # The smallest id that is not NULL, and of its rows one.
     first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_k"))
-    keep = out.groupBy(group.alias("_g")).agg(first.alias("_r")).select("_r._k").distinct()
+    keep = named.groupBy(group.alias("_g")).agg(first.alias("_r")).select("_r._k").distinct()
     inner = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     name = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     kept = inner.withColumn("_k", common.row_key(name[id_col], name[text_col])).join(keep, "_k").dropDuplicates(["_k"])
@@ -222,8 +222,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", common.row_key("_id", "_t"))
 
 
-def _grouped(source: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per row of ``source`` (_id, _t, _k): key, id, set size, group, the group's smallest id."""
+def _rows_and_groups(source: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``source`` (_id, _t, _k): (key, id, set size, set, minhashes) of every row, and (set, group) of every set."""
     if percent < 80:
         raise ValueError("the tables are laid out for a similarity of 80 percent or more")
     kind = dict(source.dtypes)["_id"]
@@ -234,15 +234,25 @@ def _grouped(source: DataFrame, words: int, percent: int) -> DataFrame:
     sets = rows.where("_n > 0").groupBy("_s").agg(F.min(F.struct("_k", "_n", "_h")).alias("_r")).select(F.col("_s").alias("_set"), "_r.*")
     # A number names a set from here on: half as much in every table and pair.
     nodes = common.stored(sets.withColumn("_s", F.monotonically_increasing_id()))
-    tables = _tables(nodes)
-    names = _components(source, nodes, tables, words, percent)
+    names = _components(source, nodes, _tables(nodes), words, percent)
+    groups = nodes.select("_set", "_s").join(names, "_s", "left").select("_set", F.coalesce("_c", "_s").alias("_c"))
+    return rows, groups
+
+
+def _name():
+    """The group's number as bytes that no row key equals."""
+    return F.concat(F.lit("component of set "), F.col("_c").cast("string")).cast("binary")
+
+
+def _grouped(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """One row per row of ``source`` (_id, _t, _k): id, set size, the group's smallest id."""
+    rows, groups = _rows_and_groups(source, words, percent)
     ids = rows.where("_n > 0").groupBy("_s").agg(F.min("_id").alias("_id")).withColumnRenamed("_s", "_set")
-    labelled = nodes.select("_set", "_s").join(ids, "_set").join(names, "_s", "left").withColumn("_c", F.coalesce("_c", "_s"))
+    labelled = groups.join(ids, "_set")
     smallest = labelled.groupBy("_c").agg(F.min("_id").alias("_to"))
-    named = F.concat(F.lit("component of set "), F.col("_c").cast("string")).cast("binary")
-    target = labelled.join(smallest, "_c").select(F.col("_set").alias("_s"), named.alias("_c"), "_to")
-    out = rows.select("_k", "_id", "_n", "_s").join(target, "_s", "left")
-    return out.select("_k", "_id", "_n", "_c", F.when(F.col("_s").isNull(), F.col("_id")).otherwise(F.col("_to")).alias("_to"))
+    target = labelled.join(smallest, "_c").select(F.col("_set").alias("_s"), "_to")
+    out = rows.select("_id", "_n", "_s").join(target, "_s", "left")
+    return out.select("_id", "_n", F.when(F.col("_s").isNull(), F.col("_id")).otherwise(F.col("_to")).alias("_to"))
 
 
 def _with_id(inner):
@@ -289,41 +299,20 @@ def _components(source: DataFrame, nodes: DataFrame, tables: DataFrame, words: i
     # One byte of each minhash is enough to rule pairs out, and what pairs carry through two joins.
     light = nodes.select("_s", "_n", F.transform("_h", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint")).alias("_h"))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and minhashes don't rule out, confirmed on the whole sets."""
-        a = light.select(F.col("_s").alias("a"), F.col("_n").alias("_na"), F.col("_h").alias("_ha"))
-        b = light.select(F.col("_s").alias("b"), F.col("_n").alias("_nb"), F.col("_h").alias("_hb"))
-        near = pairs.join(b, "b").join(a, "a")
-        near = near.where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_matches("_ha", "_hb") >= LEAST_MATCHES))
-        full = near.select("a", "b").join(texts.select(F.col("_s").alias("b"), F.col("_t").alias("_tb")), "b")
-        full = full.join(texts.select(F.col("_s").alias("a"), F.col("_t").alias("_ta")), "a")
-        return full.select("a", "_ta", "b", "_tb").mapInArrow(confirmed(words, percent), "a long, b long")
-
     lowest = tables.groupBy("_key").agg(F.min("_s").alias("a"))
-    names = tables.join(lowest, "_key").where("a <> _s").select("a", F.col("_s").alias("b")).distinct()
-    names = common.stored(common.components(check(names)).toDF("_s", "_c"))
-    # Once more, against the lowest node that is in another component than the table's lowest.
-    now = tables.join(names, "_s", "left").select("_s", "_key", F.coalesce("_c", "_s").alias("_c"))
-    first = now.groupBy("_key").agg(F.min_by("_c", "_s").alias("_first"), F.min("_c").alias("_x"), F.max("_c").alias("_y")).where("_x <> _y").select("_key", "_first")
-    torn = common.stored(now.join(first, "_key"))
-    second = torn.where("_c <> _first").groupBy("_key").agg(F.min(F.struct("_s", "_c")).alias("_p"))
-    more = torn.join(second, "_key").where("_c <> _p._c").select(F.least("_s", "_p._s").alias("a"), F.greatest("_s", "_p._s").alias("b"))
-    more = common.stored(check(more.distinct()))
-    names = _renamed(names, more)
+    pairs = tables.join(lowest, "_key").where("a <> _s").select("a", F.col("_s").alias("b")).distinct()
+    # Pairs that sizes and minhashes don't rule out are confirmed on the whole sets.
+    a = light.select(F.col("_s").alias("a"), F.col("_n").alias("_na"), F.col("_h").alias("_ha"))
+    b = light.select(F.col("_s").alias("b"), F.col("_n").alias("_nb"), F.col("_h").alias("_hb"))
+    near = pairs.join(b, "b").join(a, "a")
+    near = near.where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_matches("_ha", "_hb") >= LEAST_MATCHES))
+    full = near.select("a", "b").join(texts.select(F.col("_s").alias("b"), F.col("_t").alias("_tb")), "b")
+    full = full.join(texts.select(F.col("_s").alias("a"), F.col("_t").alias("_ta")), "a")
+    links = full.select("a", "_ta", "b", "_tb").mapInArrow(confirmed(words, percent), "a long, b long")
+    names = common.stored(common.components(links).toDF("_s", "_c"))
     return _completed(names, tables, light, texts, words, percent)
 
 
-def _renamed(names: DataFrame, more: DataFrame) -> DataFrame:
-    """``names`` after links between nodes of different components."""
-    if more.isEmpty():
-        return names
-    place = names.select(F.col("_s").alias("_n"), F.col("_c").alias("_p"))
-    ends = more
-    for end in ("a", "b"):
-        ends = ends.join(place, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_p", end)).drop("_n", "_p")
-    return _moved(names, ends, more)
-
-
 def _moved(names: DataFrame, ends: DataFrame, nodes: DataFrame) -> DataFrame:
     """``names`` after links between components (``ends``); the nodes of ``nodes`` that had no name get one."""
     to = common.components(ends).toDF("_c", "_to")

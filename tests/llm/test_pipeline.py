@@ -10,7 +10,7 @@ import numpy as np
 import sentencepiece
 
 import corpus_pipeline
-from comandix.llm import quality_rules
+from comandix.llm import common, minhash, quality_rules
 from tests.llm.test_documents import groups, removed
 
 
@@ -144,3 +144,15 @@ def test_run_is_the_plain_chain_of_the_stages(spark, tmp_path):
     expected = Counter((i, tuple(library.encode(t))) for i, _, t in chain)
     got = Counter((r.doc_id, tuple(r.piece_ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == expected
+
+
+def test_near_duplicates_start_few_plans(spark, monkeypatch):
+    """Each table stored is a plan of the driver's, with threads and figures that stay; a chain of three copies needs ten."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join([*words[: 400 - 30 * n], *(f"x{n}{i}" for i in range(30 * n))]) for n in range(2)]
+    rows = [(3, chain[0]), (1, chain[1]), (2, chain[0]), (7, "lone text of six words"), (None, None), (8, None)]
+    docs, made, real = spark.createDataFrame(rows, "doc_id long, text string"), [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df: made.append(1) or real(df))
+    got = minhash.without_near_duplicates(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in got if r.doc_id is not None) == [(False, 1, chain[1]), (False, 7, rows[3][1]), (False, 8, None)]
+    assert len(got) == 4 and len(made) <= 10
